@@ -1,10 +1,12 @@
 """Queries of the training-data operators and their SQL."""
 
-from . import mixing, quality
+from . import bpe, mixing, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality": quality.op2_quality,
+    "op5_bpe": bpe.op5_bpe,
+    "op8_toxicity": toxicity.op8_toxicity,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
