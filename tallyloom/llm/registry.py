@@ -1,10 +1,11 @@
 """Queries of the training-data operators and their SQL."""
 
-from . import bpe, mixing, ngram_join, quality, toxicity
+from . import bpe, mixing, ngram_join, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality": quality.op2_quality,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_bpe": bpe.op5_bpe,
     "op8_toxicity": toxicity.op8_toxicity,
