@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import ship
+
 #: Pieces that a Python worker remembers at once.
 CACHE_PIECES = 250_000
 
@@ -142,6 +144,7 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
     repeated rows are encoded alike; an empty table gives no rows. A column named ``ids_col`` is
     replaced; all others are passed on.
     """
+    ship(df.sparkSession)
     keep = df.drop(ids_col)
     schema = keep.withColumn(ids_col, F.lit(None).cast("binary")).schema
 
@@ -157,6 +160,7 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with the text of its ids, special tokens kept. Null or no ids give an empty text."""
+    ship(df.sparkSession)
     keep = df.drop(text_col)
     schema = keep.withColumn(text_col, F.lit(None).cast("string")).schema
 
@@ -172,6 +176,7 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "token_ids", text_col: s
 
 def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id column, n_tokens, ids_sha256 and decoded_sha256 of encoding and decoding in one pass."""
+    ship(df.sparkSession)
     keep = df.select(id_col, text_col)
     schema = keep.select(id_col, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
 

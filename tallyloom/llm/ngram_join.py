@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import components
-from .storage import input_parts, shared_table
+from .storage import input_parts, shared_table, ship
 from .textnum import hashed_words, mixed, powers
 
 WORDS, PERCENT, ORDERS = 5, 80, 3
@@ -254,6 +254,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeat an id stay rows of their own; a null id is no candidate for component_id (a row without
     links then has null); an empty table gives no rows. Other columns are not read.
     """
+    ship(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = min(input_parts(docs), 1 << 16)
     sent = docs.mapInArrow(_scan(words, parts), _SCHEMA)

@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{SparkSession._tallyloom_dir}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_tallyloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = Path(tempfile.mkdtemp(prefix="tallyloom-code-"))
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(folder / "tallyloom-code.zip", "w") as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f"{package.name}/{f.relative_to(package)}")
+    context.addPyFile(str(folder / "tallyloom-code.zip"))
+    context._tallyloom_shipped = True
+
+
 @contextmanager
 def _freed(spark: SparkSession):
     before = spark.conf.get(_CLEANUP, None)
@@ -54,8 +71,11 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_parts(df: DataFrame, rows_bytes: int = 8 << 20) -> int:
-    """A partition count that follows the input's size, from the optimizer's estimate of it."""
+def input_parts(df: DataFrame, part_bytes: int = 8 << 20) -> int:
+    """A partition count that follows the input's size, from the optimizer's estimate of it.
+
+    Rows without an estimate (made by the driver) get twice the default parallelism.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = df.sparkSession.sparkContext.defaultParallelism
-    return max(least, min(size // rows_bytes + 1, 1 << 20))
+    return 2 * least if size > 1 << 52 else max(least, size // part_bytes + 1)

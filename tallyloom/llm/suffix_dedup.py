@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import input_parts, shared_table
+from .storage import input_parts, shared_table, ship
 from .textnum import _CODE, mixed, powers
 
 LEAST, ANCHOR = 400, 64
@@ -302,6 +302,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if least < ANCHOR:
         raise ValueError(f"least must be {ANCHOR} or more")
+    ship(df.sparkSession)
     keep_cols = [id_col] if keep_cols is None else keep_cols
     names = {c: f"_c{i}" for i, c in enumerate(keep_cols)}
     text = F.col(text_col).cast("binary")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import ship
 from .textnum import hashed_words, mixed
 
 #: Features are numbered by so many bits of their hashes; beginnings of words have so many bytes.
@@ -76,6 +77,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl(), id_col: str =
     made on the executors and only those of the sample come to the driver. Rows without a label or a
     document are left out; a null text is an empty one.
     """
+    ship(docs.sparkSession)
     chosen = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(bounded(labels, id_col, label_col, how)), "__id")
 
     def run(batches):
@@ -94,6 +96,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col:
     Defined cases: a null or empty text has the bias alone; a column named ``score_col`` is
     replaced; repeated rows score alike; an empty table gives no rows.
     """
+    ship(df.sparkSession)
     keep = df.drop(score_col)
     schema = keep.withColumn(score_col, F.lit(0.0)).schema
     at, weights, bias = model
