@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their SQL."""
 
-from . import bpe, mixing, ngram_join, quality, suffix_dedup, toxicity
+from . import bpe, lm_score, mixing, ngram_join, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_bpe": bpe.op5_bpe,
+    "op6_lm_score": lm_score.op6_lm_score,
     "op8_toxicity": toxicity.op8_toxicity,
 }
 ORACLE_SQL = {
