@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their SQL."""
 
-from . import bpe, embedding_dedup, lm_score, mixing, ngram_join, quality, suffix_dedup, toxicity
+from . import bpe, chat, embedding_dedup, lm_score, mixing, ngram_join, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -9,10 +9,12 @@ QUERIES = {
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_bpe": bpe.op5_bpe,
     "op6_lm_score": lm_score.op6_lm_score,
+    "op7_chat": chat.op7_chat,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_quality": quality.OP2_SQL,
+    "op7_chat": chat.OP7_SQL,
 }
