@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their SQL."""
 
-from . import bpe, chat, embedding_dedup, lm_score, mixing, ngram_join, quality, suffix_dedup, toxicity
+from . import bpe, chat, embedding_dedup, lm_score, mixing, ngram_join, quality, suffix_dedup, token_shards, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_lm_score": lm_score.op6_lm_score,
     "op7_chat": chat.op7_chat,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_token_shards": token_shards.op9_token_shards,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 ORACLE_SQL = {

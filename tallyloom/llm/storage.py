@@ -43,7 +43,8 @@ def ship(spark: SparkSession) -> None:
 
 
 @contextmanager
-def _freed(spark: SparkSession):
+def freed_shuffles(spark: SparkSession):
+    """Queries that end in this block leave no shuffle files behind."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -63,7 +64,7 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with _freed(spark):
+    with freed_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
