@@ -17,12 +17,12 @@ def plain(x: Column) -> Column:
 def within(expected: Column, actual: Column, rtol: float = RTOL, atol: float = ATOL) -> Column:
     """Tolerance relative to the actual side only; nulls and NaN are equal to each other, infinities to themselves."""
     a, b = plain(expected.cast("double")), plain(actual.cast("double"))
-    return a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b), F.lit(False))
+    return a.eqNullSafe(b) | F.coalesce((F.abs(b) < float("inf")) & (F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b)), F.lit(False))
 
 
 def close(a: Column, b: Column, rel: float = 1e-6, abs_: float = 1e-9) -> Column:
     """Symmetric tolerance: relative to the larger side."""
-    return a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= F.greatest(F.lit(rel) * F.greatest(F.abs(a), F.abs(b)), F.lit(abs_)), F.lit(False))
+    return a.eqNullSafe(b) | F.coalesce((F.abs(a - b) < float("inf")) & (F.abs(a - b) <= F.greatest(F.lit(rel) * F.greatest(F.abs(a), F.abs(b)), F.lit(abs_))), F.lit(False))
 
 
 def verdict(expected: Column, actual: Column, present: Column, rtol: float = RTOL, atol: float = ATOL) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_scripts(spark: SparkSession, path: str, glob: str = "*.R", recursive: bool = True) -> DataFrame:
     """path and text of whole files."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.format("text").option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +51,7 @@ def html_blocks(df: DataFrame, html: str, tag: str) -> DataFrame:
 def parse_patterns(df: DataFrame, text: str = "text") -> DataFrame:
     """Markdown with front matter as columns: id, package, confidence (tentative unless known), seed, guidance, evidence lines."""
     field = lambda name: F.regexp_extract(F.col(text), rf"(?m)^{name}:\s*(.*?)\s*$", 1)
-    section = lambda name: F.trim(F.regexp_extract(F.col(text), rf"(?s)## {name}\s*\n(.*?)(?=\n## |\z)", 1))
+    section = lambda name: F.regexp_replace(F.regexp_extract(F.col(text), rf"(?s)## {name}[ \t]*\n(.*?)(?=\n## |\z)", 1), r"^\s+|\s+$", "")
     confidence = F.when(field("confidence").isin("confirmed", "tentative", "contradicted"), field("confidence")).otherwise("tentative")
     evidence = F.regexp_extract_all(section("Evidence"), F.lit(r"(?m)^- (.*)$"), F.lit(1))
     return df.select(field("id").alias("id"), field("package").alias("package"), confidence.alias("confidence"), (field("seed") == "true").alias("seed"), section("Guidance").alias("guidance"), evidence.alias("evidence")).where("id <> ''")
