@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import compare as C
+from ..functions import markup as M
 from ..functions import scalar as S
 from ..operators import evidence as E
 from ..operators import graph as G
@@ -527,6 +528,47 @@ def evidence_fold(spark, d):
     return stream.fold(_t(spark, d, "events").select(F.col("user_id").alias("key"), kind.alias("kind"), (F.col("value") - 50).alias("delta")))
 
 
+@query(r"""SELECT doc_id, TRIM(REGEXP_REPLACE(TRANSLATE(REGEXP_REPLACE(REGEXP_REPLACE('[1] TRUE "' || lang || '", (' || source || ')  FALSE', '(?m)^[ ]*\[\d+\][ ]*', '', 'g'), '\bTRUE\b', 'True', 'g'), '"''[](),{}:', ''), '\s+', ' ', 'g')) AS plain FROM documents""")
+def normalise_printed(spark, d):
+    shown = F.concat(F.lit('[1] TRUE "'), "lang", F.lit('", ('), "source", F.lit(")  FALSE"))
+    return _t(spark, d, "documents").select("doc_id", F.regexp_replace(C.normalise_printed(shown), "False", "FALSE").alias("plain"))
+
+
+@query(r"""SELECT p_partkey, REGEXP_REPLACE('f(size=' || p_size || ', size == 1)', '\bsize(\s*)=([^=])', 'size_val\1=\2', 'g') AS renamed FROM part""")
+def kwarg_rename(spark, d):
+    return _t(spark, d, "part").select("p_partkey", S.rename_keyword(F.concat(F.lit("f(size="), "p_size", F.lit(", size == 1)")), "size").alias("renamed"))
+
+
+@query(r"""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'library' WHEN 1 THEN 'mean' ELSE '' END AS call, p_size % 3 = 0 AS is_source FROM part""")
+def comment_strip_classify(spark, d):
+    line = F.when(F.col("p_size") % 3 == 0, "x <- library(dplyr) # load").when(F.col("p_size") % 3 == 1, "  y = mean(x)").otherwise("# only(comment)")
+    call = S.leading_call(line)
+    return _t(spark, d, "part").select("p_partkey", call.alias("call"), call.isin(*S.SOURCE_CALLS).alias("is_source"))
+
+
+@query("""WITH b AS (SELECT o_custkey, MAX(o_totalprice) AS best, COUNT(*) AS n FROM orders GROUP BY 1)
+SELECT c_custkey, best, n, ROW_NUMBER() OVER (ORDER BY COALESCE(best, -1) DESC, c_custkey)::INTEGER AS place FROM customer LEFT JOIN b ON c_custkey = o_custkey""")
+def status_sort(spark, d):
+    best = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("best"), F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(W.Window.orderBy(F.coalesce("best", F.lit(-1.0)).desc(), "c_custkey"))  # a report: its order is of all rows
+    return _t(spark, d, "customer").select("c_custkey").join(best, "c_custkey", "left").withColumn("place", place)
+
+
+@query()
+def warnings_compare(spark, d):
+    """Sorted messages of two sides of a conversation, compared as one text."""
+    c = _t(spark, d, "conversations").withColumn("line", F.substring("text", 1, 80))
+    side = lambda role, n: c.where(F.col("role") == role).groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias(n))
+    return C.text_similarity(side("user", "a").join(side("assistant", "b"), "conv_id"), "a", "b").select("conv_id", _r(F.col("similarity")).alias("similarity"))
+
+
+@query()
+def html_similarity(spark, d):
+    p = _t(spark, d, "pages").select("page_id", F.substring("html", 1, 1500).alias("a"))
+    other = p.select((F.col("page_id") - 1).alias("page_id"), F.col("a").alias("b"))
+    return p.join(other, "page_id").select("page_id", _r(M.markup_ratio(F.col("a"), F.col("b"))).alias("similarity"))
+
+
 # --- extensions -----------------------------------------------------------------------------------
 
 @query("SELECT TIME_BUCKET(INTERVAL 1 HOUR, ts) AS start, event_type, COUNT(*) AS n, ROUND(SUM(value), 6) AS total FROM events GROUP BY ALL")
