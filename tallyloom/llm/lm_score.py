@@ -209,7 +209,7 @@ def lm_scores(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: st
     rows all scores are 0; an empty table gives no rows. Other columns are not read.
     """
     ship(df.sparkSession)
-    buckets, parts = input_parts(df.select(text_col), 4 << 20), input_parts(df.select(text_col))
+    buckets, parts = input_parts(df.select(text_col), 3 << 19), input_parts(df.select(text_col), 3 << 20)
     docs = df.select(
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(buckets)).alias("bucket"), F.lit(None).cast("int").alias("part"),
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"),
