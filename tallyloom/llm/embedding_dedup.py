@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .graphs import components
 from .lm_score import _groups
-from .storage import shared_table, ship
+from .storage import discard, shared_table, ship
 
 THRESHOLD = 0.9
 
@@ -233,10 +233,12 @@ def embedding_near_dups(df: DataFrame, id_col: str = "vec_id", vector_col: str =
     else:
         found = spark.createDataFrame([], "a binary, b binary, n long")
     linked = found.where("b is null").groupBy(F.col("a").alias("print")).agg(F.sum("n").alias("links"))
-    roots = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("print"), "root")
+    forest = components(found.where("b is not null").select("a", "b"))
+    roots = forest.select(F.col("node").alias("print"), "root")
     info = nodes.select("print", "m", "least").join(linked, "print", "left").join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     best = info.groupBy("root").agg(F.min("least").alias("component_id"))
     info = shared_table(info.join(best, "root").select("print", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "embedding-components")
+    discard(nodes, forest)
     out = table.select("id", "print").join(info, "print", "left")
     out = out.select(F.col("id").alias("_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.when(F.col("_id").isNull(), F.col("n_links") == 0).otherwise(F.col("_id").eqNullSafe(F.col("component_id"))))

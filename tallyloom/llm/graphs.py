@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import shared_table
+from .storage import discard, shared_table
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,6 +24,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "r").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
         step = shared_table(new.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("root")), "cc-labels")
-        labels = step.select("node", "root")
-        if step.where("root <> old").isEmpty():
+        done = step.where("root <> old").isEmpty()
+        discard(labels)
+        labels = step
+        if done:
+            discard(both)
             return labels

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import shared_table
+from .storage import discard, shared_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
@@ -109,9 +109,11 @@ def mix_plan(sizes: DataFrame, weights: Sequence[int], share: tuple[int, int], m
         edges.join(inside, F.col("__edge_of").eqNullSafe(F.col("__in")), "left")
         .select("__edge_of", F.coalesce("__last", F.shiftleft("__bucket", shift) - 1).alias("__limit"))
     )
-    return shared_table(
+    plan = shared_table(
         rates.join(limits, F.col("__of").eqNullSafe(F.col("__edge_of")), "left").drop("__edge_of").fillna(-1, ["__limit"]), "mix-plan"
     )
+    discard(rates, edges)
+    return plan
 
 
 def is_long() -> Column:
@@ -181,7 +183,8 @@ def op1_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH d AS (SELECT doc_id, source, COALESCE(LEN(REGEXP_EXTRACT_ALL(text, '[^ 	-]+')), 0)::BIGINT AS size,
+WITH d AS (SELECT doc_id, source, COALESCE(LEN(REGEXP_EXTRACT_ALL(text, '[^ 	-
+]+')), 0)::BIGINT AS size,
     ('0x' || SUBSTR(MD5('mix-1:' || COALESCE(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS ord FROM documents),
 p AS (SELECT source, SUM(size)::BIGINT AS total, COUNT(*) AS n, [3, 1, 2][((ROW_NUMBER() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3) + 1]::BIGINT AS w FROM d GROUP BY source),
 f AS (SELECT *, SUM(2 * total) OVER up - 2 * total AS before, SUM(w) OVER () - SUM(w) OVER up + w AS open, 3 * SUM(total) OVER () AS goal

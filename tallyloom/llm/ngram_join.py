@@ -10,10 +10,10 @@ verified with the whole sets.
 Stages: (1) one scan makes the sets; blobs of tokens go to parts of the token space, which count
 documents a token; what is found in two documents or more goes back. (2) Documents of which less
 than t of the tokens are shared can't have a partner and are out; equal sets become one node.
-(3) Stars: each node is verified against the most typical node of a few of its prefix tokens.
-(4) All prefix tokens whose nodes are not in one component yet give candidates across components:
-those of the smaller components against all others. No candidate is left out that could join two
-components, so components are exact; pairs inside a component that is known are never made.
+(3) Stars: each node is verified against the most typical node of a few of its prefix tokens, then of
+all whose nodes are not in one component yet. (4) All prefix tokens whose nodes are not in one component yet give candidates across components:
+those of the smaller components against all others, unless what both have in common with one centre
+shows that they can't link. No candidate is left out that could join two components, so components are exact; pairs inside a component that is known are never made.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import components
-from .storage import input_parts, shared_table, ship
+from .storage import discard, input_parts, shared_table, ship
 from .textnum import hashed_words, mixed, powers
 
 WORDS, PERCENT, ORDERS = 5, 80, 3
@@ -192,7 +192,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 def _postings(percent: int, few: int | None):
     """Prefix tokens of nodes under the first order: all, or the first and last ``few`` shared ones."""
-    schema = pa.schema([("token", pa.int64()), ("print", pa.binary()), ("n", pa.int32()), ("u", pa.int32()), ("root", pa.int64()), ("weight", pa.int64())])
+    schema = pa.schema([("token", pa.int64()), ("print", pa.binary()), ("n", pa.int32()), ("u", pa.int32()), ("pos", pa.int32())])
 
     def run(batches):
         for batch in batches:
@@ -201,20 +201,22 @@ def _postings(percent: int, few: int | None):
                 tokens = np.frombuffer(r["tokens"], np.int64)
                 u = r["n"] - len(tokens)
                 own = tokens[: max(0, prefix_length(r["n"], percent) - u)]
+                pos = u + np.arange(len(own), dtype=np.int32)
                 if few is not None and len(own) > 2 * few:
-                    own = np.concatenate([own[:few], own[-few:]])
+                    own, pos = (np.concatenate([v[:few], v[-few:]]) for v in (own, pos))
                 if not len(own):
                     continue
-                same = {k: [r[k]] * len(own) for k in ("print", "n", "root", "weight")}
-                out.append(pa.RecordBatch.from_pydict(same | {"token": own, "u": [u] * len(own)}, schema))
+                same = {k: [r[k]] * len(own) for k in ("print", "n")}
+                out.append(pa.RecordBatch.from_pydict(same | {"token": own, "u": [u] * len(own), "pos": pos}, schema))
             if out:
                 yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
     return run
 
 
-def _verify(percent: int, orders: int):
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+def _verify(percent: int, orders: int, all_pairs: bool):
+    """Pairs that link; ``all_pairs``: every pair, with its number of common tokens."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("common", pa.int32()), ("linked", pa.bool_())])
 
     def prefix(tokens, classes, n, order):
         keep = prefix_length(n, percent) - (n - len(tokens))
@@ -227,20 +229,36 @@ def _verify(percent: int, orders: int):
             for r in batch.to_pylist():
                 x, y = np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["tokens_b"], np.uint64)
                 cx, cy = np.frombuffer(r["classes"], np.uint8), np.frombuffer(r["classes_b"], np.uint8)
-                if all(len(np.intersect1d(prefix(x, cx, r["n"], o), prefix(y, cy, r["n_b"], o), assume_unique=True)) for o in range(1, orders)):
+                if all_pairs or all(len(np.intersect1d(prefix(x, cx, r["n"], o), prefix(y, cy, r["n_b"], o), assume_unique=True)) for o in range(1, orders)):
                     common = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * common >= percent * (r["n"] + r["n_b"] - common):
-                        out.append({"a": r["a"], "b": r["b"]})
+                    linked = 100 * common >= percent * (r["n"] + r["n_b"] - common)
+                    if linked or all_pairs:
+                        out.append({"a": r["a"], "b": r["b"], "common": common, "linked": linked})
             yield pa.RecordBatch.from_pylist(out, schema)
 
     return run
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, percent: int, orders: int) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, percent: int, orders: int, all_pairs: bool = False) -> DataFrame:
     sets = nodes.select("print", "n", "tokens", "classes")
     first = pairs.join(sets.withColumnRenamed("print", "a"), "a")
     both = first.join(sets.select(F.col("print").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"), F.col("classes").alias("classes_b")), "b")
-    return shared_table(both.mapInArrow(_verify(percent, orders), "a binary, b binary"), "ngram-links")
+    return shared_table(both.mapInArrow(_verify(percent, orders, all_pairs), "a binary, b binary, common int, linked boolean"), "ngram-links")
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """Pairs of each node of a posting list and the most typical one of the list, that with the least share of tokens of its own."""
+    typical = rows.groupBy("token").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("s"), "print")).alias("t"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    return rows.join(typical.select("token", F.col("t.print").alias("b")), "token").select(F.col("print").alias("a"), "b").where("a <> b").distinct()
+
+
+def _undecided(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Postings of tokens whose nodes are in two components or more, with root and, of the token, major: its largest component."""
+    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
+    labels = found.join(sizes, "root").select(F.col("node").alias("print"), F.xxhash64("root").alias("root"), "weight")
+    rooted = rows.join(labels, "print", "left").withColumns({"root": F.coalesce("root", F.xxhash64("print")), "weight": F.coalesce("weight", F.lit(1).cast("long"))})
+    tokens = rooted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct("weight", "root")).alias("m")).where("r0 <> r1")
+    return shared_table(rooted.join(tokens.select("token", F.col("m.root").alias("major")), "token").drop("weight"), "ngram-open")
 
 
 def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
@@ -256,7 +274,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     ship(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = min(input_parts(docs), 1 << 16)
+    parts = min(input_parts(docs, 4 << 20), 1 << 16)
     sent = docs.mapInArrow(_scan(words, parts), _SCHEMA)
     counted = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_count, _SCHEMA + ", classes binary")
     back = counted.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(_back(percent), "id long, n int, print binary, tokens binary, classes binary")
@@ -264,38 +282,54 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     kept = table.where("tokens is not null").select("print", "n", "tokens", "classes")
     nodes = shared_table(kept.groupBy("print").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("classes").alias("classes")), "ngram-nodes")
-    posted = "token long, print binary, n int, u int, root long, weight long"
-    alone = nodes.withColumns({"root": F.lit(0).cast("long"), "weight": F.lit(0).cast("long")})
-
-    few = alone.mapInArrow(_postings(percent, 2), posted)
-    typical = few.groupBy("token").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("s"), "print")).alias("t"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    stars = few.join(typical.select("token", F.col("t.print").alias("b")), "token").select(F.col("print").alias("a"), "b").where("a <> b").distinct()
-    links = _verified(stars, nodes, percent, orders)
+    posted = "token long, print binary, n int, u int, pos int"
+    few = nodes.mapInArrow(_postings(percent, 2), posted)
+    measured = _verified(_stars(few), nodes, percent, orders, all_pairs=True)
+    links = measured.where("linked").select("a", "b")
 
+    index = shared_table(nodes.mapInArrow(_postings(percent, None), posted), "ngram-index")
     found = components(links)
-    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
-    labelled = found.join(sizes, "root").select(F.col("node").alias("print"), F.xxhash64("root").alias("root"), "weight")
-    named = nodes.join(labelled, "print", "left").withColumns({"root": F.coalesce("root", F.xxhash64("print")), "weight": F.coalesce("weight", F.lit(1).cast("long"))})
-    index = shared_table(named.mapInArrow(_postings(percent, None), posted), "ngram-index")
-    mixed_tokens = (
-        index.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct("weight", "root")).alias("m"))
-        .where("r0 <> r1").select("token", F.col("m.root").alias("major"))
-    )
-    open_rows = shared_table(index.join(mixed_tokens, "token"), "ngram-open")
+    first_open = _undecided(index, found)
+    discard(index, found)
+    again = _verified(_stars(first_open), nodes, percent, orders, all_pairs=True)
+    links = links.union(again.where("linked").select("a", "b"))
+    # What each node has in common with its stars' centres; a centre has all of itself.
+    near = again.select(F.col("a").alias("print"), F.xxhash64("b").alias("p"), F.col("common").alias("o"))
+    own = again.select("b").distinct().join(nodes.select(F.col("print").alias("b"), "n"), "b").select(F.col("b").alias("print"), F.xxhash64("b").alias("p"), F.col("n").alias("o"))
+    centres = near.union(own).groupBy("print").agg(F.collect_list(F.struct("p", "o")).alias("centres"))
+    found = components(links)
+    second_open = _undecided(first_open.select("token", "print", "n", "u", "pos"), found)
+    discard(first_open, found)
+    open_rows = second_open.join(centres, "print", "left").withColumn("centres", F.coalesce("centres", F.array().cast("array<struct<p:bigint,o:int>>")))
+    open_rows = shared_table(open_rows, "ngram-open")
+    discard(second_open)
     x, y = open_rows.where("root <> major").alias("x"), open_rows.alias("y")
-    most = F.least(F.expr("x.n - x.u"), F.expr("y.n - y.u"))
+    # Tokens in common are at most the shared ones of either set; with a common centre, at most those in the
+    # centre of either set and those outside it of either set.
+    at_centre = "least(c.o, d.o) + greatest(0, least(x.n - x.u - c.o, y.n - y.u - d.o))"
+    enough = lambda most: f"100 * ({most}) >= {percent} * (x.n + y.n - ({most}))"
+    # Of sets of known sizes, a common token is even among the first n - least + 1 of each.
+    least = f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
     cross = (
-        x.join(y, F.expr("x.token = y.token and x.root <> y.root and (y.root = y.major or x.print < y.print)") & (100 * most >= percent * (F.expr("x.n + y.n") - most)))
+        x.join(
+            y,
+            F.expr("x.token = y.token and x.root <> y.root and (y.root = y.major or x.print < y.print)")
+            & F.expr(f"x.pos + {least} <= x.n and y.pos + {least} <= y.n")
+            & F.expr(enough("least(x.n - x.u, y.n - y.u)"))
+            & F.expr(f"not exists(x.centres, c -> exists(y.centres, d -> c.p = d.p and not ({enough(at_centre)})))"),
+        )
         .select(F.expr("least(x.print, y.print)").alias("a"), F.expr("greatest(x.print, y.print)").alias("b"))
         .distinct()
     )
     more = _verified(cross, nodes, percent, orders)
-    final = components(links.union(more))
+    final = components(links.union(more.select("a", "b")))
+    discard(nodes, open_rows, measured, again, more)
 
-    least = table.groupBy("print").agg(F.min("id").alias("least")).where("print is not null")
-    rooted = least.join(final.select(F.col("node").alias("print"), "root"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    least_id = table.groupBy("print").agg(F.min("id").alias("least")).where("print is not null")
+    rooted = least_id.join(final.select(F.col("node").alias("print"), "root"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = shared_table(rooted.join(best, "root").select("print", "component_id"), "ngram-components")
+    discard(final)
     return (
         table.select("id", "n", "print").join(of_print, "print", "left")
         .select(F.col("id").alias("_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

@@ -69,7 +69,17 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._tallyloom_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete shared tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._tallyloom_path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def input_parts(df: DataFrame, part_bytes: int = 8 << 20) -> int:

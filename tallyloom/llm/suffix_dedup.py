@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import input_parts, shared_table, ship
+from .storage import discard, input_parts, shared_table, ship
 from .textnum import _CODE, mixed, powers
 
 LEAST, ANCHOR = 400, 64
@@ -312,6 +312,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     groups = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("c > 1")
     shared = shared_table(found.join(groups.select("h", (F.col("s0") != F.col("s1")).alias("differ")), "h"), "suffix-shared")
+    discard(found)
     kinds = shared.where("differ").groupBy("h", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "lo", "hi", "at")).alias("one"))
     kinds = shared_table(kinds.select("h", "s", "c", "one.*"), "suffix-kinds")
     groups = kinds.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("d"))

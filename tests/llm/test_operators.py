@@ -1,0 +1,331 @@
+"""The training-data operators against brute force on small tables with nulls, ties, repeated rows and clashing columns."""
+
+import collections
+import hashlib
+import json
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom.llm import bpe, chat, embedding_dedup, graphs, lm_score, mixing, ngram_join, quality, suffix_dedup, textnum, token_shards, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def texts(spark, rows, extra=""):
+    """doc_id, text, source and columns whose names clash with ones that operators make."""
+    full = [(i, t, s, 1, "x", 2.0) for i, t, s in rows]
+    return spark.createDataFrame(full, "doc_id long, text string, source string, size int, n string, score double")
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(4)
+    make = lambda n: " ".join("".join(r.choice("abcdeéG") for _ in range(r.randint(1, 6))) for _ in range(n))
+    base = make(120).split()
+    near = []
+    for i in range(25):
+        t = list(base)
+        for _ in range(r.randint(0, 6)):
+            t[r.randrange(len(t))] = r.choice(base + ["new%d" % i])
+        near.append((i, " ".join(t), "a"))
+    return [*near, (100, None, None), (101, "", "b"), (102, " \n\t", "b"), (103, "one two", "c"), (104, "one two", "c"), (104, "one two", "c"), (None, "ONE two", "c"), (None, make(80), None), (105, make(300), "a"), (106, make(60) + "\nx y\nx y\n", "b"), (107, "Zz " * 400, "d")]
+
+
+def test_mixture(spark, rows):
+    out = mixing.mix_sources(texts(spark, rows)).collect()
+    assert len(out) == len(rows)
+    size = lambda t: len(WORD.findall(t or ""))
+    total = collections.Counter()
+    for _, t, s in rows:
+        total[s] += size(t)
+    order = sorted([s for s in total if s is not None]) + [None]
+    weight = dict(zip(order, [3, 1, 2] * 3))
+    target, free, rest = {}, set(order), 1.5 * sum(total.values())
+    while True:
+        share = rest / sum(weight[s] for s in free)
+        over = {s for s in free if share * weight[s] > 2 * total[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 2.0 * total[s]
+            rest -= target[s]
+        free -= over
+    target |= {s: share * weight[s] for s in free}
+    by_source = collections.Counter()
+    source = collections.defaultdict(list)
+    for i, t, s in rows:
+        source[i].append((s, size(t)))
+    for r in out:
+        assert 0 <= r.taken <= 2 * r.size and r.taken % max(1, r["size"]) == 0
+        s = next(s for s, n in source[r["_id"]] if n == r["size"] and total[s] == r.source_size)
+        assert abs(r.target - target[s]) < 1e-6
+        by_source[s] += r.taken
+    again = mixing.mix_sources(texts(spark, rows)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+    assert sum(r.copies for r in out) == mixing.repeat_rows(texts(spark, rows)).count()
+    assert mixing.mix_sources(texts(spark, [])).count() == 0
+
+
+def test_mixture_is_near_its_targets(spark):
+    r = random.Random(1)
+    df = spark.createDataFrame([(i, f"s{i % 7}", r.randint(1, 200)) for i in range(7000)], "doc_id long, source string, w int")
+    got = mixing.mix_sources(df, size=F.col("w").cast("long")).join(df.withColumnRenamed("doc_id", "_id"), "_id").groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
+    assert all(abs(x.t - x.g) <= 110 for x in got)
+
+
+def test_quality(spark, rows):
+    got = quality.quality_rules(texts(spark, rows)).select("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t = r.text or ""
+        w = WORD.findall(t)
+        tri = collections.Counter(zip(w, w[1:], w[2:]))
+        covered = {j for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
+        assert r.kept == (not r.base_failed and not r.failed_rules)
+    assert quality.quality_rules(texts(spark, [])).count() == 0
+
+
+def test_quality_keeps_prose_and_rejects_junk(spark):
+    prose = " ".join(["the", "river", "and", "hills", "of", "winter", "seem", "quiet"][(i * i + i // 3) % 8] + ("" if i % 7 else str(i)) for i in range(90))
+    junk = " ".join(f"word{i}&&&" for i in range(90))
+    got = {r.doc_id: r.kept for r in quality.quality_rules(texts(spark, [(1, prose, "a"), (2, junk, "a"), (3, None, "a")])).collect()}
+    assert got[2] is False and got[3] is False
+
+
+def shingles(t):
+    w = WORD.findall((t or "").translate(LOWER))
+    return frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def test_ngram_join(spark, rows):
+    sets = [(i, shingles(t)) for i, t, _ in rows]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(sets)):
+        for y in range(x):
+            a, b = sets[x][1], sets[y][1]
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                root[find(x)] = find(y)
+    least = collections.defaultdict(list)
+    for x, (i, _) in enumerate(sets):
+        least[find(x)].append(i)
+    want = collections.Counter((i, len(s), min([j for j in least[find(x)] if j is not None], default=None)) for x, (i, s) in enumerate(sets))
+    got = collections.Counter(tuple(r) for r in ngram_join.ngram_jaccard_join(texts(spark, rows)).collect())
+    assert got == want
+    assert ngram_join.ngram_jaccard_join(texts(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("large", [suffix_dedup.LARGE, 1])
+def test_suffix_dedup(spark, rows, large):
+    data = [*rows, (200, "a" * 900, "a"), (201, "b" + "a" * 450 + "c", "a")]
+    count = collections.Counter(b[i : i + 400] for _, t, _ in data for b in [(t or "").encode()] for i in range(len(b) - 399))
+    want = collections.Counter()
+    for i, t, _ in data:
+        b = (t or "").encode()
+        gone = [False] * len(b)
+        for j in range(len(b) - 399):
+            if count[b[j : j + 400]] > 1:
+                gone[j : j + 400] = [True] * 400
+        spans = sum(1 for j in range(len(b)) if gone[j] and (j == 0 or not gone[j - 1]))
+        want[i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()] += 1
+    assert collections.Counter(tuple(r) for r in suffix_dedup.suffix_dedup(texts(spark, data), large=large).collect()) == want
+    assert suffix_dedup.suffix_dedup(texts(spark, [])).count() == 0
+
+
+def test_suffix_arrays():
+    r = random.Random(2)
+    for trial in range(40):
+        letters, least = r.choice([b"ab", b"abc", bytes(range(256))]), r.choice([3, 8, 9, 16])
+        pieces = [bytes(r.choice(letters) for _ in range(r.randint(least, 60))) for _ in range(r.randint(1, 6))] + [b"a" * 50] * (trial % 2)
+        count = collections.Counter(p[i : i + least] for p in pieces for i in range(len(p) - least + 1))
+        for p, got in zip(pieces, suffix_dedup.repeated_starts(pieces, least)):
+            assert got.tolist() == [count[p[i : i + least]] > 1 for i in range(len(p) - least + 1)]
+
+
+TRICKY = ["", "  ", "  a", "It's we'll 'S x'T 123 a1b2!!??...", "İSTANBUL Σίσυφος ΣΑΣ", "é ́e á", "<|endoftext|>x y<|startoftext|> <|endoftext|>", "日本語テキスト 😀👍🏽 ​ 　z", "a\x00b \x1c\x1d c \x85 d\xa0e", "ﬁ Å ǅ K ſ ß ẞ", "thwhqx zzxxqq"]
+
+
+def test_bpe_is_the_library(spark, rows):
+    from tokenizers import Tokenizer
+
+    path = bpe.word_bpe_path()
+    library = Tokenizer.from_file(path)
+    r = random.Random(1)
+    data = [*rows, *[(300 + i, t, "t") for i, t in enumerate(TRICKY)], *[(400 + i, "".join(r.choice("aAéÉßΣ'’ \n\t\xa0!?9٣x😀́<|>tT") for _ in range(r.randint(1, 60))), "t") for i in range(300)]]
+    want = collections.Counter()
+    for i, t, _ in data:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want[i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    df = texts(spark, data)
+    assert collections.Counter(tuple(x) for x in bpe.bpe_digests(df, path).collect()) == want
+    whole = bpe.bpe_decode(bpe.bpe_encode(df, path), path).select("doc_id", F.expr("length(token_ids) div 4"), F.sha2("token_ids", 256), F.sha2("decoded", 256))
+    assert collections.Counter(tuple(x) for x in whole.collect()) == want
+    assert bpe.bpe_digests(texts(spark, []), path).count() == 0
+
+
+def test_lm_scores(spark, rows, monkeypatch):
+    kept = {}
+    learn = lm_score.learn_weights
+    monkeypatch.setattr(lm_score, "learn_weights", lambda *a: kept.setdefault("w", learn(*a)))
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    got = lm_score.lm_scores(texts(spark, rows), train).collect()
+    token = lambda t: [*WORD.findall((t or "").translate(LOWER)), "\n"]
+    learned = [token(t) for i, t, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    c = collections.Counter(w for t in learned for w in t)
+    pair = collections.Counter(p for t in learned for p in zip(["^", *t], t))
+    before = collections.Counter(p for t in learned for p in ["^", *t[:-1]])
+    n, v = sum(c.values()), len(c)
+    want = []
+    for i, t, _ in rows:
+        own, s = token(t), 0.0
+        for a, b in zip(["^", *own], own):
+            w = kept["w"][:, int(lm_score.context_bucket(np.array([before[a]]))[0])]
+            s += math.log10(w[0] * (pair[a, b] / before[a] if before[a] else 0) + w[1] * c[b] / n + w[2] / (v + 1))
+        want.append((str(i), len(own), sum(c[w] > 0 for w in own), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own), 6), round(s, 6)))
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(want)
+    none = lm_score.lm_scores(texts(spark, rows[:3]), F.lit(False)).collect()
+    assert all(r.score == 0 and r.held_out for r in none)
+    assert lm_score.lm_scores(texts(spark, []), train).count() == 0
+
+
+def test_lm_beats_its_base_on_held_out_texts(spark, sf_dir):
+    got = lm_score.op6_lm_score(spark, sf_dir).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got.s > got.b
+
+
+REPLY = {"add": {"a": ("integer", True), "b": ("number", False)}, "say": {"text": ("string", True)}}
+
+
+def test_tool_calls(spark):
+    calls = spark.createDataFrame(
+        [(1, "x", 0, "add", '{"b": 2.5, "a": 1}', []), (1, "y", 1, "add", '{"a": "1", "c": 0}', ["x"]), (1, "z", 2, "nope", "{}", ["y", "gone"]), (2, "p", 0, "say", '{"text":"é\\n"}', ["q"]), (2, "q", 1, "say", "broken", []),
+         (3, "c", 0, "say", '{"text":"a"}', ["d"]), (3, "d", 1, "say", '{"text":"b"}', ["c"]), (3, "d", 5, "say", '{"text":"later"}', []), (None, "n", 0, "say", '{"text":"t"}', [])],
+        "conv long, call string, at int, name string, arguments string, needs array<string>",
+    )
+    results = spark.createDataFrame([(1, "x", "3"), (1, "y", None), (9, "x", "alone"), (2, "q", "b"), (2, "q", "a")], "conv long, call string, content string")
+    got = {(r.conv, r.call, r.at): r for r in chat.link_tool_calls(calls, results, REPLY).collect()}
+    assert len(got) == 10
+    assert got[1, "x", 0].json == '{"arguments":{"a":1,"b":2.5},"content":"3","id":"x","name":"add"}' and got[1, "x", 0].problems == []
+    assert got[1, "y", 1].problems == ["a: not integer", "c: unknown"] and got[1, "y", 1].status == "linked"
+    assert got[1, "z", 2].problems == ["unknown tool"] and got[1, "z", 2].status == "no result"
+    assert got[2, "q", 1].problems == ["not an object"] and json.loads(got[2, "q", 1].json) == {"arguments": "broken", "content": "a", "id": "q", "name": "say"}
+    assert (got[2, "q", 1].level, got[2, "p", 0].level) == (0, 1) and json.loads(got[2, "p", 0].json)["arguments"] == {"text": "é\n"}
+    assert got[3, "c", 0].status == "cycle" and got[3, "d", 1].status == "cycle" and got[3, "d", 5].status == "repeated"
+    assert got[9, "x", None].status == "no call" and got[None, "n", 0].status == "no result"
+    assert chat.link_tool_calls(calls.limit(0), results.limit(0), REPLY).count() == 0
+
+
+def test_toxicity_learns_words_and_ignores_the_rest(spark):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    data, labels = [], []
+    for i in range(600):
+        t = [r.choice(words) for _ in range(60)]
+        if i % 5 == 0:
+            t[r.randrange(60)] = r.choice(["vile", "rotten"])
+        data.append((i, " ".join(t), "s"))
+        labels.append((i, int(i % 5 == 0)))
+    docs = texts(spark, [*data, (None, None, None), (700, "", "s"), (1, data[1][1], "s")])
+    marks = spark.createDataFrame([*labels[:400], (900, 1), (3, None)], "doc_id long, label int")
+    got = {(x.doc_id, x.text): x.score for x in toxicity.score(docs, toxicity.train(docs, marks)).collect()}
+    held = [(got[i, t] >= toxicity.THRESHOLD) == (i % 5 == 0) for i, t, _ in data[400:]]
+    assert sum(held) / len(held) > 0.95 and 0 <= got[None, None] == got[700, ""] < toxicity.THRESHOLD
+    empty = toxicity.train(docs, marks.limit(0))
+    assert {x.score for x in toxicity.score(docs, empty).collect()} == {0.5}
+
+
+def test_shards(spark, rows):
+    for n in (1, 2, 3, 17, 1000):
+        assert sorted(token_shards.feistel(np.arange(n), n, 9).tolist()) == list(range(n))
+    layout = token_shards.Layout(length=16, per_shard=10, waves=2)
+    path, manifest = token_shards.write_shards(texts(spark, rows), layout=layout)
+    records = {r.slot: np.frombuffer(r.record, "<u2") for r in token_shards.read_shards(spark, path, layout).collect()}
+    manifest = manifest.collect()
+    assert sorted(records) == sorted(r.slot for r in manifest) == list(range(len(records)))
+    encoding = token_shards.encoding(token_shards.byte_bpe_path())
+    want = collections.Counter()
+    for i, t, _ in rows:
+        ids = [*encoding.encode_ordinary(t or ""), token_shards.END]
+        want.update((i, s, tuple(ids[s * 16 : s * 16 + 16])) for s in range(-(-len(ids) // 16)))
+    assert collections.Counter((r["_id"], r.seq, tuple(records[r.slot][: r.n_tokens].tolist())) for r in manifest) == want
+    assert {r.slot for r in token_shards.read_shards(spark, path, layout, from_slot=25).collect()} == set(range(25, len(records)))
+    assert token_shards.write_shards(texts(spark, []), layout=layout)[1].count() == 0
+
+
+def test_embeddings(spark):
+    r = np.random.default_rng(1)
+    base = r.standard_normal((40, 16))
+    vectors = [(i, v.tolist()) for i, v in enumerate(base)]
+    vectors += [(100 + i, (base[i % 10] + 0.12 * r.standard_normal(16)).tolist()) for i in range(60)]
+    vectors += [(5, base[5].tolist()), (300, None), (301, [0.0] * 16), (302, [float("nan"), *base[1][1:].tolist()]), (303, [None, *base[1][1:].tolist()]), (304, [1.0]), (None, base[0].tolist()), (None, (-base[3]).tolist())]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<double>, n_links int, kept int")
+    good = [k for k, (i, v) in enumerate(vectors) if v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
+    x = np.array([vectors[k][1] for k in good])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    reach = near.copy()
+    for _ in range(8):
+        reach = reach @ reach
+    want = collections.Counter()
+    for k, (i, _) in enumerate(vectors):
+        if k in good:
+            g = good.index(k)
+            least = min([vectors[good[h]][0] for h in np.flatnonzero(reach[g]) if vectors[good[h]][0] is not None], default=None)
+            n = int(near[g].sum()) - 1
+        else:
+            least, n = i, 0
+        want[i, n, least, n == 0 if i is None else i == least] += 1
+    assert collections.Counter(tuple(r) for r in embedding_dedup.embedding_near_dups(df).collect()) == want
+    assert embedding_dedup.embedding_near_dups(df.limit(0)).count() == 0
+
+
+def test_embedding_recall(spark):
+    r = np.random.default_rng(2)
+    base = r.standard_normal((1500, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = r.standard_normal((1500, 32))
+    off -= (off * base).sum(1, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    x = np.concatenate([base, 0.905 * base + math.sqrt(1 - 0.905**2) * off])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = embedding_dedup.embedding_near_dups(df, how=embedding_dedup.Index(most_rows=1000, chunk=64)).agg(F.sum("n_links")).first()[0]
+    links = (x @ x.T >= 0.9).sum() - len(x)
+    assert 0.9 * links <= got <= links
+
+
+def test_components(spark):
+    r = random.Random(6)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(110)] + [(i, i + 1) for i in range(300, 340)] + [(1, 1), (None, 2)]
+    got = {x.node: x.root for x in graphs.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for a, b in edges:
+        if a is not None and a != b:
+            p, q = find(a), find(b)
+            root[max(p, q)] = min(p, q)
+    assert got == {v: find(v) for v in root}
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    a, s = textnum.hashed_words([b"x yy  zz", b"", b"\tyy x"], True)
+    assert s.tolist() == [0, 3, 3, 5] and a[0] == a[4] and a[1] == a[3] and len(set(a.tolist())) == 3
