@@ -63,15 +63,20 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     at = lambda j: F.get("__windows", j)["h"]
     twice = F.filter("__windows", lambda x, j: F.coalesce(x["h"] == at(j - 1), F.lit(False)) | F.coalesce(x["h"] == at(j + 1), F.lit(False)))
     covered = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
-    return sorted_.withColumns({
-        "n_words": n.cast("long"),
-        "word_chars": (F.col("__length") - F.col("__spaces")).cast("long"),
-        "n_symbols": F.col("__symbols").cast("long"),
-        "n_lines": F.size("__lines").cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_stop_words": F.size(F.filter(F.transform("__words", F.lower), lambda w: F.array_contains(stop, w))).cast("long"),
-        "n_repeat_words": F.when(n >= 3, covered).otherwise(0).cast("long"),
-    }).drop("__words", "__lines", "__symbols", "__spaces", "__length", "__windows")
+    # Generated from one structure a row: a filter on a measure can't be moved below, where it would be
+    # computed with all that it is made of, once for each window.
+    found = {
+        "n_words": n,
+        "word_chars": F.col("__length") - F.col("__spaces"),
+        "n_symbols": F.col("__symbols"),
+        "n_lines": F.size("__lines"),
+        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
+        "n_stop_words": F.size(F.filter(F.transform("__words", F.lower), lambda w: F.array_contains(stop, w))),
+        "n_repeat_words": F.when(n >= 3, covered).otherwise(0),
+    }
+    row = F.struct(*[v.cast("long").alias(k) for k, v in found.items()])
+    own = [c for c in df.columns if c not in found]
+    return sorted_.select(*[F.col(f"`{c}`") for c in own], F.explode(F.array(row)).alias("__found")).select(*[F.col(f"`{c}`") for c in own], "__found.*")
 
 
 def passes(rule: Rule) -> Column:
