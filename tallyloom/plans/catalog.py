@@ -158,7 +158,7 @@ def formals_overlap(spark, d):
 
 @query()
 def text_similarity(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("a"))
+    docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("a"))
     other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
     return C.text_similarity(docs.join(other, "doc_id"), "a", "b").select("doc_id", _r(F.col("similarity")).alias("similarity"))
 
@@ -557,8 +557,8 @@ def status_sort(spark, d):
 @query()
 def warnings_compare(spark, d):
     """Sorted messages of two sides of a conversation, compared as one text."""
-    c = _t(spark, d, "conversations").withColumn("line", F.substring("text", 1, 80))
-    side = lambda role, n: c.where(F.col("role") == role).groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias(n))
+    c = _t(spark, d, "conversations")
+    side = lambda role, n: c.where(F.col("role") == role).groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias(n))
     return C.text_similarity(side("user", "a").join(side("assistant", "b"), "conv_id"), "a", "b").select("conv_id", _r(F.col("similarity")).alias("similarity"))
 
 
