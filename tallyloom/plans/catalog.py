@@ -165,8 +165,9 @@ def text_similarity(spark, d):
 
 @query()
 def greedy_match(spark, d):
-    p = _t(spark, d, "part").where("p_partkey <= 400").select((F.col("p_partkey") % 40).alias("g"), "p_partkey", C.tokens(F.concat_ws(" ", "p_type", "p_name")).alias("t"))
-    rows, cols = p.where("p_partkey % 80 < 40"), p.where("p_partkey % 80 >= 40")
+    """Parts matched by their words within runs of ten keys, even keys as rows and odd ones as columns."""
+    p = _t(spark, d, "part").select(F.expr("p_partkey div 10").alias("g"), "p_partkey", C.tokens(F.concat_ws(" ", "p_type", "p_name")).alias("t"))
+    rows, cols = p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1")
     m = rows.select("g", F.col("p_partkey").alias("row"), F.col("t").alias("x")).join(cols.select("g", F.col("p_partkey").alias("col"), F.col("t").alias("y")), "g")
     return J.greedy_match(m.select("g", "row", "col", _r(C.jaccard(F.col("x"), F.col("y"))).alias("score")), "g")
 
