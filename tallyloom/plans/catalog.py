@@ -565,7 +565,7 @@ def warnings_compare(spark, d):
 
 @query()
 def html_similarity(spark, d):
-    p = _t(spark, d, "pages").select("page_id", F.substring("html", 1, 1500).alias("a"))
+    p = _t(spark, d, "pages").select("page_id", F.col("html").alias("a"))
     other = p.select((F.col("page_id") - 1).alias("page_id"), F.col("a").alias("b"))
     return p.join(other, "page_id").select("page_id", _r(M.markup_ratio(F.col("a"), F.col("b"))).alias("similarity"))
 
