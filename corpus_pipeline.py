@@ -25,14 +25,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the least id. A null id stays if it links with nothing."""
-    groups = ngram_jaccard_join(docs)
-    kept = shared_table(groups.where("component_id <=> _id").groupBy("_id").agg(F.count(F.lit(1)).alias("__rows")), "pipeline-kept")
-    found = docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    if kept.where("__rows > 1 and _id is not null").isEmpty():
-        return found.select(*COLUMNS)
-    once = found.where("__rows = 1 or doc_id is null").select(*COLUMNS)
-    return once.union(found.where("__rows > 1 and doc_id is not null").select(*COLUMNS).dropDuplicates(["doc_id"]))
+    """Of each component of similar documents the one with the least id, null ids last; rows that share an id, or have none, are told apart."""
+    docs = docs.select(*COLUMNS)
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or doc_id is null").isEmpty():
+        kept = shared_table(ngram_jaccard_join(docs).where("component_id = _id").select(F.col("_id").alias("doc_id")), "pipeline-kept")
+        return docs.join(kept.hint("shuffle_hash"), "doc_id").select(*COLUMNS)
+    rows = shared_table(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    groups = ngram_jaccard_join(rows, id_col="__row").select(F.col("_id").alias("__row"), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))
+    kept = shared_table(groups.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(least.alias("s")).select("s.__row"), "pipeline-kept")
+    return rows.join(kept.hint("shuffle_hash"), "__row").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
