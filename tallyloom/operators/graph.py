@@ -44,15 +44,35 @@ def topological_order(nodes: DataFrame, edges: DataFrame, group: str) -> DataFra
     return both.groupBy(group).applyInPandas(order, schema)
 
 
-def levels(spark, edges: DataFrame, most: int = 100) -> DataFrame:
-    """Longest distance of each node from the nodes without edges in (parent, child)."""
-    edges.createOrReplaceTempView("__tallyloom_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(node, level) AS (
-            SELECT DISTINCT parent, 0 FROM __tallyloom_edges WHERE parent NOT IN (SELECT child FROM __tallyloom_edges)
-            UNION ALL SELECT e.child, w.level + 1 FROM walk w JOIN __tallyloom_edges e ON e.parent = w.node WHERE w.level < {most})
-        SELECT node, MAX(level) AS level FROM walk GROUP BY node"""
-    )
+def _stored(df: DataFrame) -> DataFrame:
+    """Computed once: in the folder of spark.checkpoint.dir, or by the executors where it is unset (tests)."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """Longest distance of each node from the nodes without edges in (parent, child), to any depth.
+
+    Nodes that no such node leads to are left out, as are edges with a null end; a cycle that one leads to is a ValueError.
+    A node is done in the round after the last of its parents.
+    """
+    edges = edges.where("parent is not null and child is not null").select("parent", "child").distinct().transform(_stored)
+    children = lambda e: e.select(F.col("child").alias("node")).distinct()
+    of = lambda nodes: nodes.withColumnRenamed("node", "parent")
+    roots = edges.select(F.col("parent").alias("node")).distinct().join(children(edges), "node", "left_anti").transform(_stored)
+    seen = front = roots
+    while not front.isEmpty():
+        front = children(edges.join(of(front), "parent", "left_semi")).join(seen, "node", "left_anti").transform(_stored)
+        seen = seen.union(front).transform(_stored)
+    left, front, level = edges.join(of(seen), "parent", "left_semi").transform(_stored), roots, 0
+    out = roots.withColumn("level", F.lit(0))
+    while not front.isEmpty():
+        rest = left.join(of(front), "parent", "left_anti").transform(_stored)
+        front = children(left.join(of(front), "parent", "left_semi")).join(children(rest), "node", "left_anti").transform(_stored)
+        left, level = rest, level + 1
+        out = out.union(front.withColumn("level", F.lit(level)))
+    if not left.isEmpty():
+        raise ValueError("levels: a node without edges in leads to a cycle")
+    return out
 
 
 def free_names(uses: DataFrame, definitions: DataFrame, group: str) -> DataFrame:

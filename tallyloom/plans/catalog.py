@@ -491,7 +491,7 @@ w(node, level) AS (SELECT DISTINCT parent, 0 FROM e WHERE parent NOT IN (SELECT
 def dep_levels(spark, d):
     n, s = _t(spark, d, "nation"), _t(spark, d, "supplier")
     name = lambda p, c: F.concat(F.lit(p), c)
-    return G.levels(spark, n.select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child")).union(s.select(name("n", "s_nationkey"), name("s", "s_suppkey"))))
+    return G.levels(n.select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child")).union(s.select(name("n", "s_nationkey"), name("s", "s_suppkey"))))
 
 
 @query()
