@@ -183,8 +183,7 @@ def op1_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH d AS (SELECT doc_id, source, COALESCE(LEN(REGEXP_EXTRACT_ALL(text, '[^ 	-
-]+')), 0)::BIGINT AS size,
+WITH d AS (SELECT doc_id, source, COALESCE(LEN(REGEXP_EXTRACT_ALL(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     ('0x' || SUBSTR(MD5('mix-1:' || COALESCE(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS ord FROM documents),
 p AS (SELECT source, SUM(size)::BIGINT AS total, COUNT(*) AS n, [3, 1, 2][((ROW_NUMBER() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3) + 1]::BIGINT AS w FROM d GROUP BY source),
 f AS (SELECT *, SUM(2 * total) OVER up - 2 * total AS before, SUM(w) OVER () - SUM(w) OVER up + w AS open, 3 * SUM(total) OVER () AS goal

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -17,16 +19,44 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset (tests)."""
+    """spark.checkpoint.dir of the session; where it is unset a temporary folder, which only a local master may use."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(spark, "_tallyloom_dir"):
         SparkSession._tallyloom_dir = tempfile.mkdtemp(prefix="tallyloom-")
         atexit.register(shutil.rmtree, SparkSession._tallyloom_dir, True)
     return f"file://{SparkSession._tallyloom_dir}"
 
 
+def lean(run):
+    """``run``, a function on Arrow batches, that gives memory back to the system when its task ends.
+
+    Python workers outlive their tasks, and what they keep would stand beside the memory of later stages.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python, once for each application."""
     context = spark.sparkContext
@@ -90,3 +120,17 @@ def input_parts(df: DataFrame, part_bytes: int = 8 << 20) -> int:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = df.sparkSession.sparkContext.defaultParallelism
     return 2 * least if size > 1 << 52 else max(least, size // part_bytes + 1)
+
+
+def meet(rows: DataFrame, few: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` and ``few`` (a shared table, its keys unique) in which no hot key lands in one task.
+
+    ``few`` says in ``weight`` how many of the ``total`` rows have a key, at least. Keys with over a thousandth of
+    them are under 1,000, so these are broadcast; the rest is shuffled by key. ``weight`` is left out.
+    """
+    from pyspark.sql import functions as F
+
+    hot = F.col(weight) * 1000 > total
+    most = F.broadcast(few.where(hot).drop(weight))
+    rest = rows.join(F.broadcast(few.where(hot).select(*keys)), keys, "left_anti")
+    return rows.join(most, keys).unionByName(rest.join(few.where(~hot).drop(weight), keys))

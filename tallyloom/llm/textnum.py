@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -9,10 +10,13 @@ import numpy as np
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-#: Bytes that are hashed at once; a longer text is hashed alone.
-CHUNK = 4 << 20
+#: Bytes that are hashed at once; longer texts are cut at white space, a longer word is hashed alone.
+CHUNK = 1 << 19
+#: Powers that a Python worker keeps for each base.
+_KEPT = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BLANKS = [b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SAME = np.arange(256, dtype=np.uint8)
@@ -32,8 +36,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _CODE = mixed(np.arange(1, 257, dtype=np.uint64)) | _U(1)
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> np.ndarray:
+def _made_powers(base: int, n: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
     out[0] = 1
     done = 1
@@ -44,8 +47,27 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+_kept_powers = lru_cache(maxsize=4)(_made_powers)
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(16, int(n).bit_length()))[:n]
+    """The first n powers; a worker keeps at most ``_KEPT`` of a base."""
+    if n > _KEPT:
+        return _made_powers(base, n)
+    return _kept_powers(base, 1 << max(16, int(n).bit_length()))[:n] if n < _KEPT else _kept_powers(base, _KEPT)
+
+
+def _cuts(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of CHUNK bytes at most, cut at white space; a longer word is a piece."""
+    at = 0
+    while len(text) - at > CHUNK:
+        end = max(text.rfind(b, at, at + CHUNK) for b in _BLANKS)
+        if end <= at:
+            after = [e for b in _BLANKS if (e := text.find(b, at + 1)) > 0]
+            end = min(after, default=len(text))
+        yield text[at:end]
+        at = end
+    yield text[at:]
 
 
 def hashed_words(texts: list[bytes], lower: bool = False, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -54,34 +76,46 @@ def hashed_words(texts: list[bytes], lower: bool = False, first: int | None = No
     ``lower`` lower-cases A-Z first; ``first`` takes only so many bytes of each word. A word's hash is a polynomial of its bytes modulo 2**64,
     scrambled, and depends on nothing around it.
     """
-    parts, counts = [], []
-    group, size = [], 0
-    for t in [*texts, None]:
-        if group and (t is None or size + len(t) > CHUNK):
+    parts, counts = [], np.zeros(len(texts), np.int64)
+    group, owners, size = [], [], 0
+
+    def flush():
+        nonlocal group, owners, size
+        if group:
             words, n = _hashed(group, lower, first)
             parts.append(words)
-            counts.append(n)
-            group, size = [], 0
-        if t is not None:
-            group.append(t)
-            size += len(t) + 1
+            np.add.at(counts, owners, n)
+        group, owners, size = [], [], 0
+
+    for i, t in enumerate(texts):
+        for piece in _cuts(t) if len(t) > CHUNK else (t,):
+            if size + len(piece) > CHUNK:
+                flush()
+            group.append(piece)
+            owners.append(i)
+            size += len(piece) + 1
+    flush()
     starts = np.zeros(len(texts) + 1, np.int64)
-    if counts:
-        np.cumsum(np.concatenate(counts), out=starts[1:])
+    np.cumsum(counts, out=starts[1:])
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), starts
 
 
 def _hashed(texts: list[bytes], lower: bool, first: int | None) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    space = _SPACE[raw]
-    edge = np.diff(space.view(np.int8), prepend=np.int8(1))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    start, end = word_edges(raw)
+    ends = np.cumsum([len(t) + 1 for t in texts])
     if first is not None:
         end = np.minimum(end, start + first)
     code = _CODE[(_LOWER if lower else _SAME)[raw]]
     code *= powers(_BASE, len(raw))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code)])
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(code, out=total[1:])
     words = (total[end] - total[start]) * powers(_INVERSE, len(raw))[start]
     words = mixed(words ^ (end - start).astype(np.uint64))
-    ends = np.cumsum([len(t) + 1 for t in texts])
     return words, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def word_edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text that ends with white space begin and end."""
+    edge = np.diff(_SPACE[raw].view(np.int8), prepend=np.int8(1))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)

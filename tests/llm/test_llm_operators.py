@@ -130,31 +130,75 @@ def test_ngram_join(spark, rows):
     assert ngram_join.ngram_jaccard_join(texts(spark, [])).count() == 0
 
 
+def covered(places, least):
+    """Flags of what strings that start at the given places cover."""
+    out = [False] * (max(places, default=-1) + least)
+    for p in places:
+        out[p : p + least] = [True] * least
+    return out
+
+
+def suffix_dedup_by_force(data, least, words):
+    """(id, bytes, removed, spans, sha256, words in passages) of each row."""
+    raw = [(t or "").encode() for _, t, _ in data]
+    count = collections.Counter(b[i : i + least] for b in raw for i in range(len(b) - least + 1))
+    owners = collections.defaultdict(set)
+    split = [b.split() for b in raw]
+    for (i, _, _), b, w in zip(data, raw, split):
+        for k in range(len(w) - words + 1):
+            owners[tuple(w[k : k + words])].add((i, b))
+    out = collections.Counter()
+    for (i, _, _), b, w in zip(data, raw, split):
+        gone = covered([k for k in range(len(b) - least + 1) if count[b[k : k + least]] > 1], least)
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        kept = b"".join(b[k : k + 1] for k, g in enumerate(gone) if not g) + b[len(gone) :]
+        passages = sum(covered([k for k in range(len(w) - words + 1) if len(owners[tuple(w[k : k + words])]) > 1], words))
+        out[i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest(), passages] += 1
+    return out
+
+
 @pytest.mark.parametrize("large", [suffix_dedup.LARGE, 1])
 def test_suffix_dedup(spark, rows, large):
-    data = [*rows, (200, "a" * 900, "a"), (201, "b" + "a" * 450 + "c", "a")]
-    count = collections.Counter(b[i : i + 400] for _, t, _ in data for b in [(t or "").encode()] for i in range(len(b) - 399))
-    want = collections.Counter()
-    for i, t, _ in data:
-        b = (t or "").encode()
-        gone = [False] * len(b)
-        for j in range(len(b) - 399):
-            if count[b[j : j + 400]] > 1:
-                gone[j : j + 400] = [True] * 400
-        spans = sum(1 for j in range(len(b)) if gone[j] and (j == 0 or not gone[j - 1]))
-        want[i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()] += 1
-    assert collections.Counter(tuple(r) for r in suffix_dedup.suffix_dedup(texts(spark, data), large=large).collect()) == want
-    assert suffix_dedup.suffix_dedup(texts(spark, [])).count() == 0
+    passage = " ".join(f"w{i}" for i in range(51))
+    data = [*rows, (200, "a" * 900, "a"), (201, "b" + "a" * 450 + "c", "a"), (210, "x " + passage + " y", "a"), (211, passage.replace(" ", "\n\t") + " z", "a"), (212, passage[:-1] + "!", "a"), (213, passage.upper() + " " + passage.upper(), "a")]
+    got = suffix_dedup.suffix_dedup(texts(spark, data), counted=suffix_dedup.WORDS, large=large).collect()
+    assert collections.Counter(tuple(r) for r in got) == suffix_dedup_by_force(data, 400, 51)
+    assert {r.doc_id: r.n_passage_words for r in got if r.doc_id in range(210, 214)} == {210: 51, 211: 51, 212: 0, 213: 0}
+    assert suffix_dedup.suffix_dedup(texts(spark, []), counted=suffix_dedup.WORDS).count() == 0
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    r = random.Random(8)
+    word = ["".join(r.choice("abcdefghij") for _ in range(r.randint(1, 9))) for _ in range(5000)]
+    long = " ".join(r.choice(word) for _ in range(110_000))
+    assert len(long) > suffix_dedup.BLOCK
+    data = [(1, long, "a"), (2, "q " + long[520_000:521_500], "a"), (3, long[3:600] + long[100_000:100_399], "a"), (4, "z" * 530_000, "a")]
+    got = suffix_dedup.suffix_dedup(texts(spark, data), counted=suffix_dedup.WORDS).collect()
+    assert collections.Counter(tuple(r) for r in got) == suffix_dedup_by_force(data, 400, 51)
+
+
+def test_removal_of_words(spark):
+    passage = " ".join(f"w{i}" for i in range(51))
+    data = [(1, "start " + passage + "  end", "a"), (2, passage, "a"), (3, "short", "a"), (4, None, "a")]
+    got = suffix_dedup.suffix_dedup(texts(spark, data), removed=(suffix_dedup.BYTES, suffix_dedup.WORDS), keep_text=True).collect()
+    assert {r.doc_id: (r.kept_text, r.n_spans) for r in got} == {1: ("start   end", 1), 2: ("", 1), 3: ("short", 0), 4: ("", 0)}
 
 
 def test_suffix_arrays():
     r = random.Random(2)
-    for trial in range(40):
-        letters, least = r.choice([b"ab", b"abc", bytes(range(256))]), r.choice([3, 8, 9, 16])
-        pieces = [bytes(r.choice(letters) for _ in range(r.randint(least, 60))) for _ in range(r.randint(1, 6))] + [b"a" * 50] * (trial % 2)
-        count = collections.Counter(p[i : i + least] for p in pieces for i in range(len(p) - least + 1))
-        for p, got in zip(pieces, suffix_dedup.repeated_starts(pieces, least)):
-            assert got.tolist() == [count[p[i : i + least]] > 1 for i in range(len(p) - least + 1)]
+    for trial in range(60):
+        letters, least, width = r.choice([b"ab", b"abc", bytes(range(256))]), r.choice([3, 8, 9, 16, 50]), 1 + trial % 2
+        pieces = [bytes(r.choice(letters) for _ in range(width * r.randint(least, 120))) for _ in range(r.randint(1, 6))] + [b"a" * 100] * (trial % 3)
+        owners = np.array([r.choice([-1, 0, 1]) for _ in pieces]) if trial % 4 == 0 else None
+        starts = [(p, i) for p, x in enumerate(pieces) for i in range(len(x) // width - least + 1)]
+        string = lambda p, i: pieces[p][width * i : width * (i + least)]
+        seen = collections.defaultdict(list)
+        for p, i in starts:
+            seen[string(p, i)].append(0 if owners is None else int(owners[p]))
+        several = lambda o: len(o) > 1 and (owners is None or min(o) < 0 or len(set(o)) > 1)
+        want = {(p, i) for p, i in starts if several(seen[string(p, i)])}
+        got = [(int(p), i) for p, a, b in zip(*suffix_dedup.repeated_starts(pieces, least, width, owners)) for i in range(a, b + 1)]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 TRICKY = ["", "  ", "  a", "It's we'll 'S x'T 123 a1b2!!??...", "İSTANBUL Σίσυφος ΣΑΣ", "é ́e á", "<|endoftext|>x y<|startoftext|> <|endoftext|>", "日本語テキスト 😀👍🏽 ​ 　z", "a\x00b \x1c\x1d c \x85 d\xa0e", "ﬁ Å ǅ K ſ ß ẞ", "thwhqx zzxxqq"]
