@@ -14,13 +14,13 @@ from tallyloom.llm.mixing import repeat_rows
 from tallyloom.llm.ngram_join import ngram_jaccard_join
 from tallyloom.llm.quality import quality_rules
 from tallyloom.llm.storage import shared_table
-from tallyloom.llm.suffix_dedup import suffix_dedup
+from tallyloom.llm.suffix_dedup import BYTES, WORDS, suffix_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; a null or empty text is under 50 words, so it goes. Every row is judged alone: ids don't matter."""
     return quality_rules(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
@@ -38,18 +38,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that also occur elsewhere; those left empty stay as empty ones."""
-    out = suffix_dedup(docs, keep_text=True, keep_cols=["doc_id", "lang", "source"])
+    """Documents without strings of 400 bytes that also occur elsewhere, and without passages of over 50 words that other documents have.
+
+    What is left empty stays as an empty document; a null text becomes one; rows that share id and text lose what the bytes' rule takes.
+    """
+    out = suffix_dedup(docs, removed=(BYTES, WORDS), keep_text=True, keep_cols=["doc_id", "lang", "source"])
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of their sources takes them."""
+    """Documents as often as the mixture of their sources takes them; a null source is one of its own, rows that repeat an id share its draw."""
     return repeat_rows(docs.select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document of the mixture, as little-endian unsigned 32-bit integers."""
+    """Token ids of each row of the mixture, as little-endian unsigned 32-bit integers; a null or empty text has none."""
     out = bpe_encode(docs.select("doc_id", "source", "text"), word_bpe_path()).drop("text")
     return out.select("doc_id", "source", F.expr("cast(length(token_ids) div 4 as bigint)").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), "token_ids")
 
