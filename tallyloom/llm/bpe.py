@@ -18,10 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import ship
+from .storage import lean, ship
 
-#: Pieces that a Python worker remembers at once.
-CACHE_PIECES = 250_000
+#: Pieces that a Python worker remembers at once, each of so many bytes at most.
+CACHE_PIECES, CACHE_BYTES = 60_000, 64
 
 
 def _byte_chars() -> dict[int, str]:
@@ -103,14 +103,17 @@ class ForcedBoundaryBPE:
             parts = []
             for word in self.words(text):
                 if (part := self.seen_words.get(word)) is None:
-                    if len(self.seen_words) >= CACHE_PIECES:
-                        self.seen_words.clear()
-                    part = self.seen_words[word] = self.encode_word(word)
+                    part = self.encode_word(word)
+                    if len(word) <= CACHE_BYTES:
+                        if len(self.seen_words) >= CACHE_PIECES:
+                            self.seen_words.clear()
+                        self.seen_words[word] = part
                 parts.append(part)
             found = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
-        if len(self.seen) >= CACHE_PIECES:
-            self.seen.clear()
-        self.seen[piece] = found
+        if len(piece) <= CACHE_BYTES:
+            if len(self.seen) >= CACHE_PIECES:
+                self.seen.clear()
+            self.seen[piece] = found
         return found
 
     def pieces(self, text: bytes) -> list[tuple[bytes, bytes]]:
@@ -136,6 +139,12 @@ def _texts(column: pa.Array):
         yield x.as_py() or b""
 
 
+def _slices(batches, rows: int = 512):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """``df`` with the ids of its texts as a binary column of little-endian unsigned 32-bit integers.
 
@@ -150,12 +159,12 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
 
     def run(batches):
         bpe = loaded(path)
-        for batch in batches:
+        for batch in _slices(batches):
             at = batch.schema.get_field_index(text_col)
             ids = pa.array([bpe.encode_text(t) for t in _texts(batch.column(at))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, ids_col])
 
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(lean(run), schema)
 
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -166,12 +175,12 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "token_ids", text_col: s
 
     def run(batches):
         bpe = loaded(path)
-        for batch in batches:
+        for batch in _slices(batches):
             at = batch.schema.get_field_index(ids_col)
             texts = pa.array([bpe.decode(t) for t in _texts(batch.column(at))], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, text_col])
 
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(lean(run), schema)
 
 
 def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,7 +201,7 @@ def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 texts.append(digest(b"".join([p[1] for p in pieces])[:-1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=schema.names)
 
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(lean(run), schema)
 
 
 def word_bpe_path() -> str:

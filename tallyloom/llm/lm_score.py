@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import input_parts, shared_table, ship
+from .storage import input_parts, lean, shared_table, ship
 from .textnum import hashed_words, mixed
 
 #: Buckets of context counts: 0, 1, 2-3, 4-7, ...; steps of the logarithms of estimates in the held-out counts.
 BUCKETS, STEPS, BINS = 26, 8, 400
 ROUNDS = 60
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-_KINDS = "bucket long, part int, blob binary, counts binary"
+_KINDS = "bucket long, part int, blob binary, counts binary, tokens long, distinct long"
 
 
 class _Bucket:
@@ -85,7 +85,7 @@ def _texts(table: pa.Table) -> list[bytes]:
     return [x or b"" for x in table.column("text").cast(pa.large_binary()).to_pylist()]
 
 
-_ASK = pa.schema([("bucket", pa.int64()), ("part", pa.int32()), ("blob", pa.binary()), ("counts", pa.binary())])
+_ASK = pa.schema([("bucket", pa.int64()), ("part", pa.int32()), ("blob", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64())])
 
 
 def _ask(parts: int):
@@ -118,7 +118,7 @@ def _answer(batches):
             own = total[where[at : at + n]]
             yield pa.RecordBatch.from_pylist([{"bucket": name, "part": part, "counts": own.astype(np.uint32 if own.max() < 1 << 32 else np.uint64).tobytes(), "blob": n.to_bytes(8, "little")}], _ASK)
             at += n
-        yield pa.RecordBatch.from_pylist([{"bucket": None, "part": part, "blob": np.array([single.sum(), (single > 0).sum()], np.uint64).tobytes(), "counts": None}], _ASK)
+        yield pa.RecordBatch.from_pylist([{"part": part, "tokens": int(single.sum()), "distinct": int((single > 0).sum())}], _ASK)
 
 
 def _with_counts(batches) -> Iterator[tuple[pa.Table, _Bucket, np.ndarray]]:
@@ -214,18 +214,18 @@ def lm_scores(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: st
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(buckets)).alias("bucket"), F.lit(None).cast("int").alias("part"),
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"),
     )
-    asked = docs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_ask(parts), _KINDS)
-    replies = shared_table(asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answer, _KINDS), "lm-counts")
-    sums = replies.where("bucket is null").select("blob").collect()  # one row of 16 bytes a part
-    n, v = (float(x) for x in np.sum([np.frombuffer(r.blob, np.uint64) for r in sums], axis=0)) if sums else (0.0, 0.0)
+    # One bucket or part to a task, so that none is larger than meant.
+    asked = docs.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(lean(_ask(parts)), _KINDS)
+    replies = shared_table(asked.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(lean(_answer), _KINDS), "lm-counts")
+    n, v = (float(x or 0) for x in replies.where("bucket is null").agg(F.sum("tokens"), F.sum("distinct")).first())
     answered = replies.where("bucket is not null").select("bucket", "part", F.lit(None).cast(docs.schema["id"].dataType).alias("id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("train"), "blob", "counts")
     both = docs.withColumns({"blob": F.lit(None).cast("binary"), "counts": F.lit(None).cast("binary")}).union(answered)
-    both = both.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    cells = both.mapInArrow(_held_out_counts(n), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    both = both.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
+    cells = both.mapInArrow(lean(_held_out_counts(n)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     cells = shared_table(cells, "lm-held-out").orderBy("cell").toPandas()  # BUCKETS * BINS * BINS rows at most
     weights = learn_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64), 1 / (v + 1))
     schema = docs.select("id", F.lit(True).alias("held_out"), *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known")], *[F.lit(0.0).alias(c) for c in ("base_score", "score")]).schema
-    out = both.mapInArrow(_score(n, v, weights, schema.names), schema)
+    out = both.mapInArrow(lean(_score(n, v, weights, schema.names)), schema)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import components
-from .storage import discard, input_parts, shared_table, ship
+from .storage import discard, input_parts, lean, shared_table, ship
 from .textnum import hashed_words, mixed, powers
 
 WORDS, PERCENT, ORDERS = 5, 80, 3
-#: Tokens and documents that a map task sends off at once.
-BATCH_TOKENS, BATCH_DOCS = 2_000_000, 60_000
+#: Tokens and documents that a map task sends off at once; tokens of a row to a part at least, on average; parts at most.
+BATCH_TOKENS, BATCH_DOCS, ROW_TOKENS, MOST_PARTS = 1_000_000, 60_000, 64, 1 << 16
+#: Rows that are Python objects at once.
+ROWS = 256
 _LOW = np.uint64((1 << 48) - 1)
 _SCHEMA = "part int, batch long, blob binary, ids array<long>, sizes array<int>, prints array<binary>"
 
@@ -88,6 +90,8 @@ _ARROW = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("blob", pa.bin
 
 
 def _scan(k: int, parts: int):
+    most = max(BATCH_TOKENS, ROW_TOKENS * parts)
+
     def run(batches):
         from pyspark import TaskContext
 
@@ -99,9 +103,9 @@ def _scan(k: int, parts: int):
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 texts = [x or b"" for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
-                for at in range(0, len(ids), 1000):
-                    for i, s in zip(ids[at : at + 1000], shingle_sets(texts[at : at + 1000], k), strict=True):
-                        if held and (size + len(s) > BATCH_TOKENS or len(held) >= BATCH_DOCS):
+                for at in range(0, len(ids), ROWS):
+                    for i, s in zip(ids[at : at + ROWS], shingle_sets(texts[at : at + ROWS], k), strict=True):
+                        if held and (size + len(s) > most or len(held) >= BATCH_DOCS):
                             yield from _send(held, parts, number)
                             held, size, number = [], 0, number + 1
                         held.append((i, s, hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None))
@@ -117,11 +121,12 @@ def _grouped(batches, key: int) -> Iterator[list[dict]]:
     """Rows with the same value of a column that stand together."""
     held: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
-            if held and row[key] != held[0][key]:
-                yield held
-                held = []
-            held.append(row)
+        for at in range(0, batch.num_rows, ROWS):
+            for row in batch.slice(at, ROWS).to_pylist():
+                if held and row[key] != held[0][key]:
+                    yield held
+                    held = []
+                held.append(row)
     if held:
         yield held
 
@@ -186,6 +191,12 @@ def _back(percent: int):
     return run
 
 
+def _slices(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -195,7 +206,7 @@ def _postings(percent: int, few: int | None):
     schema = pa.schema([("token", pa.int64()), ("print", pa.binary()), ("n", pa.int32()), ("u", pa.int32()), ("pos", pa.int32())])
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for r in batch.to_pylist():
                 tokens = np.frombuffer(r["tokens"], np.int64)
@@ -224,7 +235,7 @@ def _verify(percent: int, orders: int, all_pairs: bool):
         return tokens if keep >= len(tokens) else tokens[np.argpartition(keys, keep - 1)[:keep]] if keep > 0 else tokens[:0]
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for r in batch.to_pylist():
                 x, y = np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["tokens_b"], np.uint64)
@@ -243,7 +254,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int, orders: int, all
     sets = nodes.select("print", "n", "tokens", "classes")
     first = pairs.join(sets.withColumnRenamed("print", "a"), "a")
     both = first.join(sets.select(F.col("print").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"), F.col("classes").alias("classes_b")), "b")
-    return shared_table(both.mapInArrow(_verify(percent, orders, all_pairs), "a binary, b binary, common int, linked boolean"), "ngram-links")
+    return shared_table(both.mapInArrow(lean(_verify(percent, orders, all_pairs)), "a binary, b binary, common int, linked boolean"), "ngram-links")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -274,20 +285,20 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     ship(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = min(input_parts(docs, 4 << 20), 1 << 16)
-    sent = docs.mapInArrow(_scan(words, parts), _SCHEMA)
-    counted = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_count, _SCHEMA + ", classes binary")
-    back = counted.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(_back(percent), "id long, n int, print binary, tokens binary, classes binary")
+    parts = min(input_parts(docs, 4 << 20), MOST_PARTS)
+    sent = docs.mapInArrow(lean(_scan(words, parts)), _SCHEMA)
+    counted = sent.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(lean(_count), _SCHEMA + ", classes binary")
+    back = counted.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(lean(_back(percent)), "id long, n int, print binary, tokens binary, classes binary")
     table = shared_table(back, "ngram-sets")
 
     kept = table.where("tokens is not null").select("print", "n", "tokens", "classes")
     nodes = shared_table(kept.groupBy("print").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("classes").alias("classes")), "ngram-nodes")
     posted = "token long, print binary, n int, u int, pos int"
-    few = nodes.mapInArrow(_postings(percent, 2), posted)
+    few = nodes.mapInArrow(lean(_postings(percent, 2)), posted)
     measured = _verified(_stars(few), nodes, percent, orders, all_pairs=True)
     links = measured.where("linked").select("a", "b")
 
-    index = shared_table(nodes.mapInArrow(_postings(percent, None), posted), "ngram-index")
+    index = shared_table(nodes.mapInArrow(lean(_postings(percent, None)), posted), "ngram-index")
     found = components(links)
     first_open = _undecided(index, found)
     discard(index, found)

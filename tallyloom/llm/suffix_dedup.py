@@ -417,7 +417,7 @@ def _remove(removed: tuple[Unit, ...], counted: Unit | None, keep_text: bool):
 
 
 class _Found(NamedTuple):
-    """Segments of one unit, their kinds (equal ones are one), and the kinds that share an anchor with others."""
+    """Segments of one unit that share an anchor with others, their kinds (equal ones are one), and the kinds of anchors that have several."""
 
     segments: DataFrame
     kinds: DataFrame
@@ -426,12 +426,14 @@ class _Found(NamedTuple):
 
 def _kinds(docs: DataFrame, unit: Unit) -> _Found:
     found = shared_table(docs.select("k1", "k2", "raw").mapInArrow(_scan(unit), "h long, s long, k1 long, k2 long, lo int, hi int, at int"), "suffix-segments")
+    common = shared_table(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-common")
+    shared = shared_table(meet(found, common, ["h"], "n", found.count()), "suffix-shared")
+    discard(found, common)
     row = F.struct("k1", "k2", "lo", "hi", "at")
-    kinds = found.groupBy("h", "s").agg(F.count(F.lit(1)).alias("c"), F.min(row).alias("x"), F.max(F.struct("k1", "k2")).alias("y"))
+    kinds = shared.groupBy("h", "s").agg(F.count(F.lit(1)).alias("c"), F.min(row).alias("x"), F.max(F.struct("k1", "k2")).alias("y"))
     kinds = shared_table(kinds.select("h", "s", "c", (F.struct("x.k1", "x.k2") != F.col("y")).alias("across"), "x.*"), "suffix-kinds")
     heads = shared_table(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1").withColumn("w", F.col("d")), "suffix-heads")
-    mixed_kinds = meet(kinds, heads, ["h"], "w", kinds.count())
-    return _Found(found, kinds, mixed_kinds.withColumn("words", F.lit(unit.words)))
+    return _Found(shared, kinds, meet(kinds, heads, ["h"], "w", kinds.count()).withColumn("words", F.lit(unit.words)))
 
 
 def _starts(found: _Found, marks: DataFrame, unit: Unit) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import ship
+from .storage import lean, ship
 from .textnum import hashed_words, mixed
 
 #: Features are numbered by so many bits of their hashes; beginnings of words have so many bytes.
@@ -86,7 +86,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl(), id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f.tobytes() for f in found], pa.binary())], names=["h", "y", "x"])
 
     rows = chosen.select(F.xxhash64("__id").alias("h"), "__text", "__label")
-    got = rows.mapInArrow(run, "h long, y double, x binary").toPandas().sort_values(["h", "y", "x"], kind="stable")
+    got = rows.mapInArrow(lean(run), "h long, y double, x binary").toPandas().sort_values(["h", "y", "x"], kind="stable")
     return fit_ftrl([np.frombuffer(x, np.int32) for x in got["x"]], got["y"].to_numpy(), how)
 
 
@@ -110,7 +110,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col:
             out = [1 / (1 + np.exp(-np.clip(bias + w[f].sum(), -35, 35))) for f in features(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, score_col])
 
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: Column, modulus: int) -> Column:
