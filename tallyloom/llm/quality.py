@@ -40,6 +40,9 @@ RULES = (
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words")
+
+
 def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with the measures of its texts: n_words, word_chars, n_symbols, n_lines, n_dup_lines,
     n_stop_words, n_repeat_words (all long).
@@ -49,12 +52,14 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     stop = F.array(*[F.lit(w) for w in sorted({w for v in STOP_WORDS.values() for w in v.split()})])
-    split = df.withColumns({
-        "__words": F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
-        "__lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)),
-        "__symbols": F.regexp_count(text, F.lit(SYMBOL)),
-        "__spaces": F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]")),
-        "__length": F.length(text),
+    own = [c for c in df.columns if c not in MEASURES]
+    # The caller's columns travel as one structure, so that names of their own can't clash with those made here.
+    split = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row") if own else F.lit(None).alias("__row"), text.alias("__text")).withColumns({
+        "__words": F.regexp_extract_all("__text", F.lit(WORD), F.lit(0)),
+        "__lines": F.filter(F.split("__text", "\n"), lambda x: x.rlike(WORD)),
+        "__symbols": F.regexp_count("__text", F.lit(SYMBOL)),
+        "__spaces": F.regexp_count("__text", F.lit(r"[\x20\x09-\x0D]")),
+        "__length": F.length("__text"),
     })
     n = F.size("__words")
     word = lambda i: F.col("__words")[i]
@@ -75,8 +80,7 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
         "n_repeat_words": F.when(n >= 3, covered).otherwise(0),
     }
     row = F.struct(*[v.cast("long").alias(k) for k, v in found.items()])
-    own = [c for c in df.columns if c not in found]
-    return sorted_.select(*[F.col(f"`{c}`") for c in own], F.explode(F.array(row)).alias("__found")).select(*[F.col(f"`{c}`") for c in own], "__found.*")
+    return sorted_.select("__row", F.explode(F.array(row)).alias("__found")).select(*[F.col("__row").getField(c).alias(c) for c in own], "__found.*")
 
 
 def passes(rule: Rule) -> Column:

@@ -1,7 +1,8 @@
 """Training-order materialisation of token sequences as fixed-stride binary shards.
 
-Every text's ids and an end token are cut into sequences of ``length`` ids, the last one padded. A keyed
-Feistel permutation of the sequences' running numbers, with cycle-walking for counts that are no power
+Every text's ids and an end token are cut into sequences of ``length`` ids, the last one padded. Sequences are
+numbered in the order of a hash of their document, so numbers depend on the rows alone, not on how Spark
+splits them. A keyed Feistel permutation of the numbers, with cycle-walking for counts that are no power
 of two, gives each its global slot. Shard s holds slots s * per_shard to (s + 1) * per_shard - 1 in
 order, one record each: ``length`` little-endian 16-bit ids and a line feed, so record k of a shard
 begins at byte k * stride and a reader can begin at any slot.
@@ -16,14 +17,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import freed_shuffles, shared_dir, shared_table, ship
+from .storage import freed_shuffles, input_parts, lean, shared_dir, shared_table, ship
 from .textnum import mixed
 
 #: The end token and the padding, free in the vocabulary; rounds of the permutation.
 END, PAD, ROUNDS = 50256, 50257, 6
+#: Ranges of the hash that documents are numbered within; their sizes, a row each, are broadcast.
+RANGES = 1 << 16
 
 
 class Layout(NamedTuple):
@@ -86,37 +89,39 @@ def sequences(ids: list[int], length: int) -> np.ndarray:
 
 
 def _cut(path: str, layout: Layout):
-    names = ["id", "seq", "n_tokens", "part", "number", "record"]
+    """Sequences of the texts, numbered within each range of the hash; a range's rows come one after the other."""
+    names = ["id", "seq", "n_tokens", "range", "number", "record"]
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part, number, bpe = TaskContext.get().partitionId(), 0, encoding(path)
+        number, last, bpe = 0, None, encoding(path)
         for batch in batches:
-            texts = [x or b"" for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            for start in range(0, len(texts), 256):
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                texts = [x or b"" for x in part.column(1).cast(pa.large_binary()).to_pylist()]
                 rows: list[list] = [[], [], [], [], [], []]
-                for i, text in enumerate(texts[start : start + 256]):
+                for i, (text, own) in enumerate(zip(texts, part.column(2).to_pylist(), strict=True)):
+                    if own != last:
+                        number, last = 0, own
                     ids = bpe.encode_ordinary(text.decode("utf-8", "replace"))
                     cut = sequences(ids, layout.length)
                     n = len(cut)
                     sizes = np.minimum(layout.length, len(ids) + 1 - np.arange(n) * layout.length)
-                    for column, values in zip(rows, ([start + i] * n, range(n), sizes.tolist(), [part] * n, range(number, number + n), [r.tobytes() for r in cut]), strict=True):
+                    for column, values in zip(rows, ([i] * n, range(n), sizes.tolist(), [own] * n, range(number, number + n), [r.tobytes() for r in cut]), strict=True):
                         column.extend(values)
                     number += n
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0])), *(pa.array(v, t) for v, t in zip(rows[1:], (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True))], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows[0])), *(pa.array(v, t) for v, t in zip(rows[1:], types, strict=True))], names=names)
+
+    return lean(run)
 
-    return run
 
+def _slots(n: int, layout: Layout):
+    """Rows with the slot of their number (the last column) in its place."""
 
-def _slots(starts: dict[int, int], n: int, layout: Layout, first: int, end: int):
     def run(batches):
         for batch in batches:
-            part, number = batch.column("part").to_numpy(), batch.column("number").to_numpy()
-            slot = feistel(np.array([starts[p] for p in part.tolist()], np.int64) + number, n, layout.key) if len(part) else number
-            rest = [i for i, c in enumerate(batch.schema.names) if c not in ("part", "number")]
-            out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(slot, pa.int64())], names=[*(batch.schema.names[i] for i in rest), "slot"])
-            yield out.filter(pa.array((slot >= first) & (slot < end)))
+            slot = feistel(batch.column("number").to_numpy(), n, layout.key) if batch.num_rows else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(slot, pa.int64())], names=[*batch.schema.names[:-1], "slot"])
 
     return run
 
@@ -125,7 +130,8 @@ def write_shards(df: DataFrame, path: str | None = None, tokenizer: str | None =
     """Write the shards of a table's texts; returns their folder and the manifest.
 
     The manifest has one row a sequence: _id, seq, n_tokens (without padding), slot, shard, offset (its
-    record's first byte in the shard). Without ``path`` a new folder of the shared one is taken.
+    record's first byte in the shard). Without ``path`` a new folder of the shared one is taken. The same rows
+    and layout give the same slots on every cluster, so a read can resume from a slot after the shards were written anew.
 
     Defined cases: a null or empty text is one sequence with the end token alone; repeated rows and
     null ids have sequences of their own; an empty table gives no shards and an empty manifest. Other columns are not read.
@@ -135,20 +141,25 @@ def write_shards(df: DataFrame, path: str | None = None, tokenizer: str | None =
     path = path or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    cut = shared_table(docs.mapInArrow(_cut(tokenizer or byte_bpe_path(), layout), f"id {kind}, seq int, n_tokens int, part int, number long, record binary"), "shards-sequences")
-    sizes = sorted((r.part, r.n) for r in cut.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a task
-    total = sum(n for _, n in sizes)
-    at = np.cumsum([0, *(n for _, n in sizes)])
-    starts = {p: int(a) for (p, _), a in zip(sizes, at, strict=False)}
+    parts = min(RANGES, input_parts(docs))
+    hashed = docs.withColumn("order", F.xxhash64("id", "text")).withColumn("range", F.shiftrightunsigned("order", 48).cast("int"))
+    dealt = hashed.repartitionById(parts, F.expr(f"cast(range * bigint({parts}) div {RANGES} as int)")).sortWithinPartitions("range", "order", "id")
+    cut = shared_table(dealt.select("id", "text", "range").mapInArrow(_cut(tokenizer or byte_bpe_path(), layout), f"id {kind}, seq int, n_tokens int, range int, number long, record binary"), "shards-sequences")
+    sizes = cut.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("start"))  # RANGES rows at most
+    starts = F.broadcast(shared_table(starts, "shards-starts"))
+    total = cut.count()
+    numbered = cut.join(starts, "range").withColumn("number", F.col("number") + F.col("start"))
     shards = -(-total // layout.per_shard)
-    per_wave = -(-shards // layout.waves) * layout.per_shard
-    for wave, first in enumerate(range(0, total, max(1, per_wave))):
-        rows = cut.select("part", "number", "record").mapInArrow(_slots(starts, total, layout, first, first + per_wave), "record binary, slot long")
-        rows = rows.withColumn("shard", F.expr(f"slot div {layout.per_shard}"))
-        rows = rows.repartition(per_wave // layout.per_shard, "shard").sortWithinPartitions("shard", "slot")
+    per_wave = -(-shards // layout.waves)
+    for wave, first in enumerate(range(0, shards, max(1, per_wave))):
+        rows = numbered.select("record", "number").mapInArrow(_slots(total, layout), "record binary, slot long").withColumn("shard", F.expr(f"slot div {layout.per_shard}"))
+        rows = rows.where((F.col("shard") >= first) & (F.col("shard") < first + per_wave))
+        # ranges of slots: a shard is a partition of its own
+        rows = rows.repartitionById(min(per_wave, shards - first), (F.col("shard") - first).cast("int")).sortWithinPartitions("shard", "slot")
         with freed_shuffles(spark):
             rows.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(f"{path}/wave={wave}")
-    manifest = cut.select("id", "seq", "n_tokens", "part", "number").mapInArrow(_slots(starts, total, layout, 0, total), f"id {kind}, seq int, n_tokens int, slot long")
+    manifest = numbered.select("id", "seq", "n_tokens", "number").mapInArrow(_slots(total, layout), f"id {kind}, seq int, n_tokens int, slot long")
     return path, manifest.select(
         F.col("id").alias("_id"), "seq", "n_tokens", "slot", F.expr(f"slot div {layout.per_shard}").alias("shard"), (F.col("slot") % layout.per_shard * layout.stride).alias("offset")
     )

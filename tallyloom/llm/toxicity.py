@@ -70,24 +70,41 @@ def bounded(labels: DataFrame, id_col: str, label_col: str, how: Ftrl) -> DataFr
     return rows if share >= 1 else rows.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
+def _slices(batches, rows: int = 512):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def train(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> tuple[np.ndarray, np.ndarray, float]:
     """Fit on the documents that ``labels`` (id, 0/1) marks, on about ``how.most_rows`` of them at most.
 
     The sample of labels has that bound, so it is broadcast and no text is shuffled; features are
-    made on the executors and only those of the sample come to the driver. Rows without a label or a
-    document are left out; a null text is an empty one.
+    made where the texts are, one task learns from those of the sample (at most 2**BITS numbers a row), and only the weights that L1 leaves
+    come to the driver. Rows without a label or a document are left out; a null text is an empty one.
     """
     ship(docs.sparkSession)
     chosen = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(bounded(labels, id_col, label_col, how)), "__id")
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             found = features([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f.tobytes() for f in found], pa.binary())], names=["h", "y", "x"])
 
-    rows = chosen.select(F.xxhash64("__id").alias("h"), "__text", "__label")
-    got = rows.mapInArrow(lean(run), "h long, y double, x binary").toPandas().sort_values(["h", "y", "x"], kind="stable")
-    return fit_ftrl([np.frombuffer(x, np.int32) for x in got["x"]], got["y"].to_numpy(), how)
+    def learn(batches):
+        x, y = [], []
+        for batch in batches:
+            y += batch.column(1).to_pylist()
+            x += [np.frombuffer(b, np.int32) for b in batch.column(2).to_pylist()]
+        at, weights, bias = fit_ftrl(x, np.array(y), how)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([bias, *weights.tolist()], pa.float64())], names=["at", "w"])
+
+    rows = chosen.select(F.xxhash64("__id").alias("h"), "__text", "__label").mapInArrow(lean(run), "h long, y double, x binary")
+    got = rows.repartition(1).sortWithinPartitions("h", "y", "x").mapInArrow(lean(learn), "at int, w double").toPandas()
+    if not len(got):
+        return fit_ftrl([], np.empty(0), how)
+    at, w = got["at"].to_numpy(np.int32), got["w"].to_numpy(np.float64)
+    return at[1:], w[1:], float(w[0])
 
 
 def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -105,7 +122,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col:
     def run(batches):
         w = np.zeros(1 << BITS)
         w[shared.value[0]] = shared.value[1]
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [x or b"" for x in batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()]
             out = [1 / (1 + np.exp(-np.clip(bias + w[f].sum(), -35, 35))) for f in features(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, score_col])

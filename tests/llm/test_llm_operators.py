@@ -90,17 +90,38 @@ def test_quality(spark, rows):
         covered = {j for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
         lines = [x for x in t.split("\n") if WORD.search(x)]
         assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered))
+        assert r.n_symbols == sum(c in "#*$%&|<>" for c in t)
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
         assert r.kept == (not r.base_failed and not r.failed_rules)
     assert quality.quality_rules(texts(spark, [])).count() == 0
 
 
 def test_quality_keeps_prose_and_rejects_junk(spark):
-    prose = " ".join(["the", "river", "and", "hills", "of", "winter", "seem", "quiet"][(i * i + i // 3) % 8] + ("" if i % 7 else str(i)) for i in range(90))
+    r = random.Random(3)
+    prose = " ".join(r.choice(["the", "river", "and", "hills", "of", "winter", "seem", "quiet", "stone", "garden"]) + ("" if i % 3 else "abcdefgh"[i % 8]) for i in range(90))
     junk = " ".join(f"word{i}&&&" for i in range(90))
     got = {r.doc_id: r.kept for r in quality.quality_rules(texts(spark, [(1, prose, "a"), (2, junk, "a"), (3, None, "a")])).collect()}
-    assert got[2] is False and got[3] is False
+    assert got[1] is True and got[2] is False and got[3] is False
+
+
+def test_quality_of_a_very_long_text_and_clashing_columns(spark):
+    r = random.Random(3)
+    long = "\n".join(" ".join(r.choice(["the", "river", "and", "hills", "of"]) + str(r.randrange(3000)) for _ in range(40)) for _ in range(1500))
+    df = spark.createDataFrame([(1, long, "mine"), (2, long, None)], "doc_id long, text string, __words string")
+    got = quality.quality_rules(df).collect()
+    assert [x.n_words for x in got] == [60_000] * 2 and sorted(str(x["__words"]) for x in got) == ["None", "mine"]
+
+
+def test_words_end_at_all_white_space(spark):
+    text = "a\rb\x0bc\x0cd\te\nf g\x85h\xa0i"
+    assert mixing.mix_sources(texts(spark, [(1, text, "a")])).first()["size"] == 7
+    assert quality.quality_rules(texts(spark, [(1, text, "a")])).first()["n_words"] == 7
+    import duckdb
 
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT 1::BIGINT AS doc_id, 'a' AS source, ?::VARCHAR AS text", [text])
+    assert con.execute("SELECT size FROM (" + mixing.OP1_SQL + ")").fetchone() == (7,)
+    assert con.execute("SELECT n_words FROM (" + quality.OP2_SQL + ")").fetchone() == (7,)
 
 def shingles(t):
     w = WORD.findall((t or "").translate(LOWER))
@@ -293,6 +314,76 @@ def test_toxicity_learns_words_and_ignores_the_rest(spark):
     assert {x.score for x in toxicity.score(docs, empty).collect()} == {0.5}
 
 
+def plain_ftrl(rows, labels, how, seed=7):
+    """FTRL-proximal, coordinate by coordinate."""
+    z, n, order = collections.defaultdict(float), collections.defaultdict(float), np.random.default_rng(seed)
+    share = sum(labels) / len(labels)
+    bias, bias_n = math.log(max(share, 1e-3) / max(1 - share, 1e-3)), 0.0
+
+    def weight(k):
+        if abs(z[k]) <= how.l1:
+            return 0.0
+        return -(z[k] - math.copysign(how.l1, z[k])) / ((how.beta + math.sqrt(n[k])) / how.alpha + how.l2)
+
+    for _ in range(how.epochs):
+        for i in order.permutation(len(rows)):
+            w = {k: weight(k) for k in rows[i].tolist()}
+            g = 1 / (1 + math.exp(-(bias + sum(w.values())))) - labels[i]
+            for k in w:
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / how.alpha * w[k]
+                n[k] += g * g
+            bias_n += g * g
+            bias -= 0.05 * g / (1 + math.sqrt(bias_n))
+    return {k: v for k in z if (v := weight(k))}, bias
+
+
+def test_ftrl_against_its_definition():
+    r = random.Random(5)
+    text = lambda i: " ".join(r.choice("abcdefghijklmnop") * 3 for _ in range(r.randint(0, 30))) + (" vile" if i % 3 == 0 else "")
+    docs = [text(i).encode() for i in range(120)]
+    labels = np.array([float(i % 3 == 0) for i in range(120)])
+    how = toxicity.Ftrl(l1=0.5)
+    at, w, bias = toxicity.fit_ftrl(toxicity.features(docs), labels, how)
+    want, want_bias = plain_ftrl(toxicity.features(docs), labels, how)
+    assert set(at.tolist()) == set(want) and abs(bias - want_bias) < 1e-9
+    assert all(abs(want[k] - x) < 1e-9 for k, x in zip(at.tolist(), w))
+
+
+def test_toxicity_is_the_definition_on_tables(spark):
+    r = random.Random(6)
+    data = [(i, " ".join(r.choice("abcdefg") * 2 for _ in range(20)) + " vile" * (i % 4 == 0), "s") for i in range(200)]
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 200, 2)], "doc_id long, label int")
+    order = spark.createDataFrame([(i, t) for i, t, _ in data if i % 2 == 0], "doc_id long, text string").select("text", F.xxhash64("doc_id").alias("h"), (F.col("doc_id") % 4 == 0).cast("double").alias("y")).orderBy("h").collect()
+    want, bias = plain_ftrl(toxicity.features([x.text.encode() for x in order]), [x.y for x in order], toxicity.Ftrl())
+    for x in toxicity.score(texts(spark, data), toxicity.train(texts(spark, data), marks)).collect():
+        s = bias + sum(want.get(k, 0.0) for k in toxicity.features([x.text.encode()])[0].tolist())
+        assert abs(x.score - 1 / (1 + math.exp(-s))) < 1e-9
+
+
+def plain_em(cells, uniform):
+    """Deleted interpolation's EM, one held-out token class after the other; cells are (bucket, bigram estimate, unigram estimate, count)."""
+    weights = {b: [0.4, 0.5, 0.1] for b in range(lm_score.BUCKETS)}
+    for _ in range(lm_score.ROUNDS):
+        new = {b: [0.0] * 3 for b in weights}
+        for b, p2, p1, c in cells:
+            part = [w * p for w, p in zip(weights[b], (p2, p1, uniform))]
+            for k in range(3):
+                new[b][k] += c * part[k] / sum(part)
+        weights = {b: [x / sum(new[b]) for x in new[b]] if sum(new[b]) else weights[b] for b in weights}
+    return weights
+
+
+def test_em_against_its_definition():
+    r = random.Random(9)
+    cells = sorted({(r.randrange(6) * lm_score.BINS + r.choice([0, *range(1, 60)])) * lm_score.BINS + r.choice([0, *range(20, 90)]) for _ in range(300)})
+    counts = [r.randint(1, 50) for _ in cells]
+    estimate = lambda x: 2.0 ** (-(x - 1) / lm_score.STEPS) if x else 0.0
+    plain = plain_em([(c // lm_score.BINS**2, estimate(c // lm_score.BINS % lm_score.BINS), estimate(c % lm_score.BINS), n) for c, n in zip(cells, counts)], 1e-4)
+    got = lm_score.learn_weights(np.array(cells), np.array(counts, float), 1e-4)
+    for b in range(1, 6):
+        assert max(abs(x - y) for x, y in zip(got[:, b], plain[b])) < 1e-6
+
+
 def test_shards(spark, rows):
     for n in (1, 2, 3, 17, 1000):
         assert sorted(token_shards.feistel(np.arange(n), n, 9).tolist()) == list(range(n))
@@ -311,6 +402,13 @@ def test_shards(spark, rows):
     assert token_shards.write_shards(texts(spark, []), layout=layout)[1].count() == 0
 
 
+def test_slots_depend_on_the_rows_alone(spark, rows):
+    layout = token_shards.Layout(length=16, per_shard=10, waves=2)
+    df = texts(spark, rows)
+    a, b = (sorted(map(str, token_shards.write_shards(x, layout=layout)[1].collect())) for x in (df.repartition(1), df.repartition(7)))
+    assert a == b
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(1)
     base = r.standard_normal((40, 16))
