@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import shared_table
+from .storage import discard, shared_table
 
 #: Tools' arguments: field -> (type, required). Types are JSON's: string, integer, number, boolean, array, object.
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
@@ -37,11 +37,13 @@ def canonical(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
-def _levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """call and level for the calls that can be ordered: 0 without dependencies, else one above the highest; rounds end when none is added.
+def quoted(name: str) -> Column:
+    """The JSON text of a string column: that of a structure of it, less {"v": and }."""
+    return F.when(F.col(name).isNull(), F.lit("null")).otherwise(F.expr(f"substring(to_json(struct({name} as v)), 6, length(to_json(struct({name} as v))) - 6)"))
 
-    Only conversations in which a call precedes one it needs come here.
-    """
+
+def _rounds(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """conv, call and level by depth: 0 without dependencies, else one above the highest; rounds end when none is added."""
     left = shared_table(edges.select("conv", "call", "needs").distinct(), "chat-edges")
     blocked = left.select("conv", "call").distinct()
     done = shared_table(calls.join(blocked, ["conv", "call"], "left_anti").select("conv", "call", F.lit(0).alias("level")), "chat-levels")
@@ -55,43 +57,70 @@ def _levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     return done
 
 
+def _jumps(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same where no call needs more than one other: pointers to what a call needs are doubled, so rounds follow the depth's logarithm.
+
+    A pointer that still leads on when it has jumped over more calls than there are ends in a cycle.
+    """
+    most = calls.count()
+    needed = edges.select("conv", "call", F.col("needs").alias("up"))
+    table = shared_table(calls.select("conv", "call").join(needed, ["conv", "call"], "left").withColumn("level", F.col("up").isNotNull().cast("int")), "chat-jumps")
+    reach = 1
+    while reach <= most and not table.where("up is not null").isEmpty():
+        far = table.select("conv", F.col("call").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
+        step = table.join(far, ["conv", "up"], "left").select("conv", "call", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
+        step = shared_table(step, "chat-jumps")
+        discard(table)
+        table, reach = step, 2 * reach
+    return table.where("up is null").select("conv", "call", "level")
+
+
+def _levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """conv, call and level of the calls that can be ordered: doubled pointers, and rounds by depth only in conversations with a call that needs several."""
+    several = shared_table(edges.groupBy("conv", "call").agg(F.countDistinct("needs").alias("n")).where("n > 1").select("conv").distinct(), "chat-several")
+    simple = _jumps(calls.join(several, "conv", "left_anti"), edges.select("conv", "call", "needs").distinct().join(several, "conv", "left_anti"))
+    if several.isEmpty():
+        return simple
+    return simple.unionByName(_rounds(calls.join(several, "conv", "left_semi"), edges.join(several, "conv", "left_semi")))
+
+
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row for each call and for each result without a call: conv, call, level, at, status, problems, json.
+    """One row for each call and for each result that no call takes: conv, call, level, at, status, problems, json.
 
     ``calls`` has conv, call (its identifier), at (its place), name, arguments (JSON text) and needs (identifiers of
     calls whose results it uses); ``results`` has conv, call and content. Calls and results are hash-joined by
-    conversation and identifier. (level, at) is a topological order of a conversation: level is 0 where
-    every call stands after those it needs, so that the places are an order already; elsewhere it is
-    found by rounds. json is canonical: keys sorted, no white space, arguments as a value if they parse.
-
-    status: linked, no result, no call, repeated (an identifier with two calls or more; the first by place keeps it and
-    its result), cycle (its needs can't be met). Defined cases: a null conversation or identifier links with
-    nothing; of several results of a call the least content counts; needs that name no call are ignored;
-    empty tables give no rows. Other columns are not read.
+    conversation and identifier. (level, at) is a topological order of a conversation: level is the longest chain of
+    needs below a call. json is canonical: keys sorted, no white space, arguments as a value if they parse.
+
+    status: linked, no result, no call, repeated (an identifier with two calls or results or more; the first call by place and
+    the least content keep it, the rest are rows of their own, exact copies too), cycle (its needs can't be met; level 0). Defined
+    cases: a null conversation or identifier links with nothing; needs that name no call are ignored, a call that needs itself
+    is a cycle; empty tables give no rows. Other columns are not read.
     """
-    numbered = calls.select("conv", "call", "at", "name", "arguments", "needs")
-    first = numbered.where("conv is not null and call is not null").groupBy("conv", "call").agg(F.min(F.struct("at", "name", "arguments", "needs")).alias("s"), F.count(F.lit(1)).alias("c"))
-    kept = shared_table(first.select("conv", "call", "s.*", "c"), "chat-calls")
-    answers = results.where("conv is not null and call is not null").groupBy("conv", "call").agg(F.min("content").alias("content"), F.lit(True).alias("answered"))
-    edges = kept.select("conv", "call", "at", F.explode("needs").alias("needs"))
-    edges = edges.join(kept.select("conv", F.col("call").alias("needs"), F.col("at").alias("needs_at")), ["conv", "needs"])
-    edges = shared_table(edges, "chat-needs")
-    backward = edges.where("needs_at >= at or needs = call").select("conv").distinct()
-    levels = _levels(kept.join(backward, "conv", "left_semi"), edges.join(backward, "conv", "left_semi"))
-    linked = (
-        kept.join(answers, ["conv", "call"], "full_outer")
-        .join(levels, ["conv", "call"], "left")
-        .join(backward.withColumn("odd", F.lit(True)), "conv", "left")
-    )
-    status = F.when(F.col("c").isNull(), "no call").when(F.col("odd") & F.col("level").isNull(), "cycle").when(F.col("answered").isNull(), "no result").otherwise("linked")
-    repeated = numbered.join(kept.where("c > 1").select("conv", "call", F.col("at").alias("a0"), F.col("name").alias("n0"), F.col("arguments").alias("g0")), ["conv", "call"])
-    repeated = repeated.where("not (at <=> a0 and name <=> n0 and arguments <=> g0)").select("conv", "call", "at", "name", "arguments", F.lit(None).cast("string").alias("content"), F.lit(0).alias("level"), F.lit("repeated").alias("status"))
-    loose = numbered.where("conv is null or call is null").select("conv", "call", "at", "name", "arguments", F.lit(None).cast("string").alias("content"), F.lit(0).alias("level"), F.lit("no result").alias("status"))
-    loose_results = results.where("conv is null or call is null").select("conv", "call", F.lit(None).cast(calls.schema["at"].dataType).alias("at"), *[F.lit(None).cast("string").alias(c) for c in ("name", "arguments")], "content", F.lit(0).alias("level"), F.lit("no call").alias("status"))
+    whole = ["at", "name", "arguments", "needs"]
+    numbered = calls.select("conv", "call", *whole)
+    known = "conv is not null and call is not null"
+    counted = shared_table(numbered.where(known).groupBy("conv", "call", *whole).agg(F.count(F.lit(1)).alias("m")), "chat-counted")
+    kept = shared_table(counted.groupBy("conv", "call").agg(F.min(F.struct(*whole)).alias("s")).select("conv", "call", "s.*"), "chat-calls")
+    contents = shared_table(results.where(known).groupBy("conv", "call", "content").agg(F.count(F.lit(1)).alias("m")), "chat-contents")
+    answers = contents.groupBy("conv", "call").agg(F.min("content").alias("content"), F.lit(True).alias("answered"))
+    edges = kept.select("conv", "call", F.explode("needs").alias("needs")).join(kept.select("conv", F.col("call").alias("needs")), ["conv", "needs"])
+    levels = _levels(kept, shared_table(edges, "chat-needs"))
+    status = F.when(F.col("kept").isNull(), "no call").when(F.col("level").isNull(), "cycle").when(F.col("answered").isNull(), "no result").otherwise("linked")
+    linked = kept.withColumn("kept", F.lit(True)).join(answers.hint("shuffle_hash"), ["conv", "call"], "full_outer").join(levels, ["conv", "call"], "left")
+    none = lambda c, kind="string": F.lit(None).cast(kind).alias(c)
+    place = calls.schema["at"].dataType
+    # How many copies of a row are left when one of them is kept.
+    same = lambda cols, own: F.expr(" and ".join(f"{c} <=> {own}.{c}" for c in cols))
+    others = counted.join(kept.select("conv", "call", F.struct(*whole).alias("k")), ["conv", "call"])
+    others = others.withColumn("m", F.col("m") - same(whole, "k").cast("int")).where("m > 0").select("conv", "call", "at", "name", "arguments", none("content"), F.explode(F.sequence(F.lit(1).cast("long"), "m")))
+    more = contents.join(answers.select("conv", "call", F.struct("content").alias("k")), ["conv", "call"])
+    more = more.withColumn("m", F.col("m") - same(["content"], "k").cast("int")).where("m > 0").select("conv", "call", none("at", place), none("name"), none("arguments"), "content", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
+    repeated = others.drop("col").union(more.drop("col")).select("*", F.lit(0).alias("level"), F.lit("repeated").alias("status"))
+    loose = numbered.where(f"not ({known})").select("conv", "call", "at", "name", "arguments", none("content"), F.lit(0).alias("level"), F.lit("no result").alias("status"))
+    loose_results = results.where(f"not ({known})").select("conv", "call", none("at", place), none("name"), none("arguments"), "content", F.lit(0).alias("level"), F.lit("no call").alias("status"))
     rows = linked.select("conv", "call", "at", "name", "arguments", "content", F.coalesce("level", F.lit(0)).alias("level"), status.alias("status")).union(repeated).union(loose).union(loose_results)
-    bad = F.when(F.col("status") == "no call", F.array().cast("array<string>")).otherwise(problems(F.col("name"), F.col("arguments"), schemas))
-    # the JSON text of a string column: that of a structure of it, less {"v": and }
-    quoted = lambda c: F.when(F.col(c).isNull(), F.lit("null")).otherwise(F.expr(f"substring(to_json(struct({c} as v)), 6, length(to_json(struct({c} as v))) - 6)"))
+    bad = F.when((F.col("status") == "no call") | (F.col("status") == "repeated") & F.col("name").isNull() & F.col("arguments").isNull(), F.array().cast("array<string>")).otherwise(problems(F.col("name"), F.col("arguments"), schemas))
     json = F.concat(F.lit('{"arguments":'), F.when(F.col("arguments").isNull(), F.lit("null")).otherwise(F.coalesce(canonical("arguments"), quoted("arguments"))), F.lit(',"content":'), quoted("content"), F.lit(',"id":'), quoted("call"), F.lit(',"name":'), quoted("name"), F.lit("}"))
     return rows.select("conv", "call", "level", "at", "status", bad.alias("problems"), json.alias("json"))
 
@@ -100,30 +129,52 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
 REPLY = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}}
 
 
-def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each user turn as a call of ``reply`` that needs the one before it, each assistant turn as the result of the turn before it."""
-    name = lambda back: F.concat_ws("-", F.col("conv_id"), F.col("turn") - back)
+def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """User turns as calls, assistant turns as results of the turn before them, and all other turns as they are.
+
+    The conversations hold no tool calls, so their kinds are made from the numbers of conversation and turn: most calls need the user turn
+    before them, in every third conversation the one after them (places are no order there), in every seventh, from the second on, pairs
+    need each other; some calls have broken arguments or name an unknown tool.
+    """
+    conv, turn = F.col("conv_id"), F.col("turn")
+    name = lambda t: F.concat(conv.cast("string"), F.lit("-"), t.cast("string"))
+    kind = (conv + turn) % 11
+    needs = F.when(conv % 7 == 2, F.when(F.floor(turn / 2) % 2 == 0, turn + 2).otherwise(turn - 2)).when(conv % 3 == 0, turn + 2).otherwise(turn - 2)
+    arguments = (
+        F.when(kind == 3, F.to_json(F.struct(turn.cast("string").alias("turn"), F.col("text").alias("prompt"))))
+        .when(kind == 5, F.to_json(F.struct("turn", F.col("text").alias("prompt"), F.lit(True).alias("extra"))))
+        .when(kind == 7, F.to_json(F.struct("turn")))
+        .when(kind == 9, F.concat(F.lit("turn "), turn.cast("string")))
+        .otherwise(F.to_json(F.struct("turn", F.col("text").alias("prompt"))))
+    )
     calls = conversations.where("role = 'user'").select(
-        F.col("conv_id").alias("conv"), name(0).alias("call"), F.col("turn").alias("at"), F.lit("reply").alias("name"),
-        F.to_json(F.struct("turn", F.col("text").alias("prompt"))).alias("arguments"), F.array(name(2)).alias("needs"),
+        conv.alias("conv"), name(turn).alias("call"), turn.alias("at"), F.when((conv + turn) % 13 == 4, "search").otherwise("reply").alias("name"), arguments.alias("arguments"), F.array(name(needs)).alias("needs"),
     )
-    results = conversations.where("role = 'assistant'").select(F.col("conv_id").alias("conv"), name(1).alias("call"), F.col("text").alias("content"))
-    return calls, results
+    results = conversations.where("role = 'assistant'").select(conv.alias("conv"), name(turn - 1).alias("call"), F.col("text").alias("content"))
+    return calls, results, conversations.where("role is null or role not in ('user', 'assistant')")
 
 
 def op7_chat(spark, sf_dir: str) -> DataFrame:
-    calls, results = turns_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """Every turn of the table: calls with their results, results without a call, and turns of other roles (status message)."""
+    calls, results, others = turns_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     out = link_tool_calls(calls, results, REPLY)
-    return out.select(F.col("conv").alias("conv_id"), F.col("call").alias("call_id"), "level", "at", "status", F.size("problems").alias("n_problems"), "json")
+    out = out.select(F.col("conv").alias("conv_id"), F.col("call").alias("call_id"), "level", "at", "status", F.size("problems").alias("n_problems"), "json")
+    json = F.concat(F.lit('{"content":'), quoted("text"), F.lit(',"role":'), quoted("role"), F.lit("}"))
+    return out.union(others.select("conv_id", F.lit(None).cast("string"), F.lit(0), "turn", F.lit("message"), F.lit(0), json))
 
 
 OP7_SQL = """
-WITH c AS (SELECT conv_id, conv_id || '-' || turn AS call_id, turn AS "at", text FROM conversations WHERE role = 'user'),
-r AS (SELECT conv_id, conv_id || '-' || (turn - 1) AS call_id, MIN(text) AS content, COUNT(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL)
-SELECT COALESCE(c.conv_id, r.conv_id) AS conv_id, COALESCE(c.call_id, r.call_id) AS call_id, 0::INTEGER AS level, "at",
-    CASE WHEN c.call_id IS NULL THEN 'no call' WHEN r.n IS NULL THEN 'no result' ELSE 'linked' END AS status, 0::INTEGER AS n_problems,
-    '{"arguments":' || CASE WHEN c.call_id IS NULL THEN 'null' ELSE '{"prompt":' || TO_JSON(c.text)::VARCHAR || ',"turn":' || "at" || '}' END
-        || ',"content":' || COALESCE(TO_JSON(r.content)::VARCHAR, 'null') || ',"id":' || TO_JSON(COALESCE(c.call_id, r.call_id))::VARCHAR
-        || ',"name":' || CASE WHEN c.call_id IS NULL THEN 'null' ELSE '"reply"' END || '}' AS json
-FROM c FULL OUTER JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+WITH RECURSIVE c AS (SELECT conv_id, conv_id || '-' || turn AS call_id, turn AS "at", text, (conv_id + turn) % 11 AS kind, CASE WHEN (conv_id + turn) % 13 = 4 THEN 'search' ELSE 'reply' END AS name,
+    conv_id || '-' || CASE WHEN conv_id % 7 = 2 THEN CASE WHEN (turn // 2) % 2 = 0 THEN turn + 2 ELSE turn - 2 END WHEN conv_id % 3 = 0 THEN turn + 2 ELSE turn - 2 END AS needs FROM conversations WHERE role = 'user'),
+l(call_id, level) AS (SELECT call_id, 0 FROM c WHERE needs NOT IN (SELECT call_id FROM c) UNION ALL SELECT c.call_id, level + 1 FROM c JOIN l ON c.needs = l.call_id),
+r AS (SELECT conv_id, conv_id || '-' || (turn - 1) AS call_id, MIN(text) AS content, COUNT(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+a AS (SELECT *, CASE kind WHEN 3 THEN '{"prompt":' || TO_JSON(text)::VARCHAR || ',"turn":"' || "at" || '"}' WHEN 5 THEN '{"extra":true,"prompt":' || TO_JSON(text)::VARCHAR || ',"turn":' || "at" || '}' WHEN 7 THEN '{"turn":' || "at" || '}'
+    WHEN 9 THEN '"turn ' || "at" || '"' ELSE '{"prompt":' || TO_JSON(text)::VARCHAR || ',"turn":' || "at" || '}' END AS arguments FROM c)
+SELECT COALESCE(a.conv_id, r.conv_id) AS conv_id, COALESCE(a.call_id, r.call_id) AS call_id, COALESCE(level, 0)::INTEGER AS level, "at",
+    CASE WHEN a.call_id IS NULL THEN 'no call' WHEN level IS NULL THEN 'cycle' WHEN r.n IS NULL THEN 'no result' ELSE 'linked' END AS status,
+    CASE WHEN a.call_id IS NOT NULL AND (name = 'search' OR kind IN (3, 5, 7, 9)) THEN 1 ELSE 0 END::INTEGER AS n_problems,
+    '{"arguments":' || COALESCE(arguments, 'null') || ',"content":' || COALESCE(TO_JSON(r.content)::VARCHAR, 'null') || ',"id":' || TO_JSON(COALESCE(a.call_id, r.call_id))::VARCHAR
+        || ',"name":' || COALESCE('"' || name || '"', 'null') || '}' AS json
+FROM a FULL OUTER JOIN r ON a.conv_id = r.conv_id AND a.call_id = r.call_id LEFT JOIN l ON l.call_id = a.call_id
+UNION ALL SELECT conv_id, NULL, 0, turn, 'message', 0, '{"content":' || COALESCE(TO_JSON(text)::VARCHAR, 'null') || ',"role":' || COALESCE(TO_JSON(role)::VARCHAR, 'null') || '}' FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """

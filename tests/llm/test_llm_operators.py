@@ -283,8 +283,10 @@ def test_tool_calls(spark):
         "conv long, call string, at int, name string, arguments string, needs array<string>",
     )
     results = spark.createDataFrame([(1, "x", "3"), (1, "y", None), (9, "x", "alone"), (2, "q", "b"), (2, "q", "a")], "conv long, call string, content string")
-    got = {(r.conv, r.call, r.at): r for r in chat.link_tool_calls(calls, results, REPLY).collect()}
-    assert len(got) == 10
+    rows = chat.link_tool_calls(calls, results, REPLY).collect()
+    assert [(r.status, r.json) for r in rows if (r.conv, r.call, r.at) == (2, "q", None)] == [("repeated", '{"arguments":null,"content":"b","id":"q","name":null}')]
+    got = {(r.conv, r.call, r.at): r for r in rows}
+    assert len(rows) == len(got) == 11
     assert got[1, "x", 0].json == '{"arguments":{"a":1,"b":2.5},"content":"3","id":"x","name":"add"}' and got[1, "x", 0].problems == []
     assert got[1, "y", 1].problems == ["a: not integer", "c: unknown"] and got[1, "y", 1].status == "linked"
     assert got[1, "z", 2].problems == ["unknown tool"] and got[1, "z", 2].status == "no result"
@@ -314,6 +316,35 @@ def test_toxicity_learns_words_and_ignores_the_rest(spark):
     assert {x.score for x in toxicity.score(docs, empty).collect()} == {0.5}
 
 
+def test_levels_of_tool_calls(spark):
+    """Chains, trees, cycles, what hangs on them, and calls with several needs, against depth-first search; repeated rows stay."""
+    r = random.Random(4)
+    needs = {}
+    for conv in range(12):
+        for k in range(12):
+            if conv < 4:
+                own = [f"c{k - 1}"] if k and r.random() < 0.9 else []
+            elif conv < 8:
+                own = [f"c{r.randrange(12)}"]
+            else:
+                own = [f"c{r.randrange(14)}" for _ in range(r.randrange(3))]
+            needs[conv, f"c{k}"] = own
+
+    def level(node, path=()):
+        if node in path:
+            return None
+        below = [level((node[0], n), (*path, node)) for n in needs[node] if (node[0], n) in needs]
+        return None if None in below else 1 + max(below, default=-1)
+
+    rows = [(c, k, int(k[1:]), "say", '{"text":"a"}', n) for (c, k), n in needs.items()]
+    calls = spark.createDataFrame([*rows, rows[0], rows[0]], "conv long, call string, at int, name string, arguments string, needs array<string>")
+    results = spark.createDataFrame([(0, "c0", "x")] * 3, "conv long, call string, content string")
+    got = chat.link_tool_calls(calls, results, REPLY).collect()
+    assert collections.Counter(x.status for x in got)["repeated"] == 4 and len(got) == len(rows) + 4
+    found = {(x.conv, x.call): None if x.status == "cycle" else x.level for x in got if x.status != "repeated"}
+    assert found == {n: level(n) for n in needs}
+
+
 def plain_ftrl(rows, labels, how, seed=7):
     """FTRL-proximal, coordinate by coordinate."""
     z, n, order = collections.defaultdict(float), collections.defaultdict(float), np.random.default_rng(seed)
