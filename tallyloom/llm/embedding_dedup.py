@@ -6,9 +6,9 @@ until the sum is ``slack`` above its nearest cell's; the slack is the one at whi
 exactly the threshold would be found, and pairs are found if either vector visits the other's cell.
 What the visited cells hold is verified with cosines in double precision.
 
-Cells are dealt by the first codeword, those with many vectors in chunks; a query is sent once to each chunk of a
-first codeword with cells to visit, so nothing is gathered but one chunk of vectors. Tasks return
-counts and a spanning forest of the links, not the links.
+Neighbouring cells of one first codeword are dealt to places of ``chunk`` vectors, a cell with more is dealt to several; a query
+is sent once to each place with a cell to visit, so nothing is gathered but one place's vectors, and vectors of cells that a
+query doesn't visit are compared only where they share a place. Tasks return counts and a spanning forest of the links, not the links.
 """
 
 from __future__ import annotations
@@ -24,15 +24,17 @@ from pyspark.sql import functions as F
 
 from .graphs import components
 from .lm_score import _groups
-from .storage import discard, shared_table, ship
+from .storage import discard, lean, meet, shared_table, ship
 
 THRESHOLD = 0.9
 
 
 class Index(NamedTuple):
-    """``most_rows`` bounds the sample that codebooks and slack are fitted on; ``chunk`` the vectors compared at once."""
+    """``most_rows`` bounds the sample that codebooks and slack are fitted on, ``most_words`` the codewords of a half (their number
+    grows with the root of the table up to it); ``chunk`` is the vectors compared at once."""
 
     most_rows: int = 20_000
+    most_words: int = 2048
     target_recall: float = 0.97
     chunk: int = 2048
     rounds: int = 8
@@ -68,7 +70,7 @@ def fit(sample: np.ndarray, rows: int, threshold: float, how: Index, seed: int =
     """Codebooks of unit vectors, of a size that grows with the root of the table, and the slack of the target recall."""
     random = np.random.default_rng(seed)
     h = sample.shape[1] // 2
-    k = int(min(1024, max(4, 2 ** np.ceil(np.log2(np.sqrt(max(rows, 1)) / 4)))))
+    k = int(min(how.most_words, max(1, len(sample) // 8), max(4, 2 ** np.ceil(np.log2(np.sqrt(max(rows, 1)) / 4)))))
     books = Codebooks(_kmeans(sample[:, :h], k, how.rounds, random), _kmeans(sample[:, h:], k, how.rounds, random), 0.0)
     x = sample[random.choice(len(sample), min(len(sample), 4000), replace=False)]
     off = random.standard_normal(x.shape)
@@ -82,35 +84,73 @@ def fit(sample: np.ndarray, rows: int, threshold: float, how: Index, seed: int =
     return books._replace(slack=float(np.quantile(np.minimum(*need), how.target_recall)) + 1e-9)
 
 
-def traversal(books: Codebooks, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The cells that each vector visits, by first codeword: i and an array (vectors, second codewords) of visits."""
+def traversal(books: Codebooks, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The cells that each vector visits, by first codeword: i, the vectors that come to it, and an array (vectors, second codewords) of visits.
+
+    The multi-sequence order goes through pairs of codewords by the sum of their distances. It ends where the sum is ``slack`` above the
+    least, so a vector visits exactly the cells up to there; those whose first codeword alone is too far are never looked at.
+    """
     p, q = books.distances(x)
-    room = p.min(1) + q.min(1) + books.slack
-    for i in range(p.shape[1]):
-        visits = p[:, i : i + 1] + q <= room[:, None]
-        if visits.any():
-            yield i, visits
+    least = q.min(1)
+    room = p.min(1) + least + books.slack
+    come = p + least[:, None] <= room[:, None]
+    for i in np.flatnonzero(come.any(0)):
+        at = np.flatnonzero(come[:, i])
+        yield int(i), at, p[at, i : i + 1] + q[at] <= room[at, None]
+
+
+class Places(NamedTuple):
+    """Where the vectors of a cell are: the place of each cell with vectors (-1: none), and how many places a large cell has."""
+
+    first: np.ndarray
+    many: np.ndarray
+
+    @property
+    def number(self) -> int:
+        return int((self.first + self.many).max(initial=0))
+
+
+def placed_cells(counts: np.ndarray, chunk: int) -> Places:
+    """Cells with vectors in the order of the grid, as many to a place as fit ``chunk``; a place never has cells of two first codewords."""
+    first, many = np.full(counts.shape, -1, np.int64), np.ones(counts.shape, np.int64)
+    place = 0
+    for i in range(len(counts)):
+        held = 0
+        for j in np.flatnonzero(counts[i]):
+            n = int(counts[i, j])
+            if held and held + n > chunk:
+                place, held = place + 1, 0
+            first[i, j] = place
+            held += n
+            if n > chunk:
+                many[i, j] = -(-n // chunk)
+                place, held = place + int(many[i, j]), 0
+        place += held > 0
+    return Places(first, many)
 
 
 def _decoded(column, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1).astype(np.float64)
 
 
-def _prepare(dim: int, dtype: str):
+def _prepare(dtype: str):
+    """id, dim, print and vec of each row; print and vec are null where it links with nothing. Vectors of one component are their sign."""
+
     def run(batches):
         for batch in batches:
-            blobs, marks = [], []
+            blobs, marks, dims = [], [], []
             for v in batch.column(1).to_pylist():
                 blob = None
-                if v is not None and len(v) == dim and None not in v:
+                if v and None not in v:
                     x = np.array(v, dtype)
                     if np.isfinite(x).all() and x.any() and np.isfinite(n := float(np.linalg.norm(x.astype(np.float64)))) and n > 0:
-                        blob = x.tobytes()
+                        blob = (np.sign(x) if len(x) == 1 else x).tobytes()
                 blobs.append(blob)
+                dims.append(len(v) if v else 0)
                 marks.append(None if blob is None else hashlib.blake2b(blob, digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(blobs, pa.binary())], names=["id", "print", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(marks, pa.binary()), pa.array(blobs, pa.binary())], names=["id", "dim", "print", "vec"])
 
-    return run
+    return lean(run)
 
 
 def _assign(books: Codebooks, dtype: str):
@@ -123,27 +163,38 @@ def _assign(books: Codebooks, dtype: str):
     return run
 
 
-def _deal(books: Codebooks, dtype: str, chunks: np.ndarray):
-    """Rows for the chunks: each vector once to be found (asks false) and once for each chunk that it visits."""
+def _deal(books: Codebooks, dtype: str, places):
+    """Rows for the places (a broadcast): each vector once to be found (asks false) and once for each place that it visits."""
     names = ["place", "asks", "print", "vec", "m", "i", "j", "visits"]
-    start = np.cumsum(chunks) - chunks
 
     def run(batches):
+        first, many = places.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             prints, vecs, m = batch.column("print").to_pylist(), batch.column("vec").to_pylist(), batch.column("m").to_numpy()
             i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
-            own = start[i] + np.array([int.from_bytes(p[:8], "little") for p in prints], np.uint64).astype(np.int64) % chunks[i]
+            mark = np.array([int.from_bytes(p[:8], "little") for p in prints], np.uint64)
+            own = first[i, j] + (mark % many[i, j].astype(np.uint64)).astype(np.int64)
             rows = lambda place, asks, at, visits: pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(np.full(len(at), asks)), pa.array([prints[k] for k in at], pa.binary()), pa.array([vecs[k] for k in at], pa.binary()), pa.array(m[at], pa.int64()), pa.array(i[at], pa.int32()), pa.array(j[at], pa.int32()), pa.array(visits, pa.binary())], names=names)
             yield rows(own, False, np.arange(len(i)), [None] * len(i))
-            for first, visits in traversal(books, unit(_decoded(batch.column("vec"), dtype))):
-                at = np.flatnonzero(visits.any(1))
-                packed = [np.packbits(v).tobytes() for v in visits[at]]
-                for c in range(chunks[first]):
-                    yield rows(np.full(len(at), start[first] + c), True, at, packed)
+            for word, come, visits in traversal(books, unit(_decoded(batch.column("vec"), dtype))):
+                filled = np.flatnonzero(first[word] >= 0)
+                if not len(filled):
+                    continue
+                packed = [np.packbits(v).tobytes() for v in visits]
+                spots = first[word, filled]
+                starts = np.flatnonzero(np.diff(spots, prepend=-1))
+                asked = np.logical_or.reduceat(visits[:, filled], starts, axis=1)
+                for c, k in enumerate(starts):
+                    at = np.flatnonzero(asked[:, c])
+                    if len(at):
+                        # a large cell shares no place with others after it
+                        last = filled[(starts[c + 1] if c + 1 < len(starts) else len(filled)) - 1]
+                        for place in range(spots[k], first[word, last] + many[word, last]):
+                            yield rows(np.full(len(at), place), True, come[at], [packed[t] for t in at])
 
-    return run
+    return lean(run)
 
 
 def _compare(books: Codebooks, dtype: str, threshold: float):
@@ -200,49 +251,97 @@ def _compare(books: Codebooks, dtype: str, threshold: float):
     return run
 
 
+def _links(nodes: DataFrame, dtype: str, threshold: float, how: Index) -> DataFrame | None:
+    """Rows (a, b, n) of links among vectors of one length, two components or more; None where there are under two."""
+    spark = nodes.sparkSession
+    n = nodes.count()
+    share = how.most_rows / max(1, n)
+    sample = (nodes if share >= 1 else nodes.where(F.pmod(F.xxhash64("print"), F.lit(1 << 20)) < int(share * (1 << 20)))).select("print", "vec").toPandas().sort_values("print")
+    if len(sample) < 2:
+        return None
+    books = fit(unit(np.frombuffer(b"".join(sample["vec"]), dtype).reshape(len(sample), -1).astype(np.float64)), n, threshold, how)
+    placed = shared_table(nodes.select("print", "vec", "m").mapInArrow(lean(_assign(books, dtype)), "print binary, vec binary, m long, i int, j int"), "embedding-cells")
+    counts = np.zeros((len(books.first), len(books.second)), np.int64)
+    cells = placed.groupBy("i", "j").agg(F.count(F.lit(1)).alias("c")).toPandas()  # most_words ** 2 rows at most
+    counts[cells["i"], cells["j"]] = cells["c"]
+    places = placed_cells(counts, how.chunk)
+    shared = spark.sparkContext.broadcast((places.first, places.many))
+    dealt = placed.mapInArrow(_deal(books, dtype, shared), "place long, asks boolean, print binary, vec binary, m long, i int, j int, visits binary")
+    tasks = min(max(places.number, spark.sparkContext.defaultParallelism), 1 << 20)
+    found = dealt.repartitionById(tasks, F.expr(f"cast(place % {tasks} as int)")).sortWithinPartitions("place")
+    return shared_table(found.mapInArrow(lean(_compare(books, dtype, threshold)), "a binary, b binary, n long"), "embedding-links")
+
+
 def embedding_near_dups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, how: Index = Index()) -> DataFrame:
     """_id, n_links, component_id and kept of every row of ``df``.
 
     Two rows link if the cosine of their vectors is ``threshold`` or more, in double precision; n_links counts
     the other rows linked directly, component_id is the least id reachable, kept says that it is the row's own.
 
-    Defined cases: vectors that are null, zero, of another length than the table's commonest, or
-    with null or non-finite components link with nothing; equal vectors are copies that all link;
-    rows that repeat an id are rows of their own; a null id is no candidate for component_id, and a
-    row with one is kept if it links with nothing; an empty table gives no rows. Other columns are not read.
+    Defined cases: vectors that are null, zero, empty or with null or non-finite components link with nothing;
+    vectors of different lengths don't link (an index is made for each length); those of one component link if their signs are
+    equal; equal vectors are copies that all link; rows that repeat an id are rows of their own; a null id is no candidate for
+    component_id, and a row with one is kept if it links with nothing; an empty table gives no rows. Other columns are not read.
     """
     spark = df.sparkSession
     ship(spark)
     dtype = "f4" if "float" in df.schema[vector_col].dataType.simpleString() else "f8"
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    lengths = rows.where("size(v) > 0").groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "d").limit(1).collect()
-    dim = lengths[0].d if lengths else 0
-    table = shared_table(rows.mapInArrow(_prepare(dim, dtype), "id long, print binary, vec binary"), "embedding-rows")
-    nodes = shared_table(table.where("print is not null").groupBy("print").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("m"), F.min("id").alias("least")), "embedding-nodes")
-    n = nodes.count()
-    share = how.most_rows / max(1, n)
-    sample = (nodes if share >= 1 else nodes.where(F.pmod(F.xxhash64("print"), F.lit(1 << 20)) < int(share * (1 << 20)))).select("print", "vec").toPandas().sort_values("print")
-    if dim >= 2 and len(sample) > 1:
-        x = unit(np.frombuffer(b"".join(sample["vec"]), dtype).reshape(len(sample), -1).astype(np.float64))
-        books = fit(x, n, threshold, how)
-        placed = shared_table(nodes.select("print", "vec", "m").mapInArrow(_assign(books, dtype), "print binary, vec binary, m long, i int, j int"), "embedding-cells")
-        counts = {r.i: r.c for r in placed.groupBy("i").agg(F.count(F.lit(1)).alias("c")).collect()}  # one row a codeword
-        chunks = np.array([max(1, -(-counts.get(i, 0) // how.chunk)) for i in range(len(books.first))])
-        dealt = placed.mapInArrow(_deal(books, dtype, chunks), "place long, asks boolean, print binary, vec binary, m long, i int, j int, visits binary")
-        found = shared_table(dealt.repartition(max(int(chunks.sum()), spark.sparkContext.defaultParallelism), "place").sortWithinPartitions("place").mapInArrow(_compare(books, dtype, threshold), "a binary, b binary, n long"), "embedding-links")
-    else:
-        found = spark.createDataFrame([], "a binary, b binary, n long")
+    table = shared_table(rows.mapInArrow(_prepare(dtype), "id long, dim int, print binary, vec binary"), "embedding-rows")
+    nodes = shared_table(table.where("print is not null").groupBy("dim", "print").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("m"), F.min("id").alias("least")), "embedding-nodes")
+    found = spark.createDataFrame([], "a binary, b binary, n long")
+    for d in sorted(r.dim for r in nodes.where("dim > 1").select("dim").distinct().collect()):  # one row a length
+        more = _links(nodes.where(F.col("dim") == d), dtype, threshold, how)
+        found = found if more is None else found.unionByName(more)
     linked = found.where("b is null").groupBy(F.col("a").alias("print")).agg(F.sum("n").alias("links"))
     forest = components(found.where("b is not null").select("a", "b"))
     roots = forest.select(F.col("node").alias("print"), "root")
     info = nodes.select("print", "m", "least").join(linked, "print", "left").join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    best = info.groupBy("root").agg(F.min("least").alias("component_id"))
-    info = shared_table(info.join(best, "root").select("print", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "embedding-components")
+    best = shared_table(info.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("w")), "embedding-roots")
+    info = meet(info, best, ["root"], "w", nodes.count())
+    info = shared_table(info.select("print", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", "m"), "embedding-components")
     discard(nodes, forest)
-    out = table.select("id", "print").join(info, "print", "left")
+    bad = table.where("print is null").select("id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    good = meet(table.where("print is not null").select("id", "print"), info, ["print"], "m", table.count())
+    out = good.select("id", "n_links", "component_id").unionByName(bad)
     out = out.select(F.col("id").alias("_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.when(F.col("_id").isNull(), F.col("n_links") == 0).otherwise(F.col("_id").eqNullSafe(F.col("component_id"))))
 
 
+def measured_recall(df: DataFrame, links: DataFrame, queries: int = 200, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> float:
+    """Share of the links of ``queries`` rows, found by comparing them with all rows in blocks, that ``links`` (_id and n_links) has.
+
+    The queries are those with the least hashes of their ids, so their number bounds what is broadcast. 1 where they have no links.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
+    good = rows.where("id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(v, x -> x <> 0)")
+    asked = good.orderBy(F.xxhash64("id"), "id").limit(queries).collect()
+    if not asked:
+        return 1.0
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for d in {len(r.v) for r in asked}:
+        own = [r for r in asked if len(r.v) == d]
+        by_length[d] = np.array([r.id for r in own]), unit(np.array([r.v for r in own], np.float64))
+    shared = spark.sparkContext.broadcast(by_length)
+
+    def run(batches):
+        count: dict[int, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = [v for v in batch.column(0).slice(at, 2048).to_pylist()]
+                for d, (ids, x) in shared.value.items():
+                    y = [v for v in part if len(v) == d]
+                    if y:
+                        for i, n in zip(ids.tolist(), (x @ unit(np.array(y, np.float64)).T >= threshold).sum(1).tolist(), strict=True):
+                            count[i] = count.get(i, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64())], names=["id", "n"])
+
+    exact = good.select("v").mapInArrow(lean(run), "id long, n long").groupBy("id").agg((F.sum("n") - 1).alias("n"))
+    both = exact.join(links.select(F.col("_id").alias("id"), "n_links"), "id").agg(F.sum("n").alias("n"), F.sum(F.least("n", "n_links")).alias("found")).first()
+    return float(both.found / both.n) if both.n else 1.0
+
+
 def op10_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return embedding_near_dups(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("_id", "vec_id")

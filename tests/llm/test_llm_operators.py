@@ -445,12 +445,10 @@ def test_embeddings(spark):
     base = r.standard_normal((40, 16))
     vectors = [(i, v.tolist()) for i, v in enumerate(base)]
     vectors += [(100 + i, (base[i % 10] + 0.12 * r.standard_normal(16)).tolist()) for i in range(60)]
-    vectors += [(5, base[5].tolist()), (300, None), (301, [0.0] * 16), (302, [float("nan"), *base[1][1:].tolist()]), (303, [None, *base[1][1:].tolist()]), (304, [1.0]), (None, base[0].tolist()), (None, (-base[3]).tolist())]
+    vectors += [(5, base[5].tolist()), (300, None), (301, [0.0] * 16), (302, [float("nan"), *base[1][1:].tolist()]), (303, [None, *base[1][1:].tolist()]), (304, [1.0]), (305, [2.0]), (306, [-3.0]), (307, [1.0, 0.0]), (308, [2.0, 0.1]), (309, [0.0, 1.0]), (310, []), (None, base[0].tolist()), (None, (-base[3]).tolist())]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<double>, n_links int, kept int")
-    good = [k for k, (i, v) in enumerate(vectors) if v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
-    x = np.array([vectors[k][1] for k in good])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    near = x @ x.T >= 0.9
+    good = [k for k, (i, v) in enumerate(vectors) if v and None not in v and np.isfinite(v).all() and any(v)]
+    near = np.array([[len(a) == len(b) and np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.9 for b in (vectors[k][1] for k in good)] for a in (vectors[k][1] for k in good)])
     reach = near.copy()
     for _ in range(8):
         reach = reach @ reach
@@ -467,6 +465,19 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_near_dups(df.limit(0)).count() == 0
 
 
+def test_places_of_cells():
+    r = np.random.default_rng(3)
+    counts = r.integers(0, 30, (12, 12)) * (r.random((12, 12)) < 0.5)
+    counts[4, 5], counts[7] = 950, 0
+    places = embedding_dedup.placed_cells(counts, 100)
+    held = collections.Counter()
+    for i, j in zip(*np.nonzero(counts)):
+        for part in range(places.many[i, j]):
+            held[i, places.first[i, j] + part] += counts[i, j] / places.many[i, j]
+    assert max(held.values()) <= 100 and len({p for _, p in held}) == len(held) and sum(held.values()) == counts.sum()
+    assert (places.first < 0).sum() == (counts == 0).sum() and places.number == 1 + max(p for _, p in held)
+
+
 def test_embedding_recall(spark):
     r = np.random.default_rng(2)
     base = r.standard_normal((1500, 32))
@@ -476,7 +487,9 @@ def test_embedding_recall(spark):
     off /= np.linalg.norm(off, axis=1, keepdims=True)
     x = np.concatenate([base, 0.905 * base + math.sqrt(1 - 0.905**2) * off])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = embedding_dedup.embedding_near_dups(df, how=embedding_dedup.Index(most_rows=1000, chunk=64)).agg(F.sum("n_links")).first()[0]
+    found = embedding_dedup.embedding_near_dups(df, how=embedding_dedup.Index(most_rows=1000, chunk=64))
+    got = found.agg(F.sum("n_links")).first()[0]
+    assert embedding_dedup.measured_recall(df, found) >= 0.9
     links = (x @ x.T >= 0.9).sum() - len(x)
     assert 0.9 * links <= got <= links
 
