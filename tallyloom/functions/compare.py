@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,9 +77,43 @@ def tokens(x: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(x), r"[\s._\-]+")), "")
 
 
-def request_key(url: Column) -> Column:
-    """scheme://host/path in lower case, without query or last slash."""
-    return F.lower(F.regexp_replace(F.regexp_extract(url, r"^([a-zA-Z]+://[^?#]*)", 1), "/$", ""))
+def request_key(verb: Column, url: Column) -> Column:
+    """(verb, scheme://host/path in lower case, without parameters, query or slashes at its end)."""
+    part = lambda n: F.regexp_extract(url, r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)", n)
+    path = F.regexp_replace(part(3), r";[^/]*$", "")
+    return F.struct(verb.alias("verb"), F.lower(F.regexp_replace(F.concat(part(1), F.lit("://"), part(2), path), "/+$", "")).alias("target"))
+
+
+def requests_score(expected: Column, actual: Column) -> Column:
+    """Jaccard similarity of two sets of requests; 1 if both are empty."""
+    return F.when((F.size(expected) == 0) & (F.size(actual) == 0), 1.0).otherwise(jaccard(expected, actual))
+
+
+def infra_rescue(tag: Column, score: Column, similarity: Column) -> Column:
+    """A failure of kind infra scores as the similarity of the printed values; other failures are never rescued."""
+    return F.when(tag == "infra", similarity).otherwise(score)
+
+
+#: Least scores with which comparisons pass.
+THRESHOLDS = {"DATA": 1.0, "STDOUT": 0.95, "FILES": 1.0, "HTML": 0.7, "GRAPHICS": 0.9, "NETWORK": 0.95, "RNG": 1.0}
+#: Endings of files that are compared as texts.
+TEXT_ENDINGS = (".csv", ".txt", ".json", ".tsv", ".xml", ".yaml", ".yml", ".log")
+
+
+def passes(effect: Column, score: Column) -> Column:
+    """pass or fail by the effect's threshold; null for an unknown effect."""
+    least = F.create_map(*[F.lit(x) for pair in THRESHOLDS.items() for x in pair])
+    return F.when(F.element_at(least, effect).isNotNull(), F.when(score >= F.element_at(least, effect), "pass").otherwise("fail"))
+
+
+def is_text_file(path: Column) -> Column:
+    return F.lower(path).rlike("(" + "|".join(re.escape(e) for e in TEXT_ENDINGS) + ")$")
+
+
+def judged(answer: Column) -> Column:
+    """The verdict that a judge's answer ends up with between verdict tags: pass, fail or uncomparable (also for none or any other)."""
+    found = F.lower(F.regexp_extract(answer, r"(?is)<verdict>\s*(\w+)\s*</verdict>", 1))
+    return F.when(found.isin("pass", "fail"), found).otherwise("uncomparable")
 
 
 def cosine(a: Column, b: Column) -> Column:

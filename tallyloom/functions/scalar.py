@@ -9,7 +9,44 @@ from pyspark.sql import functions as F
 
 # Calls whose entities name sources rather than results.
 SOURCE_CALLS = ("library", "require", "source", "setwd", "options", "data", "rm", "attach", "detach", "suppressPackageStartupMessages")
-ENV_ALLOWED = ("PATH", "HOME", "LANG", "TMPDIR", "TZ", "USER")
+# Variables of the environment that a run may see, and the one that is always set.
+ENV_ALLOWED = ("PATH", "HOME", "USERPROFILE", "TMPDIR", "TEMP", "TMP", "R_LIBS_USER", "R_HOME", "RSCRIPT_PATH", "LANG", "LC_ALL", "LC_CTYPE", "SYSTEMROOT", "WINDIR", "COMSPEC", "PROCESSOR_ARCHITECTURE")
+ENV_SET = ("PYTHONIOENCODING", "utf-8")
+
+
+def scrubbed_env(env: Column, more: tuple[str, ...] = ()) -> Column:
+    """A map of environment variables with only those allowed, and the one that is always set."""
+    allowed = F.map_filter(env, lambda k, v: k.isin(*ENV_ALLOWED, *more) & (k != ENV_SET[0]))
+    return F.map_concat(allowed, F.create_map(F.lit(ENV_SET[0]), F.lit(ENV_SET[1])))
+
+
+#: Ways to write a value as text, by the name of its kind; the first whose condition holds is taken.
+Adapter = tuple[Column, Column]
+
+
+def canonical_value(adapters: list[Adapter]) -> Column:
+    """The first adapter (condition, text) that fits, or __uncapturable__."""
+    out = None
+    for condition, text in adapters:
+        out = F.when(condition, text) if out is None else out.when(condition, text)
+    return out.otherwise("__uncapturable__") if out is not None else F.lit("__uncapturable__")
+
+
+def decoded_state(text: Column) -> Column:
+    """A JSON object as a map of names to JSON texts; values that are strings holding JSON are decoded once more. Empty if it doesn't parse.
+
+    NaN and infinities, written bare, are null, "Inf" and "-Inf".
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?<=[:\[,]\s?)-Infinity(?=\s*[,}\]])", '"-Inf"'), r"(?<=[:\[,]\s?)Infinity(?=\s*[,}\]])", '"Inf"'), r"(?<=[:\[,]\s?)NaN(?=\s*[,}\]])", "null")
+    values = F.try_variant_get(F.try_parse_json(plain), "$", "map<string,variant>")
+    once = lambda k, v: F.when(F.schema_of_variant(v) == "STRING", F.coalesce(F.to_json(F.try_parse_json(F.try_variant_get(v, "$", "string"))), F.to_json(v))).otherwise(F.to_json(v))
+    return F.coalesce(F.transform_values(values, once), F.create_map().cast("map<string,string>"))
+
+
+def brace_depth(line: Column) -> Column:
+    """Braces that a line opens less those it closes, outside of strings and comments."""
+    bare = F.regexp_replace(F.regexp_replace(line, r"\"[^\"]*\"|'[^']*'", ""), r"#.*$", "")
+    return (F.length(F.regexp_replace(bare, r"[^{]", "")) - F.length(F.regexp_replace(bare, r"[^}]", ""))).cast("int")
 
 
 def finite(x: Column) -> Column:

@@ -9,15 +9,15 @@ from ..functions.compare import jaccard, tokens
 from ..functions.scalar import recency
 
 
-def demotion_threshold(seed: Column, real: Column, evidence: Column) -> Column:
-    """Contradictions that demote: 5 for seeds and 1 for others without evidence, else three quarters of the real evidence, 3 at least."""
-    return F.when(evidence == 0, F.when(seed, 5).otherwise(1)).otherwise(F.greatest(F.lit(3), F.ceil(0.75 * real).cast("int")))
+def demotion_threshold(seed: Column, real: Column) -> Column:
+    """Contradictions that demote: three quarters of the real evidence, 3 at least; without any 5 for seeds and 1 for others."""
+    return F.when(real > 0, F.greatest(F.lit(3), F.ceil(0.75 * real).cast("int"))).otherwise(F.when(seed, 5).otherwise(1))
 
 
 def review(patterns: DataFrame) -> DataFrame:
     """One promotion (tentative with two real pieces of evidence), then at most one demotion, on what the promotion left."""
     promoted = F.when((F.col("confidence") == "tentative") & (F.col("real_evidence") >= 2), "confirmed").otherwise(F.col("confidence"))
-    limit = demotion_threshold(F.col("seed"), F.col("real_evidence"), F.col("evidence"))
+    limit = demotion_threshold(F.col("seed"), F.col("real_evidence"))
     step = F.when(F.col("after") == "confirmed", "tentative").when(F.col("after") == "tentative", "contradicted").otherwise(F.col("after"))
     return patterns.withColumn("after", promoted).withColumn("after", F.when(F.col("contradictions") >= limit, step).otherwise(F.col("after")))
 
@@ -25,12 +25,22 @@ def review(patterns: DataFrame) -> DataFrame:
 def conflicts(patterns: DataFrame) -> DataFrame:
     """Pairs of confirmed patterns of one package and shape whose guidance differs beyond case and white space.
 
-    Guidance is grouped first, so a group of equal patterns gives one representative.
+    Guidance is grouped first, so a group of equal patterns gives one representative; each is paired with the least guidance of its
+    package and shape (class representatives): a class of n different texts gives n - 1 rows, from which all its pairs follow.
     """
     plain = F.trim(F.regexp_replace(F.lower("guidance"), r"\s+", " "))
     own = patterns.where((F.col("confidence") == "confirmed") & (F.col("shape") != "")).groupBy("package", "shape", plain.alias("said")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    a, b = own.select("package", "shape", F.col("said").alias("said_a"), F.col("id").alias("id_a"), F.col("n").alias("n_a")), own.select("package", "shape", F.col("said").alias("said_b"), F.col("id").alias("id_b"), F.col("n").alias("n_b"))
-    return a.join(b, ["package", "shape"]).where("said_a < said_b").select("package", "shape", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), (F.col("n_a") * F.col("n_b")).alias("n_pairs"))
+    least = F.min(F.struct("said", "id", "n")).over(Window.partitionBy("package", "shape"))
+    paired = own.withColumn("first", least).where("said <> first.said")
+    return paired.select("package", "shape", F.least("id", "first.id").alias("id_a"), F.greatest("id", "first.id").alias("id_b"), (F.col("n") * F.col("first.n")).alias("n_pairs"))
+
+
+def demoted_by_conflict(patterns: DataFrame) -> DataFrame:
+    """id of each confirmed pattern whose package and shape have other guidance: it becomes tentative."""
+    plain = F.trim(F.regexp_replace(F.lower("guidance"), r"\s+", " "))
+    own = patterns.where((F.col("confidence") == "confirmed") & (F.col("shape") != "")).select("id", "package", "shape", plain.alias("said"))
+    differ = own.groupBy("package", "shape").agg(F.min("said").alias("a"), F.max("said").alias("b")).where("a <> b")
+    return own.join(differ.select("package", "shape"), ["package", "shape"], "left_semi").select("id", F.lit("tentative").alias("after"))
 
 
 def archived(patterns: DataFrame, run: int) -> DataFrame:
@@ -52,21 +62,29 @@ def index_by_key(patterns: DataFrame) -> DataFrame:
     return patterns.groupBy("package", "shape").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def retrieve(queries: DataFrame, patterns: DataFrame, k: int, no_seeds: bool = False) -> DataFrame:
-    """The k best admitted patterns of a query's package, or of all where the package has none.
+def retrieve(queries: DataFrame, patterns: DataFrame, k: int, no_seeds: bool = False, blocks: int = 64) -> DataFrame:
+    """The k best admitted patterns of each query (query, package, kind, text).
 
-    Admitted: not contradicted, and a seed, confirmed, or with two real pieces of evidence. Order: confirmed
-    first, then the token overlap of query and guidance, then id.
+    Candidates are the patterns of the query's package, or all if it has none or no pattern at all, admitted or not, is of it.
+    Admitted: not contradicted, and a seed, confirmed, or with two real pieces of evidence. Order: patterns of just the query's
+    package first (tier 0), then the token overlap of kind and id, then that of text and guidance, then id. Queries
+    for all patterns meet them in ``blocks`` by id, each of which hands on its k best.
     """
     good = patterns.where((F.col("confidence") != "contradicted") & (F.col("seed") | (F.col("confidence") == "confirmed") | (F.col("real_evidence") >= 2)))
     good = good.where(~F.col("seed")) if no_seeds else good
-    tier = F.when(F.col("confidence") == "confirmed", 0).otherwise(1)
-    good = good.select("id", F.col("package").alias("p"), tier.alias("tier"), tokens(F.col("guidance")).alias("g"))
-    own = queries.join(good, F.col("package") == F.col("p"))
-    other = queries.join(good.select("p").distinct(), F.col("package") == F.col("p"), "left_anti").crossJoin(good)
-    scored = own.unionByName(other).withColumn("overlap", jaccard(tokens(F.col("text")), F.col("g")))
-    w = Window.partitionBy("query").orderBy("tier", F.col("overlap").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "tier", "overlap")
+    good = good.select("id", F.coalesce("package", F.lit("")).alias("p"), tokens(F.col("id").cast("string")).alias("i"), tokens(F.col("guidance")).alias("g"))
+    asked = queries.select("query", F.coalesce("package", F.lit("")).alias("package"), tokens(F.col("kind")).alias("k"), tokens(F.col("text")).alias("t"))
+    known = patterns.select(F.coalesce("package", F.lit("")).alias("package")).distinct().where("package <> ''")
+    own = asked.join(known, "package", "left_semi").join(good, F.col("package") == F.col("p"))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    wide = asked.join(known, "package", "left_anti").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    other = wide.join(good.withColumn("block", block), "block")
+    scored = lambda df: df.withColumns({"tier": F.when(F.col("p") == F.col("package"), 0).otherwise(1), "shape": jaccard(F.col("k"), F.col("i")), "overlap": jaccard(F.col("t"), F.col("g"))})
+    order = ["tier", F.col("shape").desc(), F.col("overlap").desc(), "id"]
+    ranked = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+    kept = ["query", "id", "tier", "shape", "overlap"]
+    best = scored(own).select(*kept).unionByName(ranked(scored(other), "query", "block").select(*kept))
+    return ranked(best, "query").select("query", "rank", "id", "tier", "shape", "overlap")
 
 
 def features(pairs: DataFrame, today: str) -> DataFrame:
@@ -80,3 +98,44 @@ def features(pairs: DataFrame, today: str) -> DataFrame:
 
 def pruned_examples(patterns: DataFrame, least: float = 0.3) -> DataFrame:
     return patterns.withColumn("examples", F.filter("examples", lambda e: e["score"] >= least))
+
+
+def recorded(facts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """What facts of an edit (pattern, delta, guidance, package, at) add to the patterns: one row for each pattern that has or gets evidence.
+
+    Facts without a pattern are left out. A pattern that isn't known yet begins, tentative and no seed, with its first fact whose guidance isn't
+    blank; facts before it are lost. Evidence never counts below 0.
+    """
+    named = facts.where("pattern <> ''").join(patterns.select(F.col("id").alias("pattern"), F.lit(True).alias("known")), "pattern", "left")
+    begins = F.min(F.when(F.trim(F.coalesce("guidance", F.lit(""))) != "", F.col("at"))).over(Window.partitionBy("pattern"))
+    counted = named.withColumn("begins", F.when(F.col("known"), F.lit(None)).otherwise(begins)).where("known or at >= begins")
+    gain = F.greatest(F.lit(0.0), F.col("delta"))
+    return counted.groupBy("pattern").agg(
+        F.first("known").isNull().alias("created"), F.count(F.lit(1)).alias("evidence"), F.count(F.when(F.col("delta") > 0, 1)).alias("real_evidence"), F.sum(gain).alias("gain"),
+        F.min_by(F.trim("guidance"), F.when(F.trim(F.coalesce("guidance", F.lit(""))) != "", F.col("at"))).alias("guidance"),
+    )
+
+
+def unimproved(patterns: DataFrame, index: DataFrame) -> DataFrame:
+    """Patterns of the index that are no seeds, not contradicted and have no real evidence."""
+    return patterns.where(~F.col("seed") & (F.col("confidence") != "contradicted") & (F.col("real_evidence") == 0)).join(index.select("id"), "id", "left_semi")
+
+
+def index_upsert(index: DataFrame, rows: DataFrame) -> DataFrame:
+    """The index (id, confidence, contradicted_at) with new rows in place of old ones; contradicted_at stays unless the new row has one, 0 at first."""
+    new = rows.select("id", F.col("confidence").alias("new"), F.col("contradicted_at").alias("stamp"), F.lit(True).alias("given"))
+    both = index.select("id", "confidence", "contradicted_at").join(new, "id", "full_outer")
+    return both.select("id", F.when(F.col("given"), F.col("new")).otherwise(F.col("confidence")).alias("confidence"), F.coalesce("stamp", "contradicted_at", F.lit(0)).alias("contradicted_at"))
+
+
+def seeds_only(patterns: DataFrame, frozen: bool = False) -> DataFrame:
+    """The library after a reset: its seeds. A frozen one stays as it is."""
+    return patterns if frozen else patterns.where("seed")
+
+
+def merged_texts(patterns: DataFrame, items: str) -> DataFrame:
+    """Contradictions of patterns named base, base-1, ...: each different one once, at its first place by (pattern, place)."""
+    base = F.regexp_extract("id", r"^(.+?)-(\d+)$", 1)
+    named = patterns.select(F.when(base == "", F.col("id")).otherwise(base).alias("base"), "id", F.posexplode(items).alias("place", "item"))
+    once = named.groupBy("base", "item").agg(F.min(F.struct((F.col("id") != F.col("base")).alias("variant"), "id", "place")).alias("at"))
+    return once.groupBy("base").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias(items))

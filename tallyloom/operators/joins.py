@@ -43,12 +43,69 @@ def points_in_intervals(points: DataFrame, spans: DataFrame, group: str, point:
     return points.withColumn("bucket", F.floor(F.col(point) / width)).join(cut, [group, "bucket"]).where(F.col(point).between(F.col(start), F.col(end))).drop("bucket")
 
 
-def contained(spans: DataFrame, group: str, key: str, start: Column, end: Column) -> DataFrame:
-    """Keys of spans that strictly contain another of their group (equal starts or ends are in, equal spans not)."""
+def contained(spans: DataFrame, group: str, key: str, start: Column, end: Column, width: int = 32) -> DataFrame:
+    """Keys of spans that strictly contain another of their group (equal starts or ends are in, equal spans not), by buckets of ``width``."""
     x = spans.select(group, F.col(key).alias("outer_key"), start.alias("s0"), end.alias("e0"))
     y = spans.select(group, F.col(key).alias("inner_key"), start.alias("s1"), end.alias("e1"))
-    inside = (F.col("s0") <= F.col("s1")) & (F.col("e1") <= F.col("e0")) & ((F.col("s0") < F.col("s1")) | (F.col("e1") < F.col("e0")))
-    return x.join(y, group).where(inside).groupBy(group, "outer_key").agg(F.count(F.lit(1)).alias("n_inside"))
+    inside = (F.col("e1") <= F.col("e0")) & ((F.col("s0") < F.col("s1")) | (F.col("e1") < F.col("e0")))
+    return points_in_intervals(y, x, group, "s1", "s0", "e0", width).where(inside).groupBy(group, "outer_key").agg(F.count(F.lit(1)).alias("n_inside"))
+
+
+def lines_of_spans(spans: DataFrame, marks: DataFrame, group: str, start: str, end: str) -> DataFrame:
+    """Spans with the sorted set of flags of the lines that they cover: spans are repeated for each of their lines and joined by line."""
+    lines = spans.withColumn("line", F.explode(F.sequence(F.col(start), F.col(end))))
+    found = lines.join(marks.select(group, "line", "flag"), [group, "line"]).groupBy(*spans.columns).agg(F.array_sort(F.collect_set("flag")).alias("flags"))
+    return spans.join(found, spans.columns, "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<string>")))
+
+
+def first_cover(points: DataFrame, spans: DataFrame, group: str, point: str, start: str, end: str, key: str, order: str, width: int = 32) -> DataFrame:
+    """Of the spans that hold a point the first by ``order``; points in none have null."""
+    hit = points_in_intervals(points, spans, group, point, start, end, width)
+    best = hit.groupBy(*points.columns).agg(F.min_by(key, order).alias("cover"))
+    return points.join(best, points.columns, "left")
+
+
+def escaped(before: DataFrame, after: DataFrame, folder: str) -> DataFrame:
+    """Files (path, hash) that are new or changed outside ``folder``."""
+    return snapshot_changes(before, after, "path", "hash").where(~F.col("path").startswith(folder.rstrip("/") + "/"))
+
+
+def files_score(expected: DataFrame, actual: DataFrame, group: str) -> DataFrame:
+    """Share of the expected files (path, hash) with an equal actual one; 1 if neither side has any, 0 if only the actual side has."""
+    both = expected.join(actual.select(group, "path", F.col("hash").alias("other")), [group, "path"], "left")
+    score = both.groupBy(group).agg(F.avg(F.col("hash").eqNullSafe(F.col("other")).cast("double")).alias("score"))
+    return score.unionByName(actual.select(group).distinct().join(expected.select(group), group, "left_anti").select(group, F.lit(0.0).alias("score")))
+
+
+def env_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Variables (keys and value) that were added, changed or removed, with the value they have then; null for removed ones."""
+    both = before.select(*keys, F.col("value").alias("old"), F.lit(True).alias("was")).join(after.select(*keys, F.col("value").alias("new"), F.lit(True).alias("is")), keys, "full_outer")
+    changed = F.col("was").isNull() | F.col("is").isNull() | ~F.col("old").eqNullSafe(F.col("new"))
+    return both.where(changed).select(*keys, F.col("new").alias("value"))
+
+
+def shim_names(entities: DataFrame, references: DataFrame, captured: DataFrame, group: str) -> DataFrame:
+    """Names that a shim must give: captured ones that are referred to, or that entities which aren't translated define."""
+    wanted = references.select(group, "name").union(entities.where(~F.col("translatable")).select(group, "name")).distinct()
+    return wanted.join(captured.select(group, "name"), [group, "name"], "left_semi")
+
+
+def sidecar_names(captured: DataFrame, entities: DataFrame, shims: DataFrame, group: str) -> DataFrame:
+    """Captured names that are no entities, or that shims need."""
+    free = captured.join(entities.select(group, "name"), [group, "name"], "left_anti")
+    return free.unionByName(captured.join(entities.select(group, "name"), [group, "name"], "left_semi").join(shims.select(group, "name"), [group, "name"], "left_semi"))
+
+
+def graphics_score(expected: DataFrame, actual: DataFrame, group: str) -> DataFrame:
+    """Pictures (place, hash) of two sides: verdict pass and score 1 if all are equal, fail and 0 for other counts, else uncomparable.
+
+    Pictures that differ would need an image library. Groups that one side lacks have another count.
+    """
+    x = expected.groupBy(group, "place").agg(F.first("hash").alias("a"))
+    y = actual.groupBy(group, "place").agg(F.first("hash").alias("b"))
+    both = x.join(y, [group, "place"], "full_outer").groupBy(group).agg(F.max(F.col("a").isNull() | F.col("b").isNull()).alias("counts"), F.min(F.col("a").eqNullSafe(F.col("b"))).alias("same"))
+    verdict = F.when(F.col("counts"), "fail").when(F.col("same"), "pass").otherwise("uncomparable")
+    return both.select(group, verdict.alias("verdict"), F.when(verdict == "pass", 1.0).otherwise(0.0).alias("score"))
 
 
 def latest_before(uses: DataFrame, definitions: DataFrame, name: Sequence[str], at: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import stored
+
 DIMENSIONS = ("type_match", "control_flow_match", "data_output", "variable_output", "callable_output", "side_effects")
 _DATA_KINDS = ("VARIABLE", "CONSTANT")
 _CALLS = ("FUNCTION_CALL", "EXTERNAL_SYMBOL")
@@ -106,7 +108,7 @@ def ndcg(rows: DataFrame, group: str, score: str, gain: str, tie: str, k: int, i
 def grouped_folds(rows: DataFrame, group: str, order: str, n_folds: int) -> DataFrame:
     """Contiguous folds of groups in the order in which they are first seen; what is left over is in no fold (null)."""
     first = rows.groupBy(group).agg(F.min(order).alias("first_seen"))
-    ranked = first.withColumn("place", F.row_number().over(Window.orderBy("first_seen", group)) - 1)
+    ranked = numbered(first, ["first_seen", group], "place").withColumn("place", (F.col("place") - 1).cast("int"))
     total = first.agg(F.count(F.lit(1)).alias("total"))
     fold = F.floor(F.col("place") / F.floor(F.col("total") / n_folds))
     return ranked.crossJoin(F.broadcast(total)).select(group, "place", F.when(fold < n_folds, fold).alias("fold"))
@@ -130,3 +132,58 @@ def sign_test(pairs: DataFrame) -> DataFrame:
     got = pairs.agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean_delta"), pos.alias("n_improved"), neg.alias("n_regressions"))
     p = tail(F.greatest("n_improved", "n_regressions"), F.col("n_improved") + F.col("n_regressions"))
     return got.withColumn("p_value", F.when(F.col("n") < 2, 1.0).otherwise(p))
+
+
+def score_table(entities: DataFrame, expected: DataFrame, actual: DataFrame, variables: DataFrame, ran: bool, mapped: bool, data: float, stdout: float, effects: float) -> DataFrame:
+    """Scores of each entity (id, name, kind, lines: whether it has lines of the translation, before_crash).
+
+    ``expected`` and ``actual`` have what was seen at each entity (id, has_data, has_stdout, n_graphics), ``actual`` the scores against the
+    other side too (data, stdout, graphics). An entity that the expected side never reached, although it reached others, is empty there; one
+    that the translation has no lines of is empty on the actual side where lines are known (``mapped``). If the entity ran and both sides
+    are known, its data score is the mean over the effects that the expected side has, or 1 if neither side has any; else the
+    scores of the whole run count: that of the variable of its name (``variables``: name, score), or ``data``.
+    """
+    some = expected.limit(1).agg(F.count(F.lit(1)).alias("reached"))  # one row
+    x = expected.select("id", F.lit(True).alias("seen"), "has_data", "has_stdout", "n_graphics")
+    y = actual.select("id", F.lit(True).alias("found"), *[F.col(c).alias(f"other_{c}") for c in ("has_data", "has_stdout", "n_graphics")], *[F.col(c).alias(f"score_{c}") for c in ("data", "stdout", "graphics")])
+    rows = entities.join(x, "id", "left").join(y, "id", "left").crossJoin(F.broadcast(some)).join(variables.select("name", F.col("score").alias("of_name")), "name", "left")
+    ok = F.lit(ran) | F.coalesce("before_crash", F.lit(False))
+    left = F.coalesce("seen", F.col("reached") > 0)
+    right = F.coalesce("found", F.lit(mapped) & ~F.col("lines"))
+    has = {"data": F.coalesce("has_data", F.lit(False)), "stdout": F.coalesce("has_stdout", F.lit(False)), "graphics": F.coalesce(F.col("n_graphics") > 0, F.lit(False))}
+    other = {"data": F.coalesce("other_has_data", F.lit(False)), "stdout": F.coalesce("other_has_stdout", F.lit(False)), "graphics": F.coalesce(F.col("other_n_graphics") > 0, F.lit(False))}
+    # A side that is empty scores 1 against an empty one, else 0.
+    score = {k: F.coalesce(F.col(f"score_{k}"), F.when(has[k] == other[k], 1.0).otherwise(0.0)) for k in has}
+    n = sum((h.cast("int") for h in has.values()), F.lit(0))
+    total = sum((F.when(h, score[k]).otherwise(0.0) for k, h in has.items()), F.lit(0.0))
+    silent = ~(other["data"] | other["stdout"] | other["graphics"])
+    own = ok & left & right & ((n > 0) | silent)
+    data_score = F.when(own, F.when(n > 0, total / n).otherwise(1.0)).otherwise(F.coalesce("of_name", F.lit(data)))
+    return rows.select("id", ok.alias("executed_ok"), own.alias("per_entity"), data_score.alias("data_output"), F.when(own, score["stdout"]).otherwise(F.lit(stdout)).alias("stdout_output"), F.when(own, (score["graphics"] + score["stdout"]) / 2).otherwise(F.lit(effects)).alias("side_effects"))
+
+
+def representatives(rows: DataFrame, name: str, code: str, order: str) -> DataFrame:
+    """One row for each name: the first whose code defines it (def name(), dots and colons as underscores), else the first."""
+    plain = F.replace(F.replace(F.col(name), F.lit("::"), F.lit(".")), F.lit("."), F.lit("_"))
+    defines = F.contains(F.col(code), F.concat(F.lit("def "), plain, F.lit("(")))
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(name).orderBy(defines.desc(), order))).where("__n = 1").drop("__n")
+
+
+def last_fifth(rows: DataFrame, unit: str, order: str) -> DataFrame:
+    """Units in the order in which they are first seen, with validation: the last fifth, of which the first unit is never one."""
+    first = rows.groupBy(unit).agg(F.min(order).alias("seen"))
+    placed = numbered(first, ["seen", unit], "place")
+    total = first.agg(F.count(F.lit(1)).alias("total"))
+    return placed.crossJoin(F.broadcast(total)).select(unit, (F.col("place") > F.greatest(F.lit(1), F.floor(F.col("total") * 0.8))).alias("validation"))
+
+
+def numbered(rows: DataFrame, order: list, out: str, parts: int = 64) -> DataFrame:
+    """``rows`` with their place, from 1, in the order of columns of which the last tells all rows apart.
+
+    Range partitions are numbered each for itself and moved by the rows of those before, so no task sees all rows.
+    """
+    ranged = stored(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = sizes.withColumn("__before", F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).drop("__size")  # a row a part
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.join(F.broadcast(before), "__part").withColumn(out, place + F.col("__before")).drop("__part", "__before")

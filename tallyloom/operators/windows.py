@@ -81,3 +81,38 @@ def fill_missing(df: DataFrame, group: str, order: Sequence[str], value: str, ho
     down = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     up = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     return df.withColumn("filled", {"down": down, "up": up, "downup": F.coalesce(down, up), "updown": F.coalesce(up, down)}[how])
+
+
+def last_ranges(ranges: DataFrame, key: str, order: str, start: str, end: str) -> DataFrame:
+    """Of the ranges of each key the last."""
+    return ranges.groupBy(key).agg(F.max_by(F.struct(start, end), order).alias("r")).select(key, "r.*")
+
+
+def first_differences(a: DataFrame, b: DataFrame, group: str, n: int = 3) -> DataFrame:
+    """The first n lines (group, line, text) that differ between sides of as many lines; more says whether there are others."""
+    both = a.join(b.select(group, "line", F.col("text").alias("other")), [group, "line"], "full_outer")
+    same = both.groupBy(group).agg(F.max(F.col("text").isNull() | F.col("other").isNull()).alias("uneven")).where("not uneven").select(group)
+    differ = both.where(~F.col("text").eqNullSafe(F.col("other"))).join(same, group, "left_semi")
+    place, total = F.row_number().over(Window.partitionBy(group).orderBy("line")), F.count(F.lit(1)).over(Window.partitionBy(group))
+    return differ.withColumns({"place": place, "total": total}).where(F.col("place") <= n).select(group, "line", (F.col("total") > n).alias("more"))
+
+
+def allocated_ids(rows: DataFrame, taken: DataFrame, base: str, order: Sequence[str], out: str = "id") -> DataFrame:
+    """Fresh ids: the base if free, else base-1, base-2, ... that are neither in ``taken`` (id) nor given to a row before.
+
+    Suffixes in use are taken out of those from 0 on: the n-th row of a base gets its n-th free one.
+    """
+    wanted = rows.withColumn("n", F.row_number().over(Window.partitionBy(base).orderBy(*order)))
+    used = taken.select(F.regexp_replace("id", r"-(\d+)$", "").alias("b"), F.regexp_extract("id", r"-(\d+)$", 1).alias("s"), "id")
+    plain = used.select(F.col("id").alias(base), F.lit(0).cast("long").alias("suffix")).union(used.where("s rlike '^[1-9][0-9]{0,17}$'").select(F.col("b").alias(base), F.col("s").cast("long")))
+    held = plain.distinct().join(rows.select(base).distinct(), base, "left_semi")
+    # The k-th used suffix s leaves s - k + 1 free ones below it: the n-th free one is n - 1 and the used ones at or below it.
+    gaps = held.withColumn("k", F.row_number().over(Window.partitionBy(base).orderBy("suffix"))).withColumn("free", F.col("suffix") - F.col("k") + 1)
+    below = gaps.groupBy(base, "free").agg(F.max("k").alias("k"))
+    both = wanted.select(*rows.columns, F.col("n").cast("long"), F.lit(None).cast("int").alias("k"), F.lit(1).alias("row")).unionByName(
+        below.select(base, (F.col("free") + 1).alias("n"), "k", F.lit(0).alias("row")), allowMissingColumns=True
+    )
+    skipped = F.coalesce(F.max("k").over(Window.partitionBy(base).orderBy("n", "row").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    suffix = F.col("n") - 1 + F.col("skipped")
+    found = both.withColumn("skipped", skipped).where("row = 1")
+    return found.withColumn(out, F.when(suffix == 0, F.col(base)).otherwise(F.concat_ws("-", base, suffix))).select(*rows.columns, out)

@@ -110,13 +110,15 @@ def sha_prefixes(spark, d):
     return _t(spark, d, "documents").select("doc_id", h(F.col("text"), "sha256", 8).alias("snippet_hash"), h(F.col("text"), "sha1", 12).alias("script_id"), h(F.col("lang"), "md5", 8).alias("shape_hash"))
 
 
-@query("""WITH k AS (SELECT page_id % 10 AS g, page_id % 2 AS side, LOWER(REGEXP_REPLACE(REGEXP_EXTRACT(url, '^([a-zA-Z]+://[^?#]*)', 1), '/$', '')) AS k FROM pages),
+@query(r"""WITH u AS (SELECT page_id % 10 AS g, page_id % 2 AS side, CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS verb, REGEXP_REPLACE(url, '[?#].*$', '') AS u FROM pages),
+k AS (SELECT g, side, verb || ' ' || LOWER(RTRIM(CASE WHEN CONTAINS(u, '://') THEN u ELSE '://' || u END, '/')) AS k FROM u),
 s AS (SELECT g, LIST(DISTINCT k) FILTER (side = 0) AS a, LIST(DISTINCT k) FILTER (side = 1) AS b FROM k GROUP BY g)
 SELECT g, ROUND(LEN(LIST_INTERSECT(COALESCE(a, []), COALESCE(b, [])))::DOUBLE / LEN(LIST_DISTINCT(LIST_CONCAT(a, b))), 6) AS score FROM s""")
 def request_jaccard(spark, d):
-    k = _t(spark, d, "pages").select((F.col("page_id") % 10).alias("g"), (F.col("page_id") % 2).alias("side"), C.request_key(F.col("url")).alias("k"))
+    verb = F.when(F.col("page_id") % 3 == 0, "POST").otherwise("GET")
+    k = _t(spark, d, "pages").select((F.col("page_id") % 10).alias("g"), (F.col("page_id") % 2).alias("side"), C.request_key(verb, F.col("url")).alias("k"))
     sides = k.groupBy("g").agg(F.collect_set(F.when(F.col("side") == 0, F.col("k"))).alias("a"), F.collect_set(F.when(F.col("side") == 1, F.col("k"))).alias("b"))
-    return sides.select("g", _r(C.jaccard(F.col("a"), F.col("b"))).alias("score"))
+    return sides.select("g", _r(C.requests_score(F.col("a"), F.col("b"))).alias("score"))
 
 
 @query("""WITH t AS (SELECT p_partkey, LIST_DISTINCT(LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(LOWER(p_name), '[\\s._\\-]+'), LAMBDA x: x <> '')) AS a, LIST_DISTINCT(LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(LOWER(p_type || ' ' || p_name), '[\\s._\\-]+'), LAMBDA x: x <> '')) AS b FROM part)
@@ -147,7 +149,8 @@ def cosine_pairs(spark, d):
     return e.join(nxt, "vec_id").select(F.col("vec_id").alias("a"), "b", _r(C.cosine(F.col("embedding"), F.col("y"))).alias("cosine"))
 
 
-@query()
+@query("""WITH w AS (SELECT p_partkey, p_size, p_brand, LIST_FILTER(STRING_SPLIT(LOWER(p_name), ' '), LAMBDA x: x NOT IN ('...', 'args', 'kwargs')) AS a, LIST_FILTER(STRING_SPLIT(LOWER(p_type), ' '), LAMBDA x: x NOT IN ('...', 'args', 'kwargs')) AS b FROM part)
+SELECT p_partkey, ROUND(0.7::DOUBLE * CASE WHEN a = b THEN 1.0::DOUBLE WHEN GREATEST(LEN(a), LEN(b)) = 0 THEN 1.0 ELSE LEN(LIST_INTERSECT(a, b))::DOUBLE / GREATEST(LEN(a), LEN(b)) END + 0.3::DOUBLE * (1 + (p_brand = 'Brand#11')::INTEGER) / 2, 6) AS score FROM w""")
 def formals_overlap(spark, d):
     """Callable comparison of word lists as formals; attributes are the table's columns."""
     p = _t(spark, d, "part")
@@ -174,18 +177,18 @@ def greedy_match(spark, d):
 
 # --- intervals and attribution --------------------------------------------------------------------
 
-_SPANS = "spans AS (SELECT event_id AS span, user_id, event_id % 1000 AS s, event_id % 1000 + 20 + event_id % 7 AS e FROM events WHERE event_id % 3 = 0)"
+_SPANS = "spans AS (SELECT event_id AS span, user_id, event_id % 1000 AS s, event_id % 1000 + 20 + event_id % 7 AS e FROM events)"
 
 
 def _spans(spark, d):
     k = F.col("event_id")
-    return _t(spark, d, "events").where(k % 3 == 0).select(k.alias("span"), "user_id", (k % 1000).alias("s"), (k % 1000 + 20 + k % 7).alias("e"))
+    return _t(spark, d, "events").select(k.alias("span"), "user_id", (k % 1000).alias("s"), (k % 1000 + 20 + k % 7).alias("e"))
 
 
-@query(f"""WITH {_SPANS}, points AS (SELECT event_id, user_id, event_id % 1000 AS place FROM events WHERE event_id % 3 = 1)
+@query(f"""WITH {_SPANS}, points AS (SELECT event_id, user_id, event_id % 997 AS place FROM events)
 SELECT p.event_id, ARG_MAX(span, (s, span)) AS span, COUNT(*) AS n FROM points p JOIN spans USING (user_id) WHERE place BETWEEN s AND e GROUP BY 1""")
 def crash_attribution(spark, d):
-    points = _t(spark, d, "events").where("event_id % 3 = 1").select("event_id", "user_id", (F.col("event_id") % 1000).alias("at"))
+    points = _t(spark, d, "events").select("event_id", "user_id", (F.col("event_id") % 997).alias("at"))
     hit = J.points_in_intervals(points, _spans(spark, d), "user_id", "at", "s", "e", 32)
     return hit.groupBy("event_id").agg(F.max_by("span", F.struct("s", "span")).alias("span"), F.count(F.lit(1)).alias("n"))
 
@@ -393,14 +396,15 @@ p AS (SELECT c_custkey AS id, c_mktsegment AS package, 's' || c_custkey % 5 AS s
  (c_custkey % 13)::INTEGER AS contradictions, (c_custkey % 120)::INTEGER AS ties, (c_custkey % 60)::INTEGER AS contradicted_at, 'Use ' || c_mktsegment || ' g' || c_custkey % 6 AS guidance FROM customer LEFT JOIN o ON c_custkey = o_custkey)"""
 
 
-@query(f"""WITH {_PATTERNS}, a AS (SELECT *, CASE WHEN confidence = 'tentative' AND real_evidence >= 2 THEN 'confirmed' ELSE confidence END AS c1, CASE WHEN evidence = 0 THEN CASE WHEN seed THEN 5 ELSE 1 END ELSE GREATEST(3, CEIL(0.75 * real_evidence)) END AS lim FROM p)
+@query(f"""WITH {_PATTERNS}, a AS (SELECT *, CASE WHEN confidence = 'tentative' AND real_evidence >= 2 THEN 'confirmed' ELSE confidence END AS c1, CASE WHEN real_evidence = 0 THEN CASE WHEN seed THEN 5 ELSE 1 END ELSE GREATEST(3, CEIL(0.75 * real_evidence)) END AS lim FROM p)
 SELECT id, confidence, CASE WHEN contradictions >= lim THEN CASE c1 WHEN 'confirmed' THEN 'tentative' ELSE 'contradicted' END ELSE c1 END AS after FROM a""")
 def promote_demote(spark, d):
     return E.review(_patterns(spark, d)).select("id", "confidence", "after")
 
 
 @query(f"""WITH {_PATTERNS}, g AS (SELECT package, shape, LOWER(guidance) AS said, MIN(id) AS id, COUNT(*) AS n FROM p WHERE confidence = 'confirmed' GROUP BY ALL)
-SELECT a.package, a.shape, LEAST(a.id, b.id) AS id_a, GREATEST(a.id, b.id) AS id_b, a.n * b.n AS n_pairs FROM g a JOIN g b ON a.package = b.package AND a.shape = b.shape AND a.said < b.said""")
+SELECT a.package, a.shape, LEAST(a.id, b.id) AS id_a, GREATEST(a.id, b.id) AS id_b, a.n * b.n AS n_pairs FROM g a JOIN g b ON a.package = b.package AND a.shape = b.shape AND a.said < b.said
+WHERE a.said = (SELECT MIN(said) FROM g c WHERE c.package = a.package AND c.shape = a.shape)""")
 def conflict_pairs(spark, d):
     return E.conflicts(_patterns(spark, d))
 
@@ -432,16 +436,27 @@ def index_by_key(spark, d):
     return E.index_by_key(_patterns(spark, d)).select("package", "shape", F.col("ids")[0].alias("first_id"), F.size("ids").alias("n"))
 
 
-@query(f"""WITH {_PATTERNS}, q AS (SELECT n_nationkey AS query, CASE WHEN n_nationkey % 6 = 5 THEN 'NONE' ELSE s.package END AS package, n_name || ' use g' || n_nationkey % 6 AS text FROM nation JOIN (SELECT package, ROW_NUMBER() OVER (ORDER BY package) - 1 AS r FROM (SELECT DISTINCT package FROM p)) s ON n_nationkey % 5 = r),
-g AS (SELECT id, package, CASE WHEN confidence = 'confirmed' THEN 0 ELSE 1 END AS tier, LIST_DISTINCT(STRING_SPLIT(LOWER(guidance), ' ')) AS g FROM p WHERE seed OR confidence = 'confirmed' OR real_evidence >= 2),
-j AS (SELECT query, id, tier, LIST_DISTINCT(STRING_SPLIT(LOWER(REPLACE(text, '_', ' ')), ' ')) AS t, g FROM q JOIN g ON q.package = g.package OR q.package NOT IN (SELECT package FROM g)),
-s AS (SELECT *, LEN(LIST_INTERSECT(t, g))::DOUBLE / LEN(LIST_DISTINCT(LIST_CONCAT(t, g))) AS overlap FROM j)
-SELECT query, rank, id, tier, ROUND(overlap, 6) AS overlap FROM (SELECT *, (ROW_NUMBER() OVER (PARTITION BY query ORDER BY tier, overlap DESC, id))::INTEGER AS rank FROM s) WHERE rank <= 3""")
+_RETRIEVED = f"""{_PATTERNS}, n AS (SELECT * REPLACE (LOWER(package) || '.' || shape || '-' || id AS id) FROM p),
+q AS (SELECT n_nationkey AS query, CASE WHEN n_nationkey % 6 = 5 THEN 'NONE' WHEN n_nationkey % 6 = 4 THEN '' ELSE s.package END AS package, 's' || n_nationkey % 5 AS kind, n_name || '_use g' || n_nationkey % 6 AS text
+  FROM nation JOIN (SELECT package, ROW_NUMBER() OVER (ORDER BY package) - 1 AS r FROM (SELECT DISTINCT package FROM p)) s ON n_nationkey % 5 = r),
+g AS (SELECT id, package, LIST_DISTINCT(REGEXP_SPLIT_TO_ARRAY(LOWER(id), '[ ._-]+')) AS i, LIST_DISTINCT(STRING_SPLIT(LOWER(guidance), ' ')) AS g FROM n WHERE seed OR confidence = 'confirmed' OR real_evidence >= 2),
+j AS (SELECT query, id, CASE WHEN q.package = g.package THEN 0 ELSE 1 END AS tier, [kind] AS k, i, LIST_DISTINCT(REGEXP_SPLIT_TO_ARRAY(LOWER(text), '[ ._-]+')) AS t, g FROM q JOIN g ON q.package = g.package OR q.package NOT IN (SELECT package FROM p)),
+s AS (SELECT *, LEN(LIST_INTERSECT(k, i))::DOUBLE / LEN(LIST_DISTINCT(LIST_CONCAT(k, i))) AS shape, LEN(LIST_INTERSECT(t, g))::DOUBLE / LEN(LIST_DISTINCT(LIST_CONCAT(t, g))) AS overlap FROM j),
+top AS (SELECT query, (ROW_NUMBER() OVER (PARTITION BY query ORDER BY tier, shape DESC, overlap DESC, id))::INTEGER AS rank, id, tier, ROUND(shape, 6) AS shape, ROUND(overlap, 6) AS overlap FROM s)"""
+
+
+def _retrieved(spark, d, k):
+    p = _patterns(spark, d).withColumn("id", F.concat(F.lower("package"), F.lit("."), "shape", F.lit("-"), F.col("id").cast("string")))
+    packages = p.select("package").distinct().withColumn("r", F.row_number().over(W.Window.orderBy("package")) - 1)  # five rows
+    key = F.col("n_nationkey")
+    q = _t(spark, d, "nation").join(F.broadcast(packages), key % 5 == F.col("r"))
+    q = q.select(key.alias("query"), F.when(key % 6 == 5, "NONE").when(key % 6 == 4, "").otherwise(F.col("package")).alias("package"), F.concat(F.lit("s"), key % 5).alias("kind"), F.concat("n_name", F.lit("_use g"), key % 6).alias("text"))
+    return E.retrieve(q, p, k).withColumns({c: _r(F.col(c)) for c in ("shape", "overlap")})
+
+
+@query(f"WITH {_RETRIEVED} SELECT * FROM top WHERE rank <= 3")
 def retrieve_topk(spark, d):
-    p = _patterns(spark, d)
-    packages = p.select("package").distinct().withColumn("r", F.row_number().over(W.Window.orderBy("package")) - 1)
-    q = _t(spark, d, "nation").join(F.broadcast(packages), F.col("n_nationkey") % 5 == F.col("r")).select(F.col("n_nationkey").alias("query"), F.when(F.col("n_nationkey") % 6 == 5, "NONE").otherwise(F.col("package")).alias("package"), F.concat("n_name", F.lit(" use g"), F.col("n_nationkey") % 6).alias("text"))
-    return E.retrieve(q, p, 3).withColumn("overlap", _r(F.col("overlap")))
+    return _retrieved(spark, d, 3)
 
 
 @query("""WITH r AS (SELECT user_id, event_id, value, event_id % 4 AS gain, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id % 4 DESC, event_id) AS i FROM events),
@@ -494,7 +509,7 @@ def dep_levels(spark, d):
     return G.levels(n.select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child")).union(s.select(name("n", "s_nationkey"), name("s", "s_suppkey"))))
 
 
-@query()
+@query("""SELECT conv_id, turn::VARCHAR AS node, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations""")
 def topological_order(spark, d):
     c = _t(spark, d, "conversations")
     name = lambda x: x.cast("string")
@@ -551,8 +566,8 @@ def comment_strip_classify(spark, d):
 SELECT c_custkey, best, n, ROW_NUMBER() OVER (ORDER BY COALESCE(best, -1) DESC, c_custkey)::INTEGER AS place FROM customer LEFT JOIN b ON c_custkey = o_custkey""")
 def status_sort(spark, d):
     best = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("best"), F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(W.Window.orderBy(F.coalesce("best", F.lit(-1.0)).desc(), "c_custkey"))  # a report: its order is of all rows
-    return _t(spark, d, "customer").select("c_custkey").join(best, "c_custkey", "left").withColumn("place", place)
+    rows = _t(spark, d, "customer").select("c_custkey").join(best, "c_custkey", "left")
+    return R.numbered(rows, [F.coalesce("best", F.lit(-1.0)).desc(), "c_custkey"], "place").withColumn("place", F.col("place").cast("int"))
 
 
 @query()
@@ -590,6 +605,8 @@ def ext_rollup(spark, d):
     return li.rollup("l_returnflag", "l_linestatus").agg(_r(F.sum("l_quantity"), 2).alias("sum_qty"), _r(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH y AS (SELECT UNNEST(RANGE(1990, 2040))::INTEGER AS y), a AS (SELECT y, y % 19 AS g, y // 100 AS c FROM y), b AS (SELECT *, (c - c // 4 - (8 * c + 13) // 25 + 19 * g + 15) % 30 AS h FROM a),
+i AS (SELECT *, h - (h // 28) * (1 - (29 // (h + 1)) * ((21 - g) // 11)) AS i FROM b), l AS (SELECT *, i - (y + y // 4 + i + 2 - c + c // 4) % 7 AS l FROM i)
+SELECT y AS year, MAKE_DATE((y)::BIGINT, (3 + (l + 40) // 44)::BIGINT, (l + 28 - 31 * ((3 + (l + 40) // 44) // 4))::BIGINT) AS day FROM l""")
 def ext_easter(spark, d):
     return spark.range(1990, 2040).select(F.col("id").cast("int").alias("year"), S.easter(F.col("id").cast("int")).alias("day"))

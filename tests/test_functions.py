@@ -44,7 +44,8 @@ def test_exit(spark, a, b, want):
 def test_normalised_text(spark):
     assert value(spark, C.normalise_printed(F.lit('[1] TRUE  "a"\n[2] FALSE'))) == "True a False"
     assert value(spark, C.sorted_tokens(F.lit("b  a c"))) == "a b c"
-    assert value(spark, C.request_key(F.lit("HTTPS://Host/Path/?q=1"))) == "https://host/path"
+    assert tuple(value(spark, C.request_key(F.lit("GET"), F.lit("HTTPS://Host/Path//?q=1")))) == ("GET", "https://host/path")
+    assert tuple(value(spark, C.request_key(F.lit("GET"), F.lit("a/b;p=1#x")))) == ("GET", "://a/b")
 
 
 def test_similarity_is_the_best_ratio(spark):

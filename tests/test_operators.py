@@ -47,9 +47,9 @@ def test_order_is_first_in_first_out_with_cycles_last(spark):
 
 
 def test_review_promotes_then_demotes(spark):
-    rows = [("tentative", False, 2, 2, 0), ("tentative", False, 2, 2, 3), ("confirmed", False, 0, 0, 1), ("confirmed", True, 0, 0, 4), ("tentative", True, 0, 0, 5)]
+    rows = [("tentative", False, 2, 2, 0), ("tentative", False, 2, 2, 3), ("confirmed", False, 0, 0, 1), ("confirmed", True, 0, 0, 4), ("tentative", True, 0, 0, 5), ("confirmed", False, 2, 0, 1), ("confirmed", True, 9, 0, 4), ("tentative", True, 9, 8, 5)]
     df = spark.createDataFrame(rows, "confidence string, seed boolean, evidence int, real_evidence int, contradictions int")
-    assert [r.after for r in E.review(df).collect()] == ["confirmed", "tentative", "tentative", "confirmed", "contradicted"]
+    assert [r.after for r in E.review(df).collect()] == ["confirmed", "tentative", "tentative", "confirmed", "contradicted", "tentative", "confirmed", "confirmed"]
 
 
 def test_scores_of_nothing(spark):
