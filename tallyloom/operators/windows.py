@@ -102,17 +102,15 @@ def allocated_ids(rows: DataFrame, taken: DataFrame, base: str, order: Sequence[
 
     Suffixes in use are taken out of those from 0 on: the n-th row of a base gets its n-th free one.
     """
-    wanted = rows.withColumn("n", F.row_number().over(Window.partitionBy(base).orderBy(*order)))
-    used = taken.select(F.regexp_replace("id", r"-(\d+)$", "").alias("b"), F.regexp_extract("id", r"-(\d+)$", 1).alias("s"), "id")
-    plain = used.select(F.col("id").alias(base), F.lit(0).cast("long").alias("suffix")).union(used.where("s rlike '^[1-9][0-9]{0,17}$'").select(F.col("b").alias(base), F.col("s").cast("long")))
-    held = plain.distinct().join(rows.select(base).distinct(), base, "left_semi")
-    # The k-th used suffix s leaves s - k + 1 free ones below it: the n-th free one is n - 1 and the used ones at or below it.
-    gaps = held.withColumn("k", F.row_number().over(Window.partitionBy(base).orderBy("suffix"))).withColumn("free", F.col("suffix") - F.col("k") + 1)
-    below = gaps.groupBy(base, "free").agg(F.max("k").alias("k"))
-    both = wanted.select(*rows.columns, F.col("n").cast("long"), F.lit(None).cast("int").alias("k"), F.lit(1).alias("row")).unionByName(
-        below.select(base, (F.col("free") + 1).alias("n"), "k", F.lit(0).alias("row")), allowMissingColumns=True
-    )
-    skipped = F.coalesce(F.max("k").over(Window.partitionBy(base).orderBy("n", "row").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    suffix = F.col("n") - 1 + F.col("skipped")
-    found = both.withColumn("skipped", skipped).where("row = 1")
+    per = Window.partitionBy(base)
+    wanted = rows.withColumn("__n", F.row_number().over(per.orderBy(*order)).cast("long"))
+    named = taken.select("id", F.regexp_replace("id", r"-(\d+)$", "").alias("__b"), F.regexp_extract("id", r"-(\d+)$", 1).alias("__s"))
+    numbers = named.where("__s rlike '^[1-9][0-9]{0,17}$'").select(F.col("__b").alias(base), F.col("__s").cast("long"))
+    used = named.select(F.col("id").alias(base), F.lit(0).cast("long").alias("__s")).union(numbers).distinct().join(rows.select(base).distinct(), base, "left_semi")
+    # The k-th used suffix s leaves s - k + 1 free ones below it: all later free ones are moved by k.
+    moved = used.withColumn("__k", F.row_number().over(per.orderBy("__s"))).groupBy(base, (F.col("__s") - F.col("__k") + 2).alias("__n")).agg(F.max("__k").alias("__k"))
+    both = wanted.withColumns({"__k": F.lit(None).cast("int"), "__row": F.lit(1)}).unionByName(moved.withColumn("__row", F.lit(0)), allowMissingColumns=True)
+    before = F.max("__k").over(per.orderBy("__n", "__row").rowsBetween(Window.unboundedPreceding, 0))
+    suffix = F.col("__n") - 1 + F.coalesce(F.col("__before"), F.lit(0))
+    found = both.withColumn("__before", before).where("__row = 1")
     return found.withColumn(out, F.when(suffix == 0, F.col(base)).otherwise(F.concat_ws("-", base, suffix))).select(*rows.columns, out)

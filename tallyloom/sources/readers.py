@@ -55,3 +55,24 @@ def parse_patterns(df: DataFrame, text: str = "text") -> DataFrame:
     confidence = F.when(field("confidence").isin("confirmed", "tentative", "contradicted"), field("confidence")).otherwise("tentative")
     evidence = F.regexp_extract_all(section("Evidence"), F.lit(r"(?m)^- (.*)$"), F.lit(1))
     return df.select(field("id").alias("id"), field("package").alias("package"), confidence.alias("confidence"), (field("seed") == "true").alias("seed"), section("Guidance").alias("guidance"), evidence.alias("evidence")).where("id <> ''")
+
+
+def symbol_lines(df: DataFrame, text: str, symbol: str) -> DataFrame:
+    """``df`` with line: the first, from 1, at which its text begins to define a function ``symbol``; null if none does."""
+    starts = [f"{symbol}{between}function" for between in (" <- ", "<-", " = ", "=")]
+    is_start = lambda x: F.array_contains(F.transform(F.array(*[F.lit(s) for s in starts]), lambda s: x.startswith(s)), True)
+    at = F.array_position(F.transform(F.split(text, "\n"), is_start), True)
+    return df.withColumn("line", F.nullif(at, F.lit(0)).cast("int"))
+
+
+def sampled_snapshot(spark: SparkSession, path: str, most: int = 2000, head: int = 4096) -> DataFrame:
+    """path and sha256 of the first ``head`` bytes of the first ``most`` files below a folder, by path: a quick look, not a comparison."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.sha2(F.substring("content", 1, head), 256).alias("hash")).orderBy("path").limit(most)
+
+
+def store_get(ids: DataFrame, flat: DataFrame, nested: DataFrame) -> DataFrame:
+    """Rows (id, ...) of ``flat`` for the ids, and those of ``nested`` for ids that it lacks; ids in neither are left out."""
+    first = flat.join(ids.select("id").distinct(), "id", "left_semi").withColumn("tier", F.lit(0))
+    rest = ids.select("id").distinct().join(flat.select("id"), "id", "left_anti")
+    return first.unionByName(nested.join(rest, "id", "left_semi").withColumn("tier", F.lit(1)))
