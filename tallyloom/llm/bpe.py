@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .storage import lean, ship
 
 #: Pieces that a Python worker remembers at once, each of so many bytes at most.
-CACHE_PIECES, CACHE_BYTES = 60_000, 64
+CACHE_PIECES, CACHE_BYTES = 160_000, 64
 
 
 def _byte_chars() -> dict[int, str]:
