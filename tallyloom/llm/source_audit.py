@@ -7,12 +7,15 @@ that enough documents have. A walk of the merged tries gives the sums of all pai
 
 from __future__ import annotations
 
+import gc
+import os.path
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +23,9 @@ from .storage import input_parts, lean, shared_table, ship
 
 #: Bytes of terms, A-Z as a-z; all other bytes as blanks.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Bytes of a text that are split at once, documents that are counted before a trie takes the counts, leaves of a partition's
-#: tries and of a merged one, sources that are compared with as many others at once.
-CHUNK, DOCS, LEAVES, MERGED, BLOCK = 1 << 20, 2048, 100_000, 4096, 256
+#: Bytes of a text that are split at once, bytes of texts that are counted before tries take the counts, leaves of a partition's
+#: tries and of a merged one, leaves that are merged at once, sources that are compared with as many others at once.
+CHUNK, HELD, LEAVES, MERGED, ROWS, BLOCK = 1 << 20, 16 << 20, 200_000, 4096, 1 << 16, 256
 #: Shares of terms are counted in billionths.
 UNIT = 1_000_000_000
 
@@ -57,13 +60,6 @@ class Trie:
             self.leaves += 1
         return node[2]
 
-    def add(self, term: bytes, documents: int, counts: Iterable[tuple]) -> None:
-        leaf = self.leaf(term)
-        leaf[0] += documents
-        own = leaf[1]
-        for source, n in counts:
-            own[source] = own.get(source, 0) + n
-
     def walk(self) -> Iterator[tuple[bytes, list]]:
         """Terms and leaves in the order of bytes."""
         stack = [(b"", self.root)]
@@ -95,6 +91,14 @@ _LEAF_SQL = "lang string, term binary, documents long, sources array<string>, co
 
 def _count(batches):
     """The leaves of tries of the rows (lang, source, text)."""
+    gc.disable()  # tries have no cycles, and looking for some among millions of nodes takes as long as counting
+    try:
+        yield from _leaves(batches)
+    finally:
+        gc.enable()
+
+
+def _leaves(batches):
     tries: dict[str, Trie] = {}
 
     def flush():
@@ -109,28 +113,38 @@ def _count(batches):
                 yield _batch(rows, _LEAF)
         tries.clear()
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, DOCS):
-            counts: dict[tuple, Counter] = defaultdict(Counter)
-            documents: dict[str, Counter] = defaultdict(Counter)
-            part = batch.slice(at, DOCS)
-            for lang, source, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.large_binary()), strict=True):
-                own: set[bytes] = set()
-                for words in terms(text.as_py() or b""):
-                    counts[lang, source].update(words)
-                    own.update(words)
-                documents[lang].update(own)
-            for (lang, source), found in counts.items():
-                trie = tries.setdefault(lang, Trie())
-                for term, n in found.items():
-                    own = trie.leaf(term)[1]
+    counts: dict[tuple, Counter] = defaultdict(Counter)
+    documents: dict[str, Counter] = defaultdict(Counter)
+    held = 0
+
+    def take():
+        for lang, of_lang in documents.items():
+            trie = tries.setdefault(lang, Trie())
+            leaves = {term: trie.leaf(term) for term in of_lang}
+            for term, n in of_lang.items():
+                leaves[term][0] += n
+            for source in [s for at, s in counts if at == lang]:
+                for term, n in counts.pop((lang, source)).items():
+                    own = leaves[term][1]
                     own[source] = own.get(source, 0) + n
-            for lang, found in documents.items():
-                trie = tries.setdefault(lang, Trie())
-                for term, n in found.items():
-                    trie.leaf(term)[0] += n
-            if sum(t.leaves for t in tries.values()) >= LEAVES:
-                yield from flush()
+        documents.clear()
+
+    for batch in batches:
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True):
+            text = text.as_py()
+            found, distinct = counts[lang, source], documents[lang]
+            own: set[bytes] = set()
+            for words in terms(text):
+                found.update(words)
+                own.update(words)
+            distinct.update(own)
+            held += len(text)
+            if held >= HELD:
+                take()
+                held = 0
+                if sum(t.leaves for t in tries.values()) >= LEAVES:
+                    yield from flush()
+    take()
     yield from flush()
 
 
@@ -146,49 +160,81 @@ _TRIE = pa.schema([
 _TRIE_SQL = "lang string, shared array<int>, rest array<binary>, names array<string>, sums array<long>, leaf array<int>, source array<int>, n array<long>"
 
 
-def _packed(lang: str, trie: Trie, min_documents: int) -> pa.RecordBatch | None:
-    kept = [(t, c) for t, (d, c) in trie.walk() if d >= min_documents]
-    if not kept:
-        return None
-    number: dict[str, int] = {}
-    leaf, source, n = [], [], []
+def _walk(lang: str, kept: list[bytes], leaf: np.ndarray, source: np.ndarray, n: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """Terms in ascending order with their counters as a stored trie."""
     shared, rest = [], []
-    for i, ((before, _), (term, counts)) in enumerate(pairwise([(b"", {}), *kept])):
-        k = next((j for j, (x, y) in enumerate(zip(before, term, strict=False)) if x != y), min(len(before), len(term)))
+    for before, term in pairwise([b"", *kept]):
+        k = len(os.path.commonprefix([before, term]))
         shared.append(k)
         rest.append(term[k:])
-        for s, c in counts.items():
-            leaf.append(i)
-            source.append(number.setdefault(s, len(number)))
-            n.append(c)
-    sums = [0] * len(number)
-    for s, c in zip(source, n, strict=True):
-        sums[s] += c
-    return _batch([(lang, shared, rest, list(number), sums, leaf, source, n)], _TRIE)
+    own, source = np.unique(source, return_inverse=True)
+    sums = np.zeros(len(own), np.int64)
+    np.add.at(sums, source, n)
+    return _batch([(lang, shared, rest, [names[i] for i in own], sums, leaf, source, n)], _TRIE)
 
 
 def _merge(min_documents: int):
-    """Leaves in ascending order merged into tries of MERGED leaves, of which those that enough documents have are kept."""
+    """The walks of many tries, sorted into one, as tries of MERGED leaves at most that enough documents have.
+
+    Leaves of one term follow each other. A term's last leaf may be in the next batch, so the last term is kept back until it has come.
+    """
+
+    def merged(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        first = _firsts(table)
+        run = np.cumsum(first) - 1
+        documents = np.bincount(run, weights=table.column("documents").to_numpy()).astype(np.int64)
+        number = np.where(documents >= min_documents, np.cumsum(documents >= min_documents) - 1, -1)
+        rows = np.flatnonzero(number[run] >= 0)
+        if not len(rows):
+            return
+        kept = table.take(pa.array(rows))
+        heads = kept.filter(pa.array(first[rows]))
+        terms, langs = heads.column("term").to_pylist(), heads.column("lang").to_pylist()
+        sources = kept.column("sources").combine_chunks()
+        coded = sources.flatten().dictionary_encode()
+        names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        sizes = kept.column("sources").combine_chunks().value_lengths().to_numpy()
+        leaf = np.repeat(number[run][rows], sizes)
+        cell, where = np.unique(leaf * len(names) + code, return_inverse=True)
+        n = np.zeros(len(cell), np.int64)
+        np.add.at(n, where, kept.column("counts").combine_chunks().flatten().to_numpy())
+        leaf, code = np.divmod(cell, max(1, len(names)))
+        edges = [i for i in range(len(langs)) if not i or langs[i] != langs[i - 1]] + [len(langs)]
+        for a, b in pairwise(edges):
+            for at in range(a, b, MERGED):
+                end = min(b, at + MERGED)
+                lo, hi = np.searchsorted(leaf, [at, end])
+                yield _walk(langs[at], terms[at:end], (leaf[lo:hi] - at).astype(np.int32), code[lo:hi].astype(np.int32), n[lo:hi], names)
 
     def run(batches):
-        lang, trie, last = None, Trie(), None
+        held, rows = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, MERGED):
-                for own, term, documents, sources, counts in zip(*(c.to_pylist() for c in batch.slice(at, MERGED).columns), strict=True):
-                    if own != lang or (trie.leaves >= MERGED and term != last):
-                        out = _packed(lang, trie, min_documents)
-                        if out:
-                            yield out
-                        lang, trie = own, Trie()
-                    trie.add(term, documents, zip(sources, counts, strict=True))
-                    last = term
-        out = _packed(lang, trie, min_documents)
-        if out:
-            yield out
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= ROWS:
+                table = pa.Table.from_batches(held)
+                cut = int(np.flatnonzero(_firsts(table))[-1])
+                if cut:
+                    yield from merged(table.slice(0, cut))
+                    held = table.slice(cut).combine_chunks().to_batches()
+                    rows = table.num_rows - cut
+        if rows:
+            yield from merged(pa.Table.from_batches(held))
 
     return run
 
 
+def _firsts(table: pa.Table) -> np.ndarray:
+    """Which rows are the first of their language and term."""
+    out = np.ones(table.num_rows, bool)
+    for c in ("lang", "term"):
+        column = table.column(c).combine_chunks()
+        out[1:] &= pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    out[1:] = ~out[1:]
+    return out
+
+
 def shares(count: np.ndarray, total: int, terms: int) -> np.ndarray:
     """1 + floor(UNIT * (count + 2) / (total + 2 * terms)) by long division, exact while the divisor is under 2**53."""
     divisor = total + 2 * terms
