@@ -2,8 +2,9 @@
 
 Each half of a vector has a codebook of its own; the pair of nearest codewords is its cell in the product
 grid. A query visits cells in the order of the sum of its two distances (the multi-sequence order)
-until the sum is ``slack`` above its nearest cell's; the slack is the one at which the target share of vectors at
-exactly the threshold would be found, and pairs are found if either vector visits the other's cell.
+until the sum is ``slack`` above its nearest cell's, and pairs are found if either vector visits the other's cell. The slack is the least at which
+the target share is found of partners at exactly the threshold, whatever components they differ in, and of the links that a
+sample of the table's own vectors has, which are worked out by comparing them with all vectors.
 What the visited cells hold is verified with cosines in double precision.
 
 Neighbouring cells of one first codeword are dealt to places of ``chunk`` vectors, a cell with more is dealt to several; a query
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -23,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import components
-from .lm_score import _groups
 from .storage import discard, lean, meet, shared_table, ship
 
 THRESHOLD = 0.9
@@ -31,13 +32,14 @@ THRESHOLD = 0.9
 
 class Index(NamedTuple):
     """``most_rows`` bounds the sample that codebooks and slack are fitted on, ``most_words`` the codewords of a half (their number
-    grows with the root of the table up to it); ``chunk`` is the vectors compared at once."""
+    grows with the root of the table up to it); ``chunk`` is the vectors compared at once, ``queries`` those compared with all to measure recall."""
 
     most_rows: int = 20_000
     most_words: int = 2048
     target_recall: float = 0.97
     chunk: int = 2048
     rounds: int = 8
+    queries: int = 256
 
 
 class Codebooks(NamedTuple):
@@ -73,15 +75,44 @@ def fit(sample: np.ndarray, rows: int, threshold: float, how: Index, seed: int =
     k = int(min(how.most_words, max(1, len(sample) // 8), max(4, 2 ** np.ceil(np.log2(np.sqrt(max(rows, 1)) / 4)))))
     books = Codebooks(_kmeans(sample[:, :h], k, how.rounds, random), _kmeans(sample[:, h:], k, how.rounds, random), 0.0)
     x = sample[random.choice(len(sample), min(len(sample), 4000), replace=False)]
-    off = random.standard_normal(x.shape)
-    off = unit(off - (off * x).sum(1, keepdims=True) * x + 1e-12)
-    y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * off
-    need = []
+    need = [np.quantile(needed_slack(books, x, y), how.target_recall) for y in partners(x, threshold, random)]
+    return books._replace(slack=float(max(need)) + 1e-9)
+
+
+def needed_slack(books: Codebooks, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The slack at which x[i] and y[i] find each other: the less of what either needs to visit the other's cell."""
+    need, at = [], np.arange(len(x))
     for a, b in ((x, y), (y, x)):
         (p, q), (u, v) = books.distances(a), books.distances(b)
-        at = np.arange(len(x))
         need.append(p[at, u.argmin(1)] + q[at, v.argmin(1)] - p.min(1) - q.min(1))
-    return books._replace(slack=float(np.quantile(np.minimum(*need), how.target_recall)) + 1e-9)
+    return np.minimum(*need)
+
+
+def partners(x: np.ndarray, threshold: float, random: np.random.Generator) -> Iterator[np.ndarray]:
+    """Vectors with cosine ``threshold`` to x[i] that differ in all components, in either half, in runs of eight, or towards another of x."""
+    n, d = x.shape
+    free = random.standard_normal(x.shape)
+    yield _moved(x, free, threshold)
+    for part in (slice(0, d // 2), slice(d // 2, d)):
+        yield _moved(x, _only(free, part), threshold)
+    yield _moved(x, x[random.permutation(n)] - x, threshold)
+    run = max(1, min(8, d // 2))
+    for at in range(0, d - run + 1, run):
+        yield _moved(x, _only(free, slice(at, at + run)), threshold)
+
+
+def _only(off: np.ndarray, part: slice) -> np.ndarray:
+    out = np.zeros_like(off)
+    out[:, part] = off[:, part]
+    return out
+
+
+def _moved(x: np.ndarray, off: np.ndarray, threshold: float) -> np.ndarray:
+    """x moved along ``off``, either way, until the cosine to where it was is ``threshold``; where nothing gets that far, as far as ``off`` goes."""
+    along = (off * x).sum(1, keepdims=True)
+    across = np.sqrt(np.maximum((off * off).sum(1, keepdims=True) - along**2, 1e-24))
+    tangent = np.sqrt(max(0.0, 1 - threshold**2)) / threshold
+    return unit(x + np.where(along > 0, -off, off) * (tangent / (across + tangent * np.abs(along))))
 
 
 def traversal(books: Codebooks, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -205,53 +236,127 @@ def _compare(books: Codebooks, dtype: str, threshold: float):
     def out(a, b, n):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], names=names)
 
+    def asked(place: _Place, ask: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Links of some askers with the vectors of their place."""
+        x, prints = place.x, place.prints
+        y, names_y = unit(_decoded(ask.column("vec"), dtype)), ask.column("print").to_pylist()
+        may = np.unpackbits(np.frombuffer(b"".join(ask.column("visits").to_pylist()), np.uint8).reshape(len(y), -1), axis=1)[:, :k].astype(bool)
+        marks_y = np.array([int.from_bytes(b[:8], "little") for b in names_y], np.uint64)
+        linked = (y @ x.T >= threshold) & may[:, place.j] & (marks_y[:, None] != place.marks[None, :])
+        yy, xx = np.nonzero(linked)
+        if not len(yy):
+            return
+        # found from the other side as well: then each side counts its own
+        iy, jy = ask.column("i").to_numpy()[yy], ask.column("j").to_numpy()[yy]
+        one_way = place.p[xx, iy] + place.q[xx, jy] > place.room[xx]
+        np.add.at(place.more, xx[one_way], ask.column("m").to_numpy()[yy[one_way]])
+        n = np.zeros(len(y), np.int64)
+        np.add.at(n, yy, place.m[xx])
+        has = np.flatnonzero(n)
+        yield out([names_y[t] for t in has], [None] * len(has), n[has])
+        edges_a, edges_b, label = [], [], place.label
+        for t, found in zip(has, np.split(xx, np.flatnonzero(np.diff(yy)) + 1), strict=True):
+            edges_a.append(names_y[t])
+            edges_b.append(prints[found[0]])
+            own = np.unique(label[found])
+            if len(own) > 1:
+                edges_a += [prints[found[0]]] * (len(own) - 1)
+                edges_b += [prints[g] for g in own if g != label[found[0]]]
+                label[np.isin(label, own)] = own[0]
+        yield out(edges_a, edges_b, [0] * len(edges_a))
+
+    def left(place: _Place | None) -> Iterator[pa.RecordBatch]:
+        has = np.flatnonzero(place.more) if place else []
+        if len(has):
+            yield out([place.prints[t] for t in has], [None] * len(has), place.more[has])
+
     def run(batches):
-        for table in _groups(batches, "place"):
-            held = table.filter(pa.compute.invert(table.column("asks")))
-            if not held.num_rows:
-                continue
-            x, prints, m = unit(_decoded(held.column("vec"), dtype)), held.column("print").to_pylist(), held.column("m").to_numpy()
-            i, j = held.column("i").to_numpy(), held.column("j").to_numpy()
-            p, q = books.distances(x)
-            room = p.min(1) + q.min(1) + books.slack
-            marks = np.array([int.from_bytes(b[:8], "little") for b in prints], np.uint64)
-            label, more = np.arange(len(x)), np.zeros(len(x), np.int64)
-            asking = table.filter(table.column("asks"))
-            for s in range(0, asking.num_rows, 1024):
-                ask = asking.slice(s, 1024)
-                y, names_y = unit(_decoded(ask.column("vec"), dtype)), ask.column("print").to_pylist()
-                may = np.unpackbits(np.frombuffer(b"".join(ask.column("visits").to_pylist()), np.uint8).reshape(len(y), -1), axis=1)[:, :k].astype(bool)
-                marks_y = np.array([int.from_bytes(b[:8], "little") for b in names_y], np.uint64)
-                linked = (y @ x.T >= threshold) & may[:, j] & (marks_y[:, None] != marks[None, :])
-                yy, xx = np.nonzero(linked)
-                if not len(yy):
+        """Of each place the vectors come first, then those that ask, who are taken in slices."""
+        number, held, place = None, [], None
+        for batch in batches:
+            keys = list(zip(batch.column("place").to_pylist(), batch.column("asks").to_pylist(), strict=True))
+            edges = [0, *(t for t in range(1, len(keys)) if keys[t] != keys[t - 1]), len(keys)]
+            for a, b in pairwise(edges if keys else []):
+                if keys[a][0] != number:
+                    yield from left(place)
+                    number, held, place = keys[a][0], [], None
+                if not keys[a][1]:
+                    held.append(batch.slice(a, b - a))
                     continue
-                # found from the other side as well: then each side counts its own
-                iy, jy = ask.column("i").to_numpy()[yy], ask.column("j").to_numpy()[yy]
-                one_way = p[xx, iy] + q[xx, jy] > room[xx]
-                np.add.at(more, xx[one_way], ask.column("m").to_numpy()[yy[one_way]])
-                n = np.zeros(len(y), np.int64)
-                np.add.at(n, yy, m[xx])
-                has = np.flatnonzero(n)
-                yield out([names_y[t] for t in has], [None] * len(has), n[has])
-                edges_a, edges_b = [], []
-                for t, found in zip(has, np.split(xx, np.flatnonzero(np.diff(yy)) + 1), strict=True):
-                    edges_a.append(names_y[t])
-                    edges_b.append(prints[found[0]])
-                    own = np.unique(label[found])
-                    if len(own) > 1:
-                        edges_a += [prints[found[0]]] * (len(own) - 1)
-                        edges_b += [prints[g] for g in own if g != label[found[0]]]
-                        label[np.isin(label, own)] = own[0]
-                yield out(edges_a, edges_b, [0] * len(edges_a))
-            has = np.flatnonzero(more)
-            if len(has):
-                yield out([prints[t] for t in has], [None] * len(has), more[has])
+                if held and place is None:
+                    place = _place(pa.Table.from_batches(held), books, dtype)
+                for s in range(a, b if place else a, 1024):
+                    yield from asked(place, batch.slice(s, min(1024, b - s)))
+        yield from left(place)
 
     return run
 
 
-def _links(nodes: DataFrame, dtype: str, threshold: float, how: Index) -> DataFrame | None:
+class _Place(NamedTuple):
+    """The vectors of a place, with what links have been counted for them and which of them are known to be connected."""
+
+    x: np.ndarray
+    prints: list[bytes]
+    m: np.ndarray
+    j: np.ndarray
+    p: np.ndarray
+    q: np.ndarray
+    room: np.ndarray
+    marks: np.ndarray
+    label: np.ndarray
+    more: np.ndarray
+
+
+def _place(held: pa.Table, books: Codebooks, dtype: str) -> _Place:
+    x, prints = unit(_decoded(held.column("vec"), dtype)), held.column("print").to_pylist()
+    p, q = books.distances(x)
+    marks = np.array([int.from_bytes(b[:8], "little") for b in prints], np.uint64)
+    return _Place(x, prints, held.column("m").to_numpy(), held.column("j").to_numpy(), p, q, p.min(1) + q.min(1) + books.slack, marks, np.arange(len(x)), np.zeros(len(x), np.int64))
+
+
+#: Steps of the slack in which recall is measured; squared distances of unit vectors' halves sum to 4 at most.
+_STEPS, _MOST = 4096, 8.0
+
+
+def _measure(books: Codebooks, dtype: str, threshold: float, queries):
+    """Rows (step, n): links of the queries (a broadcast) with these vectors by the slack that finds them."""
+
+    def run(batches):
+        prints, x = queries.value
+        counts = np.zeros(_STEPS + 1, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                y, names = unit(_decoded(part.column(1), dtype)), part.column(0).to_pylist()
+                a, b = np.nonzero(x @ y.T >= threshold)
+                other = np.array([prints[s] != names[t] for s, t in zip(a, b, strict=True)], bool)
+                a, b = a[other], b[other]
+                for s in range(0, len(a), 2048):
+                    need = needed_slack(books, x[a[s : s + 2048]], y[b[s : s + 2048]])
+                    np.add.at(counts, np.clip(np.ceil(need / _MOST * _STEPS), 0, _STEPS).astype(np.int64), 1)
+        step = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(step, pa.int32()), pa.array(counts[step], pa.int64())], names=["step", "n"])
+
+    return run
+
+
+def widened(books: Codebooks, nodes: DataFrame, sample: list[tuple[bytes, bytes]], dtype: str, threshold: float, how: Index) -> tuple[Codebooks, dict]:
+    """The slack raised until it finds the target share of the links that the first ``how.queries`` of the sample have in the whole table.
+
+    Also the figures: pairs compared by brute force, their recall, and the slack before and after.
+    """
+    chosen = sample[: how.queries]
+    queries = nodes.sparkSession.sparkContext.broadcast(([p for p, _ in chosen], unit(np.frombuffer(b"".join(v for _, v in chosen), dtype).reshape(len(chosen), -1).astype(np.float64))))
+    steps = nodes.select("print", "vec").mapInArrow(lean(_measure(books, dtype, threshold, queries)), "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).toPandas().sort_values("step")
+    total, before = int(steps["n"].sum()), books.slack
+    if total:
+        reached = steps["step"].to_numpy()[np.searchsorted(steps["n"].cumsum().to_numpy(), how.target_recall * total)]
+        books = books._replace(slack=max(before, reached * _MOST / _STEPS + 1e-9))
+    found = int(steps["n"][steps["step"] * _MOST / _STEPS <= books.slack].sum())
+    return books, {"pairs": total, "recall": found / total if total else 1.0, "slack_before": before, "slack": books.slack}
+
+
+def _links(nodes: DataFrame, dtype: str, threshold: float, how: Index, report: list[dict] | None) -> DataFrame | None:
     """Rows (a, b, n) of links among vectors of one length, two components or more; None where there are under two."""
     spark = nodes.sparkSession
     n = nodes.count()
@@ -260,6 +365,9 @@ def _links(nodes: DataFrame, dtype: str, threshold: float, how: Index) -> DataFr
     if len(sample) < 2:
         return None
     books = fit(unit(np.frombuffer(b"".join(sample["vec"]), dtype).reshape(len(sample), -1).astype(np.float64)), n, threshold, how)
+    books, figures = widened(books, nodes, list(zip(sample["print"], sample["vec"], strict=True)), dtype, threshold, how)
+    if report is not None:
+        report.append({"vectors": n, "length": books.first.shape[1] + books.second.shape[1], **figures})
     placed = shared_table(nodes.select("print", "vec", "m").mapInArrow(lean(_assign(books, dtype)), "print binary, vec binary, m long, i int, j int"), "embedding-cells")
     counts = np.zeros((len(books.first), len(books.second)), np.int64)
     cells = placed.groupBy("i", "j").agg(F.count(F.lit(1)).alias("c")).toPandas()  # most_words ** 2 rows at most
@@ -268,15 +376,16 @@ def _links(nodes: DataFrame, dtype: str, threshold: float, how: Index) -> DataFr
     shared = spark.sparkContext.broadcast((places.first, places.many))
     dealt = placed.mapInArrow(_deal(books, dtype, shared), "place long, asks boolean, print binary, vec binary, m long, i int, j int, visits binary")
     tasks = min(max(places.number, spark.sparkContext.defaultParallelism), 1 << 20)
-    found = dealt.repartitionById(tasks, F.expr(f"cast(place % {tasks} as int)")).sortWithinPartitions("place")
+    found = dealt.repartitionById(tasks, F.expr(f"cast(place % {tasks} as int)")).sortWithinPartitions("place", "asks")
     return shared_table(found.mapInArrow(lean(_compare(books, dtype, threshold)), "a binary, b binary, n long"), "embedding-links")
 
 
-def embedding_near_dups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, how: Index = Index()) -> DataFrame:
+def embedding_near_dups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, how: Index = Index(), report: list[dict] | None = None) -> DataFrame:
     """_id, n_links, component_id and kept of every row of ``df``.
 
     Two rows link if the cosine of their vectors is ``threshold`` or more, in double precision; n_links counts
-    the other rows linked directly, component_id is the least id reachable, kept says that it is the row's own.
+    the other rows linked directly, component_id is the least id reachable, kept says that it is the row's own. ``report`` gets
+    a dictionary for each length of vectors: how many there are, and the recall measured for it against brute force.
 
     Defined cases: vectors that are null, zero, empty or with null or non-finite components link with nothing;
     vectors of different lengths don't link (an index is made for each length); those of one component link if their signs are
@@ -291,7 +400,7 @@ def embedding_near_dups(df: DataFrame, id_col: str = "vec_id", vector_col: str =
     nodes = shared_table(table.where("print is not null").groupBy("dim", "print").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("m"), F.min("id").alias("least")), "embedding-nodes")
     found = spark.createDataFrame([], "a binary, b binary, n long")
     for d in sorted(r.dim for r in nodes.where("dim > 1").select("dim").distinct().collect()):  # one row a length
-        more = _links(nodes.where(F.col("dim") == d), dtype, threshold, how)
+        more = _links(nodes.where(F.col("dim") == d), dtype, threshold, how, report)
         found = found if more is None else found.unionByName(more)
     linked = found.where("b is null").groupBy(F.col("a").alias("print")).agg(F.sum("n").alias("links"))
     forest = components(found.where("b is not null").select("a", "b"))

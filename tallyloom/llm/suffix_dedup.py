@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import discard, input_parts, lean, meet, shared_table, ship
-from .textnum import _CODE, hashed_words, mixed, powers, word_edges
+from .textnum import _CODE, hashed_words, mixed, word_edges
 
 
 class Unit(NamedTuple):
@@ -54,7 +54,7 @@ WORDS = Unit("words", 51, 8, 4, True)
 LARGE = 512
 #: Bytes of texts and places of sequences that are hashed at once, codes that one suffix array holds at least, rows in memory.
 CHUNK, BLOCK, ARRAY, ROWS = 1 << 19, 1 << 19, 256 << 10, 256
-_B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
+_B1 = 0x9E3779B97F4A7C15 | 1
 
 
 def _window_hashes(code: np.ndarray, n: int, base: int) -> np.ndarray:
@@ -77,12 +77,13 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def segments(code: np.ndarray, sizes: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
-    """Segments of sequences of ``least`` places or more, one after the other in ``code``.
+def segments(places: np.ndarray, sizes: np.ndarray, unit: Unit) -> tuple[np.ndarray | list[bytes], ...]:
+    """Segments of sequences of ``least`` places or more, bytes or hashes of words, one after the other in ``places``.
 
-    Gives the sequence's number, first and last start of a string, the anchor's place, its hash and the segment's.
+    Gives the sequence's number, first and last start of a string, the anchor's place, its hash and the segment's digest.
     """
     begin = np.cumsum(sizes) - sizes
+    code = places if unit.words else _CODE[places]
     anchors = mixed(_window_hashes(code, unit.anchor, _B1))
     bits = np.uint64(max(1, int(len(code)).bit_length()))
     place = np.arange(len(anchors), dtype=np.uint64)
@@ -95,16 +96,16 @@ def segments(code: np.ndarray, sizes: np.ndarray, unit: Unit) -> tuple[np.ndarra
     first[1:] &= changes
     last[:-1] &= changes | ~inside[1:]
     lo, hi = np.flatnonzero(first), np.flatnonzero(last)
-    hashes = mixed(_range_hashes(code, lo, hi + unit.least) ^ (hi - lo).astype(np.uint64) * np.uint64(_B1) ^ (pick[lo] - lo).astype(np.uint64))
+    digests = _digests(places, lo, hi + unit.least, pick[lo] - lo)
     number = own[lo]
-    return number, lo - begin[number], hi - begin[number], pick[lo] - begin[number], anchors[pick[lo]], hashes
+    return number, lo - begin[number], hi - begin[number], pick[lo] - begin[number], anchors[pick[lo]], digests
 
 
-def _range_hashes(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of ranges from one running sum, each moved to the same power."""
-    total = np.zeros(len(code) + 1, np.uint64)
-    np.cumsum(code * powers(_B2, len(code)), out=total[1:])
-    return (total[end] - total[start]) * powers(pow(_B2, -1, 1 << 64), len(code))[start]
+def _digests(places: np.ndarray, start: np.ndarray, end: np.ndarray, anchor: np.ndarray) -> list[bytes]:
+    """BLAKE2b of ranges of places and of where their anchors are: segments with equal ones are copies."""
+    raw, width = memoryview(np.ascontiguousarray(places)).cast("B"), places.itemsize
+    marks = anchor.astype("<u4").tobytes()
+    return [hashlib.blake2b(raw[a * width : b * width], digest_size=16, salt=marks[4 * i : 4 * i + 4]).digest() for i, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True))]
 
 
 def _needed(is_a: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -237,9 +238,9 @@ def _scan(unit: Unit):
 
     def found(held: list[tuple], k1: np.ndarray, k2: np.ndarray) -> pa.RecordBatch:
         code = np.concatenate([h[2] for h in held])
-        number, lo, hi, at, h, s = segments(code if unit.words else _CODE[code], np.array([len(x[2]) for x in held]), unit)
+        number, lo, hi, at, h, s = segments(code, np.array([len(x[2]) for x in held]), unit)
         text, offset = np.array([x[0] for x in held])[number], np.array([x[1] for x in held])[number]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), s.view(np.int64), k1[text], k2[text], *((x + offset).astype(np.int32) for x in (lo, hi, at)))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), s, k1[text], k2[text], *((x + offset).astype(np.int32) for x in (lo, hi, at)))], names=names)
 
     def run(batches):
         for batch in batches:
@@ -259,8 +260,8 @@ def _scan(unit: Unit):
     return lean(run)
 
 
-_PIECE = pa.schema([("key", pa.binary()), ("words", pa.bool_()), ("h", pa.int64()), ("s", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("c", pa.int64()), ("across", pa.bool_()), ("piece", pa.binary())])
-_PIECE_SQL = "key binary, words boolean, h long, s long, k1 long, k2 long, lo int, c long, across boolean, piece binary"
+_PIECE = pa.schema([("key", pa.binary()), ("words", pa.bool_()), ("h", pa.int64()), ("s", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("c", pa.int64()), ("across", pa.bool_()), ("piece", pa.binary())])
+_PIECE_SQL = "key binary, words boolean, h long, s binary, k1 long, k2 long, lo int, c long, across boolean, piece binary"
 
 
 def _cut(units: dict[bool, Unit], large: int):
@@ -321,7 +322,7 @@ def _sort(units: dict[bool, Unit]):
     Those of a segment with one copy come with its document (h null), those of others with the segment, from its beginning on.
     """
     fields = ["words", "h", "s", "k1", "k2", "a", "b"]
-    types = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    types = (pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
 
     def solve(rows: list[dict], unit: Unit) -> Iterator[pa.RecordBatch]:
         pieces = [r["piece"] for r in rows]
@@ -425,7 +426,7 @@ class _Found(NamedTuple):
 
 
 def _kinds(docs: DataFrame, unit: Unit) -> _Found:
-    found = shared_table(docs.select("k1", "k2", "raw").mapInArrow(_scan(unit), "h long, s long, k1 long, k2 long, lo int, hi int, at int"), "suffix-segments")
+    found = shared_table(docs.select("k1", "k2", "raw").mapInArrow(_scan(unit), "h long, s binary, k1 long, k2 long, lo int, hi int, at int"), "suffix-segments")
     common = shared_table(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-common")
     shared = shared_table(meet(found, common, ["h"], "n", found.count()), "suffix-shared")
     discard(found, common)
@@ -482,7 +483,7 @@ def suffix_dedup(
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("words", "h", "s", "lo", "hi", "at", "d", "c", "across")).alias("parts"))
     parts = input_parts(df.select(text_col))
     pieces = docs.select("k1", "k2", "raw").join(wanted.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_cut(units, large), _PIECE_SQL)
-    marks = pieces.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sort(units), "words boolean, h long, s long, k1 long, k2 long, a int, b int")
+    marks = pieces.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sort(units), "words boolean, h long, s binary, k1 long, k2 long, a int, b int")
     marks = shared_table(marks, "suffix-marks")
     starts = None
     for u, f in found.items():

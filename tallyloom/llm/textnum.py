@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -9,17 +10,17 @@ import numpy as np
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes that are hashed at once; longer texts are cut at white space, a longer word is hashed alone.
 CHUNK = 1 << 19
+#: Bytes of a word that are mixed eight at a time; longer words get a digest.
+LANES = 64
 #: Powers that a Python worker keeps for each base.
 _KEPT = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BLANKS = [b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"]
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SAME = np.arange(256, dtype=np.uint8)
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -73,8 +74,9 @@ def _cuts(text: bytes) -> Iterator[bytes]:
 def hashed_words(texts: list[bytes], lower: bool = False, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs of bytes that are no ASCII white space) of all texts, and where each text's begin.
 
-    ``lower`` lower-cases A-Z first; ``first`` takes only so many bytes of each word. A word's hash is a polynomial of its bytes modulo 2**64,
-    scrambled, and depends on nothing around it.
+    ``lower`` lower-cases A-Z first; ``first`` takes only so many bytes of each word. A word's hash depends on nothing around it: eight bytes
+    after eight are mixed into its length, and words of over LANES bytes are a BLAKE2b digest. (Polynomials modulo 2**64
+    won't do: they don't tell the patterns of Thue and Morse from their complements.)
     """
     parts, counts = [], np.zeros(len(texts), np.int64)
     group, owners, size = [], [], 0
@@ -101,17 +103,25 @@ def hashed_words(texts: list[bytes], lower: bool = False, first: int | None = No
 
 
 def _hashed(texts: list[bytes], lower: bool, first: int | None) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    start, end = word_edges(raw)
+    joined = b" ".join(texts) + b" " * 9
+    joined = joined.translate(_LOWER) if lower else joined
+    raw = np.frombuffer(joined, np.uint8)
+    start, end = word_edges(raw[:-8])
     ends = np.cumsum([len(t) + 1 for t in texts])
     if first is not None:
         end = np.minimum(end, start + first)
-    code = _CODE[(_LOWER if lower else _SAME)[raw]]
-    code *= powers(_BASE, len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(code, out=total[1:])
-    words = (total[end] - total[start]) * powers(_INVERSE, len(raw))[start]
-    words = mixed(words ^ (end - start).astype(np.uint64))
+    eights = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    size = end - start
+    words = mixed(size.astype(np.uint64) * np.uint64(_BASE))
+    at = np.flatnonzero(size <= LANES)
+    done = 0
+    while len(at):
+        lane = eights[start[at] + done] & _MASK[np.minimum(size[at] - done, 8)]
+        words[at] = mixed((words[at] ^ lane) * np.uint64(_BASE))
+        done += 8
+        at = at[size[at] > done]
+    for k in np.flatnonzero(size > LANES):
+        words[k] = int.from_bytes(hashlib.blake2b(joined[start[k] : end[k]], digest_size=8).digest(), "little")
     return words, np.diff(np.searchsorted(start, ends), prepend=0)
 
 
