@@ -5,19 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` as a Parquet table in the folder of spark.checkpoint.dir, which outlives executors; the application's end deletes it.
-
-    The plan runs once. A local master without the setting (tests) gets a temporary folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local master without the setting (tests) gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{(base or 'file://' + tempfile.mkdtemp(prefix='tallyloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/") if base else f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, which outlives executors; the application's end deletes it. The plan runs once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)

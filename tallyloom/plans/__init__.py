@@ -1,5 +1,5 @@
 """Named queries; importing the package registers them all."""
 
-from . import catalog, effects, knowledge, verbs
+from . import catalog, effects, knowledge, values, verbs
 
-__all__ = ["catalog", "effects", "knowledge", "verbs"]
+__all__ = ["catalog", "effects", "knowledge", "values", "verbs"]
