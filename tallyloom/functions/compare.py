@@ -95,7 +95,7 @@ def infra_rescue(tag: Column, score: Column, similarity: Column) -> Column:
 
 
 #: Least scores with which comparisons pass.
-THRESHOLDS = {"DATA": 1.0, "STDOUT": 0.95, "FILES": 1.0, "HTML": 0.7, "GRAPHICS": 0.9, "NETWORK": 0.95, "RNG": 1.0}
+THRESHOLDS = {"DATA": 1.0, "STDOUT": 0.95, "WARNINGS": 0.95, "ENV": 1.0, "FILES": 1.0, "HTML": 0.7, "GRAPHICS": 0.9, "NETWORK": 0.95, "RNG": 1.0}
 #: Endings of files that are compared as texts.
 TEXT_ENDINGS = (".csv", ".txt", ".json", ".tsv", ".xml", ".yaml", ".yml", ".log")
 
@@ -122,8 +122,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalise_printed(x: Column) -> Column:
-    """Printed values without line numbers, quotes, brackets and layout; TRUE and FALSE as True and False."""
+    """Printed values without line numbers, quotes, brackets and layout; TRUE and FALSE as True and False, hex colours in lower case."""
     x = F.regexp_replace(x, r"(?m)^\s*\[\d+\]\s*", "")
+    colour = r"#[0-9A-Fa-f]{3,8}\b"
+    lowered = lambda p: F.concat(F.lower(F.regexp_extract(p, f"^{colour}", 0)), F.regexp_replace(p, f"^{colour}", ""))
+    x = F.array_join(F.transform(F.split(x, f"(?={colour})"), lowered), "")
     x = F.regexp_replace(F.regexp_replace(x, r"\bTRUE\b", "True"), r"\bFALSE\b", "False")
     return F.trim(F.regexp_replace(F.translate(x, "\"'[](),{}:", ""), r"\s+", " "))
 

@@ -7,8 +7,11 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Calls whose entities name sources rather than results.
-SOURCE_CALLS = ("library", "require", "source", "setwd", "options", "data", "rm", "attach", "detach", "suppressPackageStartupMessages")
+# Calls whose results are drawn at random, read from files or taken from the system.
+SOURCE_CALLS = (
+    "rnorm", "runif", "sample", "rbinom", "rpois", "rgamma", "rbeta", "rt", "rexp", "rchisq", "rlnorm", "rweibull", "rcauchy", "rf",
+    "read.csv", "read.csv2", "read.table", "read.delim", "read.delim2", "readRDS", "readLines", "scan", "load", "Sys.getenv", "Sys.time", "Sys.Date", "Sys.timezone",
+)
 # Variables of the environment that a run may see, and the one that is always set.
 ENV_ALLOWED = ("PATH", "HOME", "USERPROFILE", "TMPDIR", "TEMP", "TMP", "R_LIBS_USER", "R_HOME", "RSCRIPT_PATH", "LANG", "LC_ALL", "LC_CTYPE", "SYSTEMROOT", "WINDIR", "COMSPEC", "PROCESSOR_ARCHITECTURE")
 ENV_SET = ("PYTHONIOENCODING", "utf-8")
@@ -62,12 +65,23 @@ def slug(x: Column, most: int = 60) -> Column:
     return F.substring(F.regexp_replace(F.lower(x), r"[^a-z0-9.\-]", "-"), 1, most)
 
 
-def preview(x: Column, most: int) -> Column:
-    return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.format_string(" (%d more chars)", F.length(x) - most))).otherwise(x)
+def preview(x: Column, most: int = 120) -> Column:
+    """A value as feedback shows it: the first characters and an ellipsis."""
+    return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("…"))).otherwise(x)
+
+
+def shortened(x: Column, most: int = 500) -> Column:
+    """A value as a prompt holds it: the first characters and how many more there are."""
+    return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.format_string("... (%d more chars)", F.length(x) - most))).otherwise(x)
 
 
 def url_class(url: Column) -> Column:
-    return F.when(url.contains("github.com"), "github").when(url.contains("cran.r-project.org"), "cran").when(url.contains("rpubs.com"), "rpubs").when(F.lower(url).endswith(".r"), "script").otherwise("other")
+    """What an address, without slashes at its end, leads to; the first rule that fits. An address of a repository that names a script is a script."""
+    x = F.regexp_replace(url, "/+$", "")
+    return (
+        F.when(x.contains("github.com") & ~x.endswith(".R"), "github").when(x.contains("cran.r-project.org") | x.endswith(".tar.gz"), "cran")
+        .when(x.endswith(".R") | x.endswith(".r"), "script").when(x.contains("rpubs.com"), "rpubs").otherwise("other")
+    )
 
 
 def is_package_name(x: Column) -> Column:
@@ -80,9 +94,14 @@ def rename_keyword(x: Column, word: str) -> Column:
 
 
 def leading_call(x: Column) -> Column:
-    """The first call of a line without comment and assignment."""
-    x = F.regexp_replace(F.regexp_replace(x, r"#[^\n]*", ""), r"^\s*[A-Za-z_.][\w.]*\s*(<-|=)\s*", "")
-    return F.regexp_extract(x, r"^\s*([A-Za-z_.][\w.]*)\s*\(", 1)
+    """The first call anywhere in a source, without its comments and a leading assignment; empty if there is none."""
+    x = F.regexp_replace(F.regexp_replace(x, r"#[^\n]*", ""), r"^\s*([A-Za-z_.][\w.]*\s*(<-|=)\s*)?", "")
+    return F.regexp_extract(x, r"\b([A-Za-z_][\w.]*)\s*\(", 1)
+
+
+def is_source(x: Column) -> Column:
+    """Whether the first call of a source is one of SOURCE_CALLS; not for null."""
+    return F.coalesce(leading_call(x).isin(*SOURCE_CALLS), F.lit(False))
 
 
 def short_hash(x: Column, kind: str, n: int) -> Column:

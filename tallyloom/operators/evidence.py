@@ -88,10 +88,14 @@ def retrieve(queries: DataFrame, patterns: DataFrame, k: int, no_seeds: bool = F
 
 
 def features(pairs: DataFrame, today: str) -> DataFrame:
-    """Ranking features of (query, pattern) pairs."""
+    """The eight ranking features of (query, pattern) pairs: query, package, kind and text of the query; id, p (package), guidance and the rest of the pattern.
+
+    Packages match if they are equal and not empty; shape is the token overlap of kind and id, overlap that of text and guidance.
+    """
     ev, ct = F.col("evidence"), F.col("contradictions")
     return pairs.select(
-        "query", "id", (F.col("package") == F.col("p")).cast("int").alias("package_match"), jaccard(tokens(F.col("text")), tokens(F.col("guidance"))).alias("overlap"),
+        "query", "id", F.coalesce((F.col("package") == F.col("p")) & (F.col("package") != ""), F.lit(False)).cast("int").alias("package_match"),
+        jaccard(tokens(F.col("kind")), tokens(F.col("id").cast("string"))).alias("shape"), jaccard(tokens(F.col("text")), tokens(F.col("guidance"))).alias("overlap"),
         (F.col("confidence") == "confirmed").cast("int").alias("confirmed"), ev.alias("evidence"), ct.alias("contradictions"), (ev / (ev + ct + 1)).alias("support"), recency(F.col("reviewed"), today).alias("recency"),
     )
 

@@ -44,11 +44,20 @@ def points_in_intervals(points: DataFrame, spans: DataFrame, group: str, point:
 
 
 def contained(spans: DataFrame, group: str, key: str, start: Column, end: Column, width: int = 32) -> DataFrame:
-    """Keys of spans that strictly contain another of their group (equal starts or ends are in, equal spans not), by buckets of ``width``."""
-    x = spans.select(group, F.col(key).alias("outer_key"), start.alias("s0"), end.alias("e0"))
-    y = spans.select(group, F.col(key).alias("inner_key"), start.alias("s1"), end.alias("e1"))
-    inside = (F.col("e1") <= F.col("e0")) & ((F.col("s0") < F.col("s1")) | (F.col("e1") < F.col("e0")))
-    return points_in_intervals(y, x, group, "s1", "s0", "e0", width).where(inside).groupBy(group, "outer_key").agg(F.count(F.lit(1)).alias("n_inside"))
+    """Keys of spans that contain others of their group, equal spans each other too, by buckets of ``width``. Equal spans are joined as one.
+
+    Starts and ends are numbers; ``position`` makes them of lines and columns.
+    """
+    own = spans.select(group, F.col(key).alias("outer_key"), start.alias("s0"), end.alias("e0"))
+    x = own.groupBy(group, "s0", "e0").agg(F.count(F.lit(1)).alias("n"))
+    y = x.select(group, F.col("s0").alias("s1"), F.col("e0").alias("e1"), F.col("n").alias("m"))
+    inside = points_in_intervals(y, x, group, "s1", "s0", "e0", width).where("e1 <= e0").groupBy(group, "s0", "e0").agg((F.sum("m") - 1).alias("n_inside")).where("n_inside > 0")
+    return own.join(inside, [group, "s0", "e0"]).select(group, "outer_key", "n_inside")
+
+
+def position(line: Column, column: Column, most: int = 1 << 16) -> Column:
+    """A place in a text as one number: lines first, then columns (under ``most``)."""
+    return line.cast("long") * most + column
 
 
 def lines_of_spans(spans: DataFrame, marks: DataFrame, group: str, start: str, end: str) -> DataFrame:
@@ -133,7 +142,10 @@ def attribute(failures: DataFrame, entities: DataFrame, group: str) -> DataFrame
 
 
 def greedy_match(scores: DataFrame, group: str) -> DataFrame:
-    """Greedy assignment of a similarity matrix (group, row, col, score): rows by their best score, each takes the best free column."""
+    """Greedy assignment of a similarity matrix (group, row, col, score): rows by their best score, each takes the best free column.
+
+    A row that no column is left for scores 0, with a null column.
+    """
     import pandas as pd
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
@@ -141,9 +153,14 @@ def greedy_match(scores: DataFrame, group: str) -> DataFrame:
         taken, out = set(), []
         for r in sorted(best.index, key=lambda r: (-best[r], r)):
             free = g[(g["row"] == r) & ~g["col"].isin(taken)].sort_values(["score", "col"], ascending=[False, True])
-            if len(free):
-                taken.add(free.iloc[0]["col"])
-                out.append((g[group].iloc[0], r, free.iloc[0]["col"], free.iloc[0]["score"]))
-        return pd.DataFrame(out, columns=[group, "row", "col", "score"])
+            col, score = (free.iloc[0]["col"], free.iloc[0]["score"]) if len(free) else (None, 0.0)
+            taken.add(col)
+            out.append((g[group].iloc[0], r, col, score))
+        return pd.DataFrame(out, columns=[group, "row", "col", "score"]).astype({"col": object})
 
     return scores.groupBy(group).applyInPandas(solve, scores.select(group, "row", "col", "score").schema)
+
+
+def covered_score(matched: DataFrame, group: str) -> DataFrame:
+    """Mean score of the rows of each group of a ``greedy_match``: columns that are left over cost nothing."""
+    return matched.groupBy(group).agg(F.avg("score").alias("score"), F.count(F.when(F.col("col").isNull(), 1)).alias("n_unmatched"))

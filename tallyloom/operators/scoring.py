@@ -141,7 +141,8 @@ def score_table(entities: DataFrame, expected: DataFrame, actual: DataFrame, var
     other side too (data, stdout, graphics). An entity that the expected side never reached, although it reached others, is empty there; one
     that the translation has no lines of is empty on the actual side where lines are known (``mapped``). If the entity ran and both sides
     are known, its data score is the mean over the effects that the expected side has, or 1 if neither side has any; else the
-    scores of the whole run count: that of the variable of its name (``variables``: name, score), or ``data``.
+    scores of the whole run count: that of the variable of its name (``variables``: name, score), or ``data``. A run that crashed (not ``ran``)
+    has neither: there they are 0.
     """
     some = expected.limit(1).agg(F.count(F.lit(1)).alias("reached"))  # one row
     x = expected.select("id", F.lit(True).alias("seen"), "has_data", "has_stdout", "n_graphics")
@@ -158,7 +159,7 @@ def score_table(entities: DataFrame, expected: DataFrame, actual: DataFrame, var
     total = sum((F.when(h, score[k]).otherwise(0.0) for k, h in has.items()), F.lit(0.0))
     silent = ~(other["data"] | other["stdout"] | other["graphics"])
     own = ok & left & right & ((n > 0) | silent)
-    data_score = F.when(own, F.when(n > 0, total / n).otherwise(1.0)).otherwise(F.coalesce("of_name", F.lit(data)))
+    data_score = F.when(own, F.when(n > 0, total / n).otherwise(1.0)).otherwise(F.coalesce("of_name", F.lit(data)) if ran else F.lit(0.0))
     return rows.select("id", ok.alias("executed_ok"), own.alias("per_entity"), data_score.alias("data_output"), F.when(own, score["stdout"]).otherwise(F.lit(stdout)).alias("stdout_output"), F.when(own, (score["graphics"] + score["stdout"]) / 2).otherwise(F.lit(effects)).alias("side_effects"))
 
 

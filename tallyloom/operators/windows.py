@@ -89,12 +89,20 @@ def last_ranges(ranges: DataFrame, key: str, order: str, start: str, end: str) -
 
 
 def first_differences(a: DataFrame, b: DataFrame, group: str, n: int = 3) -> DataFrame:
-    """The first n lines (group, line, text) that differ between sides of as many lines; more says whether there are others."""
+    """group, line, more and note of two sides of printed lines (group, line, text).
+
+    Sides of as many lines give their first ``n`` lines that differ; more is true from the n-th difference on, whether or not others follow.
+    Other groups give one row without a line and a note: no_expected or no_actual where a side has no lines at all, else uneven. Equal sides give none.
+    """
     both = a.join(b.select(group, "line", F.col("text").alias("other")), [group, "line"], "full_outer")
-    same = both.groupBy(group).agg(F.max(F.col("text").isNull() | F.col("other").isNull()).alias("uneven")).where("not uneven").select(group)
-    differ = both.where(~F.col("text").eqNullSafe(F.col("other"))).join(same, group, "left_semi")
-    place, total = F.row_number().over(Window.partitionBy(group).orderBy("line")), F.count(F.lit(1)).over(Window.partitionBy(group))
-    return differ.withColumns({"place": place, "total": total}).where(F.col("place") <= n).select(group, "line", (F.col("total") > n).alias("more"))
+    sides = a.select(group, F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(group, F.lit(0).alias("x"), F.lit(1).alias("y"))).groupBy(group).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    note = F.when(F.col("x") == 0, "no_expected").when(F.col("y") == 0, "no_actual").when(F.col("x") != F.col("y"), "uneven")
+    sides = sides.withColumn("note", note)
+    differ = both.where(~F.col("text").eqNullSafe(F.col("other"))).join(sides.where("note is null").select(group), group, "left_semi")
+    differ = differ.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("line"))).where(F.col("place") <= n)
+    more = F.max("place").over(Window.partitionBy(group)) >= n
+    lines = differ.select(group, "line", more.alias("more"), F.lit(None).cast("string").alias("note"))
+    return lines.unionByName(sides.where("note is not null").select(group, F.lit(None).cast(a.schema["line"].dataType).alias("line"), F.lit(False).alias("more"), "note"))
 
 
 def allocated_ids(rows: DataFrame, taken: DataFrame, base: str, order: Sequence[str], out: str = "id") -> DataFrame:

@@ -194,7 +194,7 @@ def crash_attribution(spark, d):
 
 
 @query(f"""WITH {_SPANS} SELECT a.user_id, a.span AS outer_key, COUNT(*) AS n_inside FROM spans a JOIN spans b USING (user_id)
-WHERE a.s <= b.s AND b.e <= a.e AND (a.s < b.s OR b.e < a.e) GROUP BY ALL""")
+WHERE a.s <= b.s AND b.e <= a.e AND a.span <> b.span GROUP BY ALL""")
 def span_containment(spark, d):
     return J.contained(_spans(spark, d), "user_id", "span", F.col("s"), F.col("e"))
 
@@ -492,11 +492,18 @@ def sign_test(spark, d):
     return R.sign_test(R.paired_deltas(side(0), side(1), "user_id", "s"))
 
 
-@query(f"""WITH {_PATTERNS} SELECT id AS query, id, 1 AS package_match, ROUND(LEN(LIST_INTERSECT(t, t))::DOUBLE / LEN(t), 6) AS overlap, (confidence = 'confirmed')::INTEGER AS confirmed, evidence, contradictions, ROUND(evidence::DOUBLE / (evidence + contradictions + 1), 6) AS support,
-ROUND(GREATEST(0, 1 - DATE_DIFF('day', DATE '1998-01-01', DATE '1998-06-30') / 365.0::DOUBLE), 6) AS recency FROM (SELECT *, LIST_DISTINCT(STRING_SPLIT(LOWER(guidance), ' ')) AS t FROM p)""")
+@query(f"""WITH {_PATTERNS}, q AS (SELECT id AS query, CASE WHEN id % 6 = 0 THEN '' ELSE package END AS qp, 'n_' || id % 4 || '.' || (id + 1) AS kind, 'use ' || package || ' G' || id % 4 AS text FROM p),
+t AS (SELECT LIST_DISTINCT(LIST_FILTER(STRING_SPLIT_REGEX(LOWER(kind), '[\\s._\\-]+'), lambda w: w <> '')) AS k, LIST_DISTINCT(LIST_FILTER(STRING_SPLIT_REGEX(LOWER(text), '[\\s._\\-]+'), lambda w: w <> '')) AS x, LIST_DISTINCT(STRING_SPLIT(LOWER(guidance), ' ')) AS g,
+  CASE WHEN id % 6 = 0 THEN '' ELSE package END AS p2, CASE WHEN id % 11 > 0 THEN DATE '1997-01-01' + (id % 700)::INTEGER END AS reviewed, * FROM q JOIN p ON id IN (query, query + 1, query + 6))
+SELECT query, id, (qp = p2 AND qp <> '')::INTEGER AS package_match, ROUND(LEN(LIST_INTERSECT(k, [id::VARCHAR]))::DOUBLE / LEN(LIST_DISTINCT(LIST_CONCAT(k, [id::VARCHAR]))), 6) AS shape, ROUND(LEN(LIST_INTERSECT(x, g))::DOUBLE / LEN(LIST_DISTINCT(LIST_CONCAT(x, g))), 6) AS overlap,
+(confidence = 'confirmed')::INTEGER AS confirmed, evidence, contradictions, ROUND(evidence::DOUBLE / (evidence + contradictions + 1), 6) AS support, ROUND(COALESCE(GREATEST(0, 1 - DATE_DIFF('day', reviewed, DATE '1998-12-31') / 365.0::DOUBLE), 0), 6) AS recency FROM t""")
 def rank_features(spark, d):
-    p = _patterns(spark, d).withColumns({"query": F.col("id"), "p": F.col("package"), "text": F.col("guidance"), "reviewed": F.lit("1998-01-01")})
-    return E.features(p, "1998-06-30").withColumns({c: _r(F.col(c)) for c in ("overlap", "support", "recency")})
+    """Each pattern's text as a query, with its own pattern, the next and the sixth after it."""
+    k, shown = F.col("id"), lambda p: F.when(F.col("id") % 6 == 0, "").otherwise(F.col(p))
+    p = _patterns(spark, d)
+    q = p.select(k.alias("query"), shown("package").alias("package"), F.concat(F.lit("n_"), k % 4, F.lit("."), k + 1).alias("kind"), F.concat(F.lit("use "), "package", F.lit(" G"), k % 4).alias("text"), F.explode(F.array(k, k + 1, k + 6)).alias("id"))
+    known = p.select("id", shown("package").alias("p"), "guidance", "confidence", "evidence", "contradictions", F.when(k % 11 > 0, F.date_add(F.lit("1997-01-01"), (k % 700).cast("int")).cast("string")).alias("reviewed"))
+    return E.features(q.join(known, "id"), "1998-12-31").withColumns({c: _r(F.col(c)) for c in ("shape", "overlap", "support", "recency")})
 
 
 # --- graphs, texts, sources -----------------------------------------------------------------------
@@ -523,14 +530,25 @@ def slugify(spark, d):
     return _t(spark, d, "part").select("p_partkey", S.slug(F.concat_ws(" ", "p_name", "p_type")).alias("slug"))
 
 
-@query("""SELECT page_id, CASE WHEN CONTAINS(url, 'github.com') THEN 'github' WHEN CONTAINS(url, 'cran.r-project.org') THEN 'cran' WHEN CONTAINS(url, 'rpubs.com') THEN 'rpubs' WHEN LOWER(url) LIKE '%.r' THEN 'script' ELSE 'other' END AS kind FROM pages""")
+_ADDRESSES = """(SELECT page_id, CASE page_id % 8 WHEN 0 THEN REPLACE(url, 'https://', 'https://github.com/') WHEN 1 THEN 'https://github.com/a/' || page_id || '.R' WHEN 2 THEN url || '/x_' || page_id || '.tar.gz/' WHEN 3 THEN 'https://cran.r-project.org/' || page_id
+  WHEN 4 THEN url || '.r' WHEN 5 THEN 'https://rpubs.com/u/' || page_id WHEN 6 THEN 'https://rpubs.com/' || page_id || '.R' ELSE url END AS url FROM pages)"""
+
+
+@query(f"""SELECT page_id, CASE WHEN CONTAINS(u, 'github.com') AND NOT SUFFIX(u, '.R') THEN 'github' WHEN CONTAINS(u, 'cran.r-project.org') OR SUFFIX(u, '.tar.gz') THEN 'cran' WHEN SUFFIX(u, '.R') OR SUFFIX(u, '.r') THEN 'script' WHEN CONTAINS(u, 'rpubs.com') THEN 'rpubs' ELSE 'other' END AS kind
+FROM (SELECT page_id, RTRIM(url, '/') AS u FROM {_ADDRESSES})""")
 def url_classes(spark, d):
-    return _t(spark, d, "pages").select("page_id", S.url_class(F.col("url")).alias("kind"))
+    k, url = F.col("page_id"), F.col("url")
+    join = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in c])
+    address = (
+        F.when(k % 8 == 0, F.replace(url, F.lit("https://"), F.lit("https://github.com/"))).when(k % 8 == 1, join("https://github.com/a/", k, ".R")).when(k % 8 == 2, join(url, "/x_", k, ".tar.gz/"))
+        .when(k % 8 == 3, join("https://cran.r-project.org/", k)).when(k % 8 == 4, join(url, ".r")).when(k % 8 == 5, join("https://rpubs.com/u/", k)).when(k % 8 == 6, join("https://rpubs.com/", k, ".R")).otherwise(url)
+    )
+    return _t(spark, d, "pages").select("page_id", S.url_class(address).alias("kind"))
 
 
-@query("SELECT doc_id, CASE WHEN LENGTH(text) > 120 THEN SUBSTR(text, 1, 120) || ' (' || (LENGTH(text) - 120) || ' more chars)' ELSE text END AS preview FROM documents")
+@query("SELECT doc_id, CASE WHEN LENGTH(text) > 120 THEN SUBSTR(text, 1, 120) || '…' ELSE text END AS preview, CASE WHEN LENGTH(text) > 500 THEN SUBSTR(text, 1, 500) || '... (' || (LENGTH(text) - 500) || ' more chars)' ELSE text END AS shortened FROM documents")
 def previews(spark, d):
-    return _t(spark, d, "documents").select("doc_id", S.preview(F.col("text"), 120).alias("preview"))
+    return _t(spark, d, "documents").select("doc_id", S.preview(F.col("text")).alias("preview"), S.shortened(F.col("text")).alias("shortened"))
 
 
 @query("""SELECT page_id, COUNT(*) AS n_blocks, SUM(LENGTH(REPLACE(REPLACE(REPLACE(REPLACE(b, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')))::BIGINT AS n_chars FROM (SELECT page_id, UNNEST(REGEXP_EXTRACT_ALL(html, '(?is)<p[^>]*>(.*?)</p>', 1)) AS b FROM pages) GROUP BY 1""")
@@ -544,9 +562,9 @@ def evidence_fold(spark, d):
     return stream.fold(_t(spark, d, "events").select(F.col("user_id").alias("key"), kind.alias("kind"), (F.col("value") - 50).alias("delta")))
 
 
-@query(r"""SELECT doc_id, TRIM(REGEXP_REPLACE(TRANSLATE(REGEXP_REPLACE(REGEXP_REPLACE('[1] TRUE "' || lang || '", (' || source || ')  FALSE', '(?m)^[ ]*\[\d+\][ ]*', '', 'g'), '\bTRUE\b', 'True', 'g'), '"''[](),{}:', ''), '\s+', ' ', 'g')) AS plain FROM documents""")
+@query(r"""SELECT doc_id, TRIM(REGEXP_REPLACE(TRANSLATE(REGEXP_REPLACE(REGEXP_REPLACE('[1] TRUE "' || lang || '", (' || source || ')  FALSE #' || CASE WHEN doc_id % 2 = 0 THEN 'aabbcc' ELSE 'AABBCCDDE' END, '(?m)^[ ]*\[\d+\][ ]*', '', 'g'), '\bTRUE\b', 'True', 'g'), '"''[](),{}:', ''), '\s+', ' ', 'g')) AS plain FROM documents""")
 def normalise_printed(spark, d):
-    shown = F.concat(F.lit('[1] TRUE "'), "lang", F.lit('", ('), "source", F.lit(")  FALSE"))
+    shown = F.concat(F.lit('[1] TRUE "'), "lang", F.lit('", ('), "source", F.lit(")  FALSE #"), F.when(F.col("doc_id") % 2 == 0, "AABBcc").otherwise("AABBCCDDE"))
     return _t(spark, d, "documents").select("doc_id", F.regexp_replace(C.normalise_printed(shown), "False", "FALSE").alias("plain"))
 
 
@@ -555,11 +573,21 @@ def kwarg_rename(spark, d):
     return _t(spark, d, "part").select("p_partkey", S.rename_keyword(F.concat(F.lit("f(size="), "p_size", F.lit(", size == 1)")), "size").alias("renamed"))
 
 
-@query(r"""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'library' WHEN 1 THEN 'mean' ELSE '' END AS call, p_size % 3 = 0 AS is_source FROM part""")
+_SOURCES = r"""(SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'x <- rnorm(' || p_size || ') # ' || p_name WHEN 1 THEN '  y.z = mean(sample(' || p_size || '))' WHEN 2 THEN '# ' || p_name || chr(10) || '1 + read.csv ("a")' WHEN 3 THEN '# load(' || p_name || ')'
+  WHEN 4 THEN p_name || ' == Sys.time()' ELSE 'f.' || p_size || '(runif(1))' END AS source FROM part)"""
+
+
+@query(rf"""SELECT p_partkey, call, call IN ('rnorm', 'runif', 'sample', 'read.csv', 'load', 'Sys.time') AS is_source
+FROM (SELECT p_partkey, REGEXP_EXTRACT(REGEXP_REPLACE(TRIM(REGEXP_REPLACE(source, '#[^\n]*', '', 'g'), ' ' || chr(10)), '^[A-Za-z_.][\w.]*\s*(<-|=)\s*', ''), '\b([A-Za-z_][\w.]*)\s*\(', 1) AS call FROM {_SOURCES})""")
 def comment_strip_classify(spark, d):
-    line = F.when(F.col("p_size") % 3 == 0, "x <- library(dplyr) # load").when(F.col("p_size") % 3 == 1, "  y = mean(x)").otherwise("# only(comment)")
-    call = S.leading_call(line)
-    return _t(spark, d, "part").select("p_partkey", call.alias("call"), call.isin(*S.SOURCE_CALLS).alias("is_source"))
+    n = F.col("p_size")
+    join = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in c])
+    name = F.col("p_name")
+    source = (
+        F.when(n % 6 == 0, join("x <- rnorm(", n, ") # ", name)).when(n % 6 == 1, join("  y.z = mean(sample(", n, "))")).when(n % 6 == 2, join("# ", name, '\n1 + read.csv ("a")'))
+        .when(n % 6 == 3, join("# load(", name, ")")).when(n % 6 == 4, join(name, " == Sys.time()")).otherwise(join("f.", n, "(runif(1))"))
+    )
+    return _t(spark, d, "part").select("p_partkey", S.leading_call(source).alias("call"), S.is_source(source).alias("is_source"))
 
 
 @query("""WITH b AS (SELECT o_custkey, MAX(o_totalprice) AS best, COUNT(*) AS n FROM orders GROUP BY 1)

@@ -91,9 +91,10 @@ def infra_rescue(spark, d):
 @query("""WITH l AS (SELECT conv_id, turn, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS line, text, CASE WHEN (conv_id + turn) % 3 = 0 THEN text || '.' ELSE text END AS other FROM conversations),
 u AS (SELECT * FROM l WHERE NOT (conv_id % 5 = 4 AND line = 1)), m AS (SELECT conv_id FROM l GROUP BY 1 HAVING conv_id % 5 <> 4),
 f AS (SELECT conv_id, line, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY line) AS n, COUNT(*) OVER (PARTITION BY conv_id) AS total FROM l JOIN m USING (conv_id) WHERE text IS DISTINCT FROM other)
-SELECT conv_id, line, total > 3 AS more FROM f WHERE n <= 3""")
+SELECT conv_id, line, total >= 3 AS more, NULL::VARCHAR AS note FROM f WHERE n <= 3
+UNION ALL SELECT conv_id, NULL, FALSE, CASE WHEN COUNT(*) = 1 THEN 'no_actual' ELSE 'uneven' END FROM l WHERE conv_id % 5 = 4 GROUP BY 1""")
 def diff_lines(spark, d):
-    """Lines that differ, at most three a conversation; conversations of another number of lines are no subject of it."""
+    """Lines that differ, at most three a conversation; those of conversations without as many lines on the other side are no subject of it, but are noted."""
     line = F.row_number().over(W.Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("line")
     lines = _t(spark, d, "conversations").select("conv_id", "turn", line, "text")
     other = lines.where("not (conv_id % 5 = 4 and line = 1)").withColumn("text", F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")))
@@ -106,10 +107,10 @@ def judge_verdict(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", C.judged(F.concat(F.replace("text", F.lit("<"), F.lit(" ")), said)).alias("verdict"))
 
 
-@query("""WITH e AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'DATA' WHEN 1 THEN 'STDOUT' WHEN 2 THEN 'FILES' WHEN 3 THEN 'HTML' WHEN 4 THEN 'GRAPHICS' WHEN 5 THEN 'NETWORK' ELSE 'OTHER' END AS effect, value / 100 AS score FROM events)
-SELECT event_id, effect, CASE WHEN effect = 'OTHER' THEN NULL WHEN score >= CASE effect WHEN 'HTML' THEN 0.7::DOUBLE WHEN 'GRAPHICS' THEN 0.9 WHEN 'STDOUT' THEN 0.95 WHEN 'NETWORK' THEN 0.95 ELSE 1 END THEN 'pass' ELSE 'fail' END AS verdict FROM e""")
+@query("""WITH e AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'DATA' WHEN 1 THEN 'STDOUT' WHEN 2 THEN 'FILES' WHEN 3 THEN 'HTML' WHEN 4 THEN 'GRAPHICS' WHEN 5 THEN CASE WHEN event_id % 2 = 0 THEN 'WARNINGS' ELSE 'NETWORK' END ELSE CASE WHEN event_id % 2 = 0 THEN 'ENV' ELSE 'OTHER' END END AS effect, value / 100 AS score FROM events)
+SELECT event_id, effect, CASE WHEN effect = 'OTHER' THEN NULL WHEN score >= CASE effect WHEN 'HTML' THEN 0.7::DOUBLE WHEN 'GRAPHICS' THEN 0.9 WHEN 'STDOUT' THEN 0.95 WHEN 'WARNINGS' THEN 0.95 WHEN 'NETWORK' THEN 0.95 ELSE 1 END THEN 'pass' ELSE 'fail' END AS verdict FROM e""")
 def threshold_verdicts(spark, d):
-    effect = F.expr("CASE event_id % 7 WHEN 0 THEN 'DATA' WHEN 1 THEN 'STDOUT' WHEN 2 THEN 'FILES' WHEN 3 THEN 'HTML' WHEN 4 THEN 'GRAPHICS' WHEN 5 THEN 'NETWORK' ELSE 'OTHER' END")
+    effect = F.expr("CASE event_id % 7 WHEN 0 THEN 'DATA' WHEN 1 THEN 'STDOUT' WHEN 2 THEN 'FILES' WHEN 3 THEN 'HTML' WHEN 4 THEN 'GRAPHICS' WHEN 5 THEN CASE WHEN event_id % 2 = 0 THEN 'WARNINGS' ELSE 'NETWORK' END ELSE CASE WHEN event_id % 2 = 0 THEN 'ENV' ELSE 'OTHER' END END")
     return _t(spark, d, "events").select("event_id", effect.alias("effect"), C.passes(effect, F.col("value") / 100).alias("verdict"))
 
 
@@ -353,15 +354,14 @@ def code_chunks(spark, d):
 @query("""WITH e AS (SELECT event_id AS id, event_type AS name, event_id % 10 <> 3 AS lines, event_id % 2 = 0 AS pre FROM events),
 x AS (SELECT event_id AS id, event_id % 3 = 0 AS d, event_id % 4 = 0 AS s, event_id % 5 AS g FROM events WHERE event_id % 7 <> 0),
 y AS (SELECT event_id AS id, event_id % 3 = 0 AS d, event_id % 8 = 0 AS s, event_id % 5 AS g, (event_id % 11) / 10.0::DOUBLE AS sd, (event_id % 8 = 0)::INTEGER::DOUBLE AS ss, 0.5::DOUBLE AS sg FROM events WHERE event_id % 10 NOT IN (3, 4)),
-v AS (SELECT 'click' AS name, 0.25::DOUBLE AS score),
-j AS (SELECT e.id, pre AS ok, y.id IS NOT NULL OR NOT lines AS r, COALESCE(x.d, FALSE) AS d, COALESCE(x.s, FALSE) AS s, COALESCE(x.g > 0, FALSE) AS g, COALESCE(y.d, FALSE) AS od, COALESCE(y.s, FALSE) AS os, COALESCE(y.g > 0, FALSE) AS og, sd, ss, sg, v.score AS of_name
-  FROM e LEFT JOIN x USING (id) LEFT JOIN y USING (id) LEFT JOIN v ON v.name = e.name),
+j AS (SELECT e.id, pre AS ok, y.id IS NOT NULL OR NOT lines AS r, COALESCE(x.d, FALSE) AS d, COALESCE(x.s, FALSE) AS s, COALESCE(x.g > 0, FALSE) AS g, COALESCE(y.d, FALSE) AS od, COALESCE(y.s, FALSE) AS os, COALESCE(y.g > 0, FALSE) AS og, sd, ss, sg
+  FROM e LEFT JOIN x USING (id) LEFT JOIN y USING (id)),
 k AS (SELECT *, d::INTEGER + s::INTEGER + g::INTEGER AS n, COALESCE(sd, (d = od)::INTEGER::DOUBLE) AS fd, COALESCE(ss, (s = os)::INTEGER::DOUBLE) AS fs, COALESCE(sg, (g = og)::INTEGER::DOUBLE) AS fg FROM j),
 o AS (SELECT *, ok AND r AND (n > 0 OR NOT (od OR os OR og)) AS own FROM k)
-SELECT id, ok AS executed_ok, own AS per_entity, ROUND(CASE WHEN own THEN CASE WHEN n > 0 THEN (d::INTEGER * fd + s::INTEGER * fs + g::INTEGER * fg) / n ELSE 1 END ELSE COALESCE(of_name, 0) END, 6) AS data_output,
+SELECT id, ok AS executed_ok, own AS per_entity, ROUND(CASE WHEN own THEN CASE WHEN n > 0 THEN (d::INTEGER * fd + s::INTEGER * fs + g::INTEGER * fg) / n ELSE 1 END ELSE 0 END, 6) AS data_output,
 ROUND(CASE WHEN own THEN fs ELSE 0.75 END, 6) AS stdout_output, ROUND(CASE WHEN own THEN (fg + fs) / 2 ELSE 0.5 END, 6) AS side_effects FROM o""")
 def score_table(spark, d):
-    """Scores of entities after a crash: those before it by their own effects, the rest by the whole run's."""
+    """Scores of entities after a crash: those before it by their own effects, the rest by the whole run's, whose data count 0 then."""
     ev, k = _t(spark, d, "events"), F.col("event_id")
     side = lambda stdout: [k.alias("id"), (k % 3 == 0).alias("has_data"), (k % stdout == 0).alias("has_stdout"), (k % 5).alias("n_graphics")]
     entities = ev.select(k.alias("id"), F.col("event_type").alias("name"), (k % 10 != 3).alias("lines"), (k % 2 == 0).alias("before_crash"))

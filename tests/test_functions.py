@@ -64,9 +64,15 @@ def test_formals(spark):
 def test_scalars(spark):
     v = lambda c: value(spark, c)
     assert v(S.rename_keyword(F.lit("f(lambda=1, lambda == 2)"), "lambda")) == "f(lambda_val=1, lambda == 2)"
-    assert v(S.leading_call(F.lit("x <- library(dplyr) # c"))) == "library"
+    calls = {"x <- rnorm(5) # c": "rnorm", "1 + rnorm(5)": "rnorm", "y = mean(runif(2))": "mean", "# sample(3)": "", "# sample(3)\nSys.time()": "Sys.time", "  a.b <- read.csv ('f')": "read.csv", "library(dplyr)": "library", "": ""}
+    assert {s: v(S.leading_call(F.lit(s))) for s in calls} == calls
+    assert {s for s in calls if v(S.is_source(F.lit(s)))} == {"x <- rnorm(5) # c", "1 + rnorm(5)", "# sample(3)\nSys.time()", "  a.b <- read.csv ('f')"} and len(S.SOURCE_CALLS) == 27
+    urls = {"https://github.com/a/b": "github", "https://github.com/a/b.R": "script", "http://x.org/p_1.0.tar.gz/": "cran", "https://cran.r-project.org/package=x": "cran", "http://x.org/a.r": "script", "https://rpubs.com/u/1": "rpubs", "http://x.org": "other"}
+    assert {u: v(S.url_class(F.lit(u))) for u in urls} == urls
+    assert v(C.normalise_printed(F.lit('[1] "#FFFFFF" TRUE #AbC, #12 #ABCDEF012 x#FFF'))) == "#ffffff True #abc #12 #ABCDEF012 x#fff"
     assert v(S.slug(F.lit("A b_C"))) == "a-b-c"
-    assert v(S.preview(F.lit("abcdef"), 2)) == "ab (4 more chars)"
+    assert v(S.preview(F.lit("abcdef"), 2)) == "ab…" and v(S.preview(F.lit("ab"), 2)) == "ab" and v(S.shortened(F.lit("abcdef"), 2)) == "ab... (4 more chars)"
+    assert v(C.passes(F.lit("WARNINGS"), F.lit(0.95))) == "pass" and v(C.passes(F.lit("ENV"), F.lit(0.99))) == "fail" and v(C.passes(F.lit("?"), F.lit(1.0))) is None
     assert [v(S.finite(F.lit(x))) for x in (NAN, INF, -INF, 1.5)] == [None, "Inf", "-Inf", "1.5"]
     assert v(S.recency(F.lit("2024-01-01"), "2024-01-01")) == 1 and v(S.recency(F.lit("bad"), "2024-01-01")) == 0
     assert [str(v(S.easter(F.lit(y)))) for y in (2000, 2024, 2025)] == ["2000-04-23", "2024-03-31", "2025-04-20"]

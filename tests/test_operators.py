@@ -12,9 +12,12 @@ def test_presence_is_not_null(spark):
     assert {r.k: r.present for r in J.presence_join(a, b, ["k"]).collect()} == {1: True, 2: True, 3: False}
 
 
-def test_containment_needs_a_larger_span(spark):
+def test_equal_spans_contain_each_other(spark):
     s = spark.createDataFrame([(1, "a", 0, 9), (1, "b", 2, 9), (1, "c", 0, 9), (2, "d", 0, 1)], "g int, k string, s int, e int")
-    assert {(r.outer_key, r.n_inside) for r in J.contained(s, "g", "k", F.col("s"), F.col("e")).collect()} == {("a", 1), ("c", 1)}
+    assert {(r.outer_key, r.n_inside) for r in J.contained(s, "g", "k", F.col("s"), F.col("e")).collect()} == {("a", 2), ("c", 2)}
+    lines = spark.createDataFrame([(1, "a", 1, 5, 3, 0), (1, "b", 1, 6, 2, 9), (1, "c", 1, 4, 3, 0), (1, "d", 3, 1, 3, 2)], "g int, k string, l0 int, c0 int, l1 int, c1 int")
+    got = J.contained(lines, "g", "k", J.position(F.col("l0"), F.col("c0")), J.position(F.col("l1"), F.col("c1")), 1 << 17)
+    assert {(r.outer_key, r.n_inside) for r in got.collect()} == {("a", 1), ("c", 2)}
 
 
 def test_points_in_intervals_are_all_found(spark):
@@ -27,6 +30,9 @@ def test_points_in_intervals_are_all_found(spark):
 def test_greedy_assignment(spark):
     m = spark.createDataFrame([(1, "r1", "c1", 0.9), (1, "r1", "c2", 0.1), (1, "r2", "c1", 0.95), (1, "r2", "c2", 0.8)], "g int, row string, col string, score double")
     assert {(r.row, r.col) for r in J.greedy_match(m, "g").collect()} == {("r2", "c1"), ("r1", "c2")}
+    short = J.greedy_match(m.where("col = 'c1'"), "g")
+    assert {(r.row, r.col, r.score) for r in short.collect()} == {("r2", "c1", 0.95), ("r1", None, 0.0)}
+    assert [tuple(r) for r in J.covered_score(short, "g").collect()] == [(1, 0.475, 1)]
 
 
 def test_top_examples_replace_only_by_better_ones(spark):

@@ -96,7 +96,7 @@ def test_first_lines_that_differ(spark):
     lines = lambda rows: spark.createDataFrame(rows, "g int, line int, text string")
     a = lines([(1, i, "x") for i in range(6)] + [(2, 0, "x"), (2, 1, "y")])
     b = lines([(1, i, "x" if i == 2 else "y") for i in range(6)] + [(2, 0, "z")])
-    assert [(r.line, r.more) for r in W.first_differences(a, b, "g").orderBy("line").collect()] == [(0, True), (1, True), (3, True)]
+    assert [(r.line, r.more, r.note) for r in W.first_differences(a, b, "g").orderBy("g", "line").collect()] == [(0, True, None), (1, True, None), (3, True, None), (None, False, "uneven")]
 
 
 def test_verdict_tags(spark):
