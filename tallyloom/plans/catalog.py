@@ -349,12 +349,12 @@ def best_run_per_script(spark, d):
     return W.best_runs(_t(spark, d, "orders"), "o_custkey", "o_totalprice", "o_orderkey")
 
 
-@query("""WITH old AS (SELECT o_orderkey, o_totalprice, 0::BIGINT AS version FROM orders WHERE o_orderkey % 2 = 0), new AS (SELECT o_orderkey, o_totalprice + 1 AS o_totalprice, 1::BIGINT AS version FROM orders WHERE o_orderkey % 3 = 0)
+@query("""WITH old AS (SELECT o_orderkey, o_totalprice, 0::BIGINT AS version FROM orders WHERE o_orderkey % 4 <> 1), new AS (SELECT o_orderkey, o_totalprice + 1 AS o_totalprice, 1::BIGINT AS version FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 4 = 1)
 SELECT * FROM old WHERE o_orderkey NOT IN (SELECT o_orderkey FROM new) UNION ALL SELECT * FROM new""")
 def upsert_scoring(spark, d):
     o = _t(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    old = o.where("o_orderkey % 2 = 0").withColumn("version", F.lit(0).cast("long"))
-    new = o.where("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit(1).cast("long").alias("version"))
+    old = o.where("o_orderkey % 4 <> 1").withColumn("version", F.lit(0).cast("long"))
+    new = o.where("o_orderkey % 3 = 0 or o_orderkey % 4 = 1").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit(1).cast("long").alias("version"))
     return W.upsert(old, new, ["o_orderkey"], "version")
 
 

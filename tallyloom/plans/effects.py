@@ -15,15 +15,15 @@ from .catalog import _r, _t, query
 
 # --- files, environment, pictures -----------------------------------------------------------------
 
-_FILES = """e AS (SELECT source AS g, 'f' || doc_id // 2 AS path, MIN(SHA256(text)) AS hash FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL),
-a AS (SELECT source AS g, 'f' || doc_id // 2 AS path, MIN(SHA256(CASE WHEN doc_id % 6 = 0 THEN text || '!' ELSE text END)) AS hash FROM documents WHERE doc_id % 2 = 0 AND doc_id % 10 <> 0 GROUP BY ALL)"""
+_FILES = """e AS (SELECT source AS g, 'f' || doc_id // 2 AS path, MIN(SHA256(text)) AS hash FROM documents GROUP BY ALL),
+a AS (SELECT source AS g, 'f' || doc_id // 2 AS path, MIN(SHA256(CASE WHEN doc_id % 6 = 0 THEN text || '!' ELSE text END)) AS hash FROM documents WHERE doc_id % 10 > 1 GROUP BY ALL)"""
 
 
 def _files(spark, d):
-    docs, k = _t(spark, d, "documents").where("doc_id % 2 = 0"), F.col("doc_id")
+    docs, k = _t(spark, d, "documents"), F.col("doc_id")
     path = F.concat(F.lit("f"), F.expr("doc_id div 2")).alias("path")
     side = lambda df, text: df.groupBy(F.col("source").alias("g"), path).agg(F.min(F.sha2(text, 256)).alias("hash"))
-    return side(docs, F.col("text")), side(docs.where(k % 10 != 0), F.when(k % 6 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return side(docs, F.col("text")), side(docs.where(k % 10 > 1), F.when(k % 6 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
 
 
 @query(f"""WITH {_FILES}, s AS (SELECT e.g, AVG((e.hash IS NOT DISTINCT FROM a.hash)::INTEGER::DOUBLE) AS score FROM e LEFT JOIN a ON e.g IS NOT DISTINCT FROM a.g AND e.path = a.path GROUP BY 1)
@@ -43,11 +43,11 @@ def escape_check(spark, d):
     return J.escaped(before, docs.select(path, F.sha2(F.when(k % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("hash")), "/w/en")
 
 
-@query("""WITH x AS (SELECT user_id, event_type AS name, MAX(value) FILTER (event_id % 3 = 0) AS b, COUNT(*) FILTER (event_id % 3 = 0) AS nb, MAX(value) FILTER (event_id % 3 = 1) AS a, COUNT(*) FILTER (event_id % 3 = 1) AS na FROM events GROUP BY ALL)
+@query("""WITH x AS (SELECT user_id, event_type AS name, MAX(value) FILTER (event_id % 3 <> 1) AS b, COUNT(*) FILTER (event_id % 3 <> 1) AS nb, MAX(value) FILTER (event_id % 3 <> 0) AS a, COUNT(*) FILTER (event_id % 3 <> 0) AS na FROM events GROUP BY ALL)
 SELECT user_id, name, a AS value FROM x WHERE (nb > 0 OR na > 0) AND (nb = 0 OR na = 0 OR a IS DISTINCT FROM b)""")
 def env_diff(spark, d):
-    side = lambda r: _t(spark, d, "events").where(F.col("event_id") % 3 == r).groupBy("user_id", F.col("event_type").alias("name")).agg(F.max("value").alias("value"))
-    return J.env_changes(side(0), side(1), ["user_id", "name"])
+    side = lambda r: _t(spark, d, "events").where(F.col("event_id") % 3 != r).groupBy("user_id", F.col("event_type").alias("name")).agg(F.max("value").alias("value"))
+    return J.env_changes(side(1), side(0), ["user_id", "name"])
 
 
 @query("""WITH p AS (SELECT page_id % 50 AS g, page_id // 50 AS place, page_id, SHA256(html) AS h FROM pages), e AS (SELECT * FROM p),
@@ -214,13 +214,13 @@ def _entity_spans(spark, d):
     return _t(spark, d, "events").select(k.alias("entity"), "user_id", F.col("event_type").alias("name"), (k % 1000).alias("s"), (k % 1000 + k % 6).alias("e"))
 
 
-@query(f"""WITH {_ENTITIES}, marks AS (SELECT user_id, event_id % 1000 AS line, CASE event_id % 4 WHEN 0 THEN 'nse' WHEN 1 THEN 'super_assign' ELSE 'indexing' END AS flag FROM events WHERE event_id % 10 < 7),
+@query(f"""WITH {_ENTITIES}, marks AS (SELECT user_id, event_id % 1000 AS line, CASE event_id % 4 WHEN 0 THEN 'nse' WHEN 1 THEN 'super_assign' ELSE 'indexing' END AS flag FROM events),
 f AS (SELECT entity, STRING_AGG(DISTINCT flag, ',' ORDER BY flag) AS flags FROM entities JOIN marks ON entities.user_id = marks.user_id AND line BETWEEN s AND e GROUP BY 1)
 SELECT e.entity, COALESCE(flags, '') AS flags FROM entities e LEFT JOIN f USING (entity)""")
 def line_bucket_join(spark, d):
     k = F.col("event_id")
     flag = F.when(k % 4 == 0, "nse").when(k % 4 == 1, "super_assign").otherwise("indexing")
-    marks = _t(spark, d, "events").where(k % 10 < 7).select("user_id", (k % 1000).alias("line"), flag.alias("flag"))
+    marks = _t(spark, d, "events").select("user_id", (k % 1000).alias("line"), flag.alias("flag"))
     return J.lines_of_spans(_entity_spans(spark, d).drop("name"), marks, "user_id", "s", "e").select("entity", F.array_join("flags", ",").alias("flags"))
 
 

@@ -30,12 +30,12 @@ def prune_unimproved(spark, d):
     return E.unimproved(p, p.where("id % 2 = 0")).select("id")
 
 
-@query(f"""WITH {_PATTERNS}, o2 AS (SELECT id, confidence, contradicted_at FROM p WHERE id % 2 = 0), n AS (SELECT id, 'contradicted' AS confidence, CASE WHEN id % 9 = 0 THEN 99 END AS stamp FROM p WHERE id % 3 = 0)
+@query(f"""WITH {_PATTERNS}, o2 AS (SELECT id, confidence, contradicted_at FROM p WHERE id % 4 <> 1), n AS (SELECT id, 'contradicted' AS confidence, CASE WHEN id % 9 = 0 THEN 99 END AS stamp FROM p WHERE id % 3 = 0 OR id % 4 = 1)
 SELECT COALESCE(o2.id, n.id) AS id, COALESCE(n.confidence, o2.confidence) AS confidence, COALESCE(stamp, contradicted_at, 0)::INTEGER AS contradicted_at FROM o2 FULL OUTER JOIN n ON o2.id = n.id""")
 def index_upsert(spark, d):
     p = _patterns(spark, d)
-    new = p.where("id % 3 = 0").select("id", F.lit("contradicted").alias("confidence"), F.when(F.col("id") % 9 == 0, 99).alias("contradicted_at"))
-    return E.index_upsert(p.where("id % 2 = 0"), new)
+    new = p.where("id % 3 = 0 or id % 4 = 1").select("id", F.lit("contradicted").alias("confidence"), F.when(F.col("id") % 9 == 0, 99).alias("contradicted_at"))
+    return E.index_upsert(p.where("id % 4 <> 1"), new)
 
 
 @query(f"""WITH {_PATTERNS}, g AS (SELECT package, shape, MIN(LOWER(guidance)) AS a, MAX(LOWER(guidance)) AS b FROM p WHERE confidence = 'confirmed' GROUP BY ALL HAVING MIN(LOWER(guidance)) <> MAX(LOWER(guidance)))
