@@ -118,3 +118,20 @@ def consolidate_examples(spark, d):
     none = spark.createDataFrame([], "pattern string, class string, old string, new string, gain double, script string, at long")
     said = spark.createDataFrame([], "pattern string, at long, said string")
     return X.consolidated(ids, examples, none, none.select("pattern"), said)["examples"].select("pattern", "hash", "score", "defines", "place")
+
+
+@query()
+def seed_from_results(spark, d):
+    """Documents as entities of their source's script, seeded into a library of the customers' patterns; unit tests hold the rules against a loop."""
+    from ..operators.seeding import seeded
+    from .catalog import _patterns
+
+    k = F.col("doc_id")
+    name = F.regexp_extract("text", r"^\W*(\w+)", 1)
+    entities = _t(spark, d, "documents").select(
+        F.col("source").alias("script"), F.concat(F.lit("e"), k).alias("entity"), name.alias("name"), F.when(k % 9 == 0, "library_import").otherwise(F.concat(F.lit("s"), k % 5)).alias("kind"),
+        F.element_at(F.array(*map(F.lit, ("BUILDING", "MACHINERY", "OTHER"))), (k % 3 + 1).cast("int")).alias("package"), "text", F.when(k % 7 == 0, "pass").otherwise(F.concat(F.lit("def "), name, F.lit("(x): return x"))).alias("target"),
+        F.when(k % 4 == 0, 0.9).otherwise(1.0).alias("score"), k.alias("at")).withColumnRenamed("text", "source")
+    patterns = _patterns(spark, d).withColumn("id", F.concat(F.lower("package"), F.lit(".s"), F.col("id") % 5, F.lit("-"), "id"))
+    none = spark.createDataFrame([], "pattern string, hash string, source string, target string, score double, script string, at long")
+    return seeded(entities, patterns, none)["touched"]
