@@ -1,5 +1,5 @@
 """Named queries; importing the package registers them all."""
 
-from . import catalog, code, effects, knowledge, values, verbs
+from . import catalog, code, effects, experiments, knowledge, values, verbs
 
-__all__ = ["catalog", "code", "effects", "knowledge", "values", "verbs"]
+__all__ = ["catalog", "code", "effects", "experiments", "knowledge", "values", "verbs"]
