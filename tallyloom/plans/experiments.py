@@ -27,3 +27,17 @@ FROM orders WHERE o_totalprice > 0) WHERE place <= 40""")
 def weighted_sample(spark, d):
     """Forty orders of each priority, drawn by their price."""
     return X.weighted_sample(_t(spark, d, "orders"), ["o_orderpriority"], "o_orderkey", "o_totalprice", n=40, seed=7).select("o_orderpriority", "o_orderkey", "place")
+
+
+@query("""WITH v AS (SELECT event_id, UNNEST([0, 1, -1, 1e15, -1e15]) AS x FROM events)
+SELECT event_id, CASE WHEN MIN(ABS(x - value)) IS NULL THEN 0 ELSE COUNT(*) FILTER (ABS(x) <= 2 * GREATEST(ABS(value), 1)) END AS n_boundary, 6 + 4 AS n_cases FROM v JOIN events USING (event_id) GROUP BY event_id, value""")
+def fuzz_inputs(spark, d):
+    """Boundary cases and four samples after each event's value: how many boundaries lie within the samples' range, and how many cases there are."""
+    from ..operators.fuzz import inputs
+
+    ev = _t(spark, d, "events").select("event_id", "value")
+    made = inputs(ev, "event_id", F.col("value").cast("string"), samples=4, seed=1).join(ev, "event_id")
+    number = F.get_json_object(F.concat(F.lit('{"x":'), "input", F.lit("}")), "$.x").cast("double")
+    near = F.abs(number) <= 2 * F.greatest(F.abs("value"), F.lit(1.0))
+    wrong = F.count_if(~F.col("boundary") & ~near)  # samples out of range would be counted as boundaries
+    return made.groupBy("event_id").agg((F.count_if(F.col("boundary") & near) + wrong).alias("n_boundary"), F.count(F.lit(1)).cast("int").alias("n_cases"))
