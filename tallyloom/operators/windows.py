@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import numbered_within, running
+
 
 def first_per(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key."""
@@ -52,9 +54,9 @@ def running_best(df: DataFrame, group: str, order: Sequence[str], score: str) ->
 
 
 def fresh_names(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
-    """name, name_1, name_2, ... in order of appearance."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
-    return df.withColumn("fresh", F.when(n == 0, F.col(name)).otherwise(F.concat_ws("_", name, n)))
+    """name, name_1, name_2, ... in order of appearance. A name may have any share of the rows."""
+    n = F.col("__n") - 1
+    return numbered_within(df, [name], order, "__n").withColumn("fresh", F.when(n == 0, F.col(name)).otherwise(F.concat_ws("_", name, n))).drop("__n")
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -108,17 +110,15 @@ def first_differences(a: DataFrame, b: DataFrame, group: str, n: int = 3) -> Dat
 def allocated_ids(rows: DataFrame, taken: DataFrame, base: str, order: Sequence[str], out: str = "id") -> DataFrame:
     """Fresh ids: the base if free, else base-1, base-2, ... that are neither in ``taken`` (id) nor given to a row before.
 
-    Suffixes in use are taken out of those from 0 on: the n-th row of a base gets its n-th free one.
+    Suffixes in use are taken out of those from 0 on: the n-th row of a base gets its n-th free one. A base may have any share of the rows.
     """
-    per = Window.partitionBy(base)
-    wanted = rows.withColumn("__n", F.row_number().over(per.orderBy(*order)).cast("long"))
+    wanted = numbered_within(rows, [base], order, "__n")
     named = taken.select("id", F.regexp_replace("id", r"-(\d+)$", "").alias("__b"), F.regexp_extract("id", r"-(\d+)$", 1).alias("__s"))
     numbers = named.where("__s rlike '^[1-9][0-9]{0,17}$'").select(F.col("__b").alias(base), F.col("__s").cast("long"))
     used = named.select(F.col("id").alias(base), F.lit(0).cast("long").alias("__s")).union(numbers).distinct().join(rows.select(base).distinct(), base, "left_semi")
     # The k-th used suffix s leaves s - k + 1 free ones below it: all later free ones are moved by k.
-    moved = used.withColumn("__k", F.row_number().over(per.orderBy("__s"))).groupBy(base, (F.col("__s") - F.col("__k") + 2).alias("__n")).agg(F.max("__k").alias("__k"))
-    both = wanted.withColumns({"__k": F.lit(None).cast("int"), "__row": F.lit(1)}).unionByName(moved.withColumn("__row", F.lit(0)), allowMissingColumns=True)
-    before = F.max("__k").over(per.orderBy("__n", "__row").rowsBetween(Window.unboundedPreceding, 0))
+    moved = numbered_within(used, [base], ["__s"], "__k").groupBy(base, (F.col("__s") - F.col("__k") + 2).alias("__n")).agg(F.max("__k").alias("__k"))
+    both = wanted.withColumns({"__k": F.lit(None).cast("long"), "__row": F.lit(1)}).unionByName(moved.withColumn("__row", F.lit(0)), allowMissingColumns=True)
     suffix = F.col("__n") - 1 + F.coalesce(F.col("__before"), F.lit(0))
-    found = both.withColumn("__before", before).where("__row = 1")
+    found = running(both, [base], ["__n", "__row"], F.col("__k"), "__before", "max").where("__row = 1")
     return found.withColumn(out, F.when(suffix == 0, F.col(base)).otherwise(F.concat_ws("-", base, suffix))).select(*rows.columns, out)
