@@ -50,9 +50,8 @@ def list_verdict(expected: Column, actual: Column, rtol: float = RTOL, atol: flo
 
 
 def formals_score(expected: Column, actual: Column, own_attrs: Column, other_attrs: Column) -> Column:
-    """0.7 for formal arguments (all, or the shared share), 0.3 for attributes of the same name and value."""
-    clean = lambda x: F.filter(x, lambda f: ~f.isin("...", "args", "kwargs"))
-    a, b = clean(expected), clean(actual)
+    """0.7 for formal arguments (all, or the shared share; without ... on the expected side and args and kwargs on the other), 0.3 for attributes of the same name and value."""
+    a, b = F.filter(expected, lambda f: f != "..."), F.filter(actual, lambda f: ~f.isin("args", "kwargs"))
     longest = F.greatest(F.size(a), F.size(b))
     formals = F.when(a == b, 1.0).when(longest == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / longest)
     names = F.array_intersect(F.map_keys(own_attrs), F.map_keys(other_attrs))
@@ -62,6 +61,16 @@ def formals_score(expected: Column, actual: Column, own_attrs: Column, other_att
     return 0.7 * formals + attrs
 
 
+def callable_score(likeness: Column) -> Column:
+    """1 from a likeness of 0.95 on, else the likeness itself."""
+    return F.when(likeness >= 0.95, 1.0).otherwise(likeness)
+
+
+def callable_tag(likeness: Column) -> Column:
+    """Why callables differ: infra from a likeness of 0.5 on, value below; null where they pass."""
+    return F.when(likeness >= 0.95, None).when(likeness >= 0.5, "infra").when(likeness.isNotNull(), "value")
+
+
 def exit_score(expected: Column, actual: Column) -> Column:
     return F.when((expected == 0) & (actual == 0), 1.0).when((expected != 0) & (actual != 0), 0.8).otherwise(0.0)
 

@@ -43,6 +43,14 @@ def demoted_by_conflict(patterns: DataFrame) -> DataFrame:
     return own.join(differ.select("package", "shape"), ["package", "shape"], "left_semi").select("id", F.lit("tentative").alias("after"))
 
 
+def conflict_notes(patterns: DataFrame) -> DataFrame:
+    """A tentative pattern without a package for each pair that ``conflicts`` gives, which asks for a review of both."""
+    tick = lambda c: F.concat(F.lit("`"), F.col(c).cast("string"), F.lit("`"))
+    said = F.concat(F.lit("Conflict detected between "), tick("id_a"), F.lit(" and "), tick("id_b"), F.lit(". Both have been demoted to tentative. Human review required."))
+    name = F.concat(F.lit("conflict_"), F.col("id_a").cast("string"), F.lit("_vs_"), F.col("id_b").cast("string"))
+    return conflicts(patterns).select(name.alias("id"), F.lit("").alias("package"), F.lit("tentative").alias("confidence"), F.lit(False).alias("seed"), said.alias("guidance"))
+
+
 def archived(patterns: DataFrame, run: int) -> DataFrame:
     """stale: contradicted 30 runs ago or more; unimproved: no seed, no real evidence, 100 ties and contradictions or more."""
     stale = (F.col("confidence") == "contradicted") & (F.lit(run) - F.col("contradicted_at") >= 30)

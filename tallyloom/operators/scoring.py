@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import stored
+from .tables import written
 
 DIMENSIONS = ("type_match", "control_flow_match", "data_output", "variable_output", "callable_output", "side_effects")
 _DATA_KINDS = ("VARIABLE", "CONSTANT")
@@ -183,7 +183,7 @@ def numbered(rows: DataFrame, order: list, out: str, parts: int = 64) -> DataFra
 
     Range partitions are numbered each for itself and moved by the rows of those before, so no task sees all rows.
     """
-    ranged = stored(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    ranged = written(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "numbered")
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
     before = sizes.withColumn("__before", F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).drop("__size")  # a row a part
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))

@@ -149,14 +149,17 @@ def cosine_pairs(spark, d):
     return e.join(nxt, "vec_id").select(F.col("vec_id").alias("a"), "b", _r(C.cosine(F.col("embedding"), F.col("y"))).alias("cosine"))
 
 
-@query("""WITH w AS (SELECT p_partkey, p_size, p_brand, LIST_FILTER(STRING_SPLIT(LOWER(p_name), ' '), LAMBDA x: x NOT IN ('...', 'args', 'kwargs')) AS a, LIST_FILTER(STRING_SPLIT(LOWER(p_type), ' '), LAMBDA x: x NOT IN ('...', 'args', 'kwargs')) AS b FROM part)
-SELECT p_partkey, ROUND(0.7::DOUBLE * CASE WHEN a = b THEN 1.0::DOUBLE WHEN GREATEST(LEN(a), LEN(b)) = 0 THEN 1.0 ELSE LEN(LIST_INTERSECT(a, b))::DOUBLE / GREATEST(LEN(a), LEN(b)) END + 0.3::DOUBLE * (1 + (p_brand = 'Brand#11')::INTEGER) / 2, 6) AS score FROM w""")
+@query("""WITH w AS (SELECT p_partkey, p_size, p_brand, LIST_FILTER(STRING_SPLIT(LOWER(p_name), ' '), LAMBDA x: x <> '...') AS a, CASE WHEN p_partkey % 5 = 0 THEN LIST_FILTER(STRING_SPLIT(LOWER(p_name), ' '), LAMBDA x: x <> '...') ELSE STRING_SPLIT(LOWER(p_type), ' ') END AS b FROM part)
+SELECT p_partkey, CASE WHEN s >= 0.95 THEN 1.0::DOUBLE ELSE s END AS score, CASE WHEN s >= 0.95 THEN NULL WHEN s >= 0.5 THEN 'infra' ELSE 'value' END AS tag
+FROM (SELECT p_partkey, ROUND(0.7::DOUBLE * CASE WHEN a = b THEN 1.0::DOUBLE WHEN GREATEST(LEN(a), LEN(b)) = 0 THEN 1.0 ELSE LEN(LIST_INTERSECT(a, b))::DOUBLE / GREATEST(LEN(a), LEN(b)) END + 0.3::DOUBLE * (1 + (p_brand = 'Brand#11')::INTEGER) / 2, 6) AS s FROM w)""")
 def formals_overlap(spark, d):
-    """Callable comparison of word lists as formals; attributes are the table's columns."""
+    """Callable comparison of word lists as formals, every fifth part's own ones on both sides; attributes are the table's columns."""
     p = _t(spark, d, "part")
     words = lambda c: F.split(F.lower(c), " ")
     attrs = lambda v: F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), v)
-    return p.select("p_partkey", _r(C.formals_score(words("p_name"), words("p_type"), attrs(F.col("p_brand")), attrs(F.lit("Brand#11")))).alias("score"))
+    actual = F.when(F.col("p_partkey") % 5 == 0, F.concat(words("p_name"), F.array(F.lit("args"), F.lit("kwargs")))).otherwise(words("p_type"))
+    likeness = _r(C.formals_score(F.concat(words("p_name"), F.array(F.lit("..."))), actual, attrs(F.col("p_brand")), attrs(F.lit("Brand#11"))))
+    return p.select("p_partkey", C.callable_score(likeness).alias("score"), C.callable_tag(likeness).alias("tag"))
 
 
 @query()

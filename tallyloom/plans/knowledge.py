@@ -44,6 +44,13 @@ def conflict_demotion(spark, d):
     return E.demoted_by_conflict(_patterns(spark, d))
 
 
+@query(f"""WITH {_PATTERNS}, g AS (SELECT package, shape, LOWER(guidance) AS said, MIN(id) AS id FROM p WHERE confidence = 'confirmed' GROUP BY ALL), m AS (SELECT package, shape, MIN(said) AS said FROM g GROUP BY ALL)
+SELECT 'conflict_' || LEAST(a.id, b.id) || '_vs_' || GREATEST(a.id, b.id) AS id, 'tentative' AS confidence, 'Conflict detected between `' || LEAST(a.id, b.id) || '` and `' || GREATEST(a.id, b.id) || '`. Both have been demoted to tentative. Human review required.' AS guidance
+FROM m JOIN g a USING (package, shape, said) JOIN g b ON a.package = b.package AND a.shape = b.shape AND a.said < b.said""")
+def conflict_notes(spark, d):
+    return E.conflict_notes(_patterns(spark, d)).select("id", "confidence", "guidance")
+
+
 @query(f"WITH {_PATTERNS} SELECT id, package FROM p WHERE seed")
 def reset_seeds(spark, d):
     return E.seeds_only(_patterns(spark, d)).select("id", "package")

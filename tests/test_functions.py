@@ -56,8 +56,8 @@ def test_similarity_is_the_best_ratio(spark):
 
 
 def test_formals(spark):
-    df = spark.sql("select array('x', '...', 'y') a, array('x', 'z') b, map('k', '1') m, cast(map() as map<string,string>) e")
-    row = df.select(C.formals_score(F.col("a"), F.col("b"), F.col("m"), F.col("m")).alias("p"), C.formals_score(F.col("a"), F.col("a"), F.col("e"), F.col("e")).alias("q"), C.formals_score(F.col("a"), F.col("a"), F.col("m"), F.col("e")).alias("r")).first()
+    df = spark.sql("select array('x', '...', 'y') a, array('x', 'z') b, array('x', 'y', 'kwargs') c, map('k', '1') m, cast(map() as map<string,string>) e")
+    row = df.select(C.formals_score(F.col("a"), F.col("b"), F.col("m"), F.col("m")).alias("p"), C.formals_score(F.col("a"), F.col("c"), F.col("e"), F.col("e")).alias("q"), C.formals_score(F.col("a"), F.col("c"), F.col("m"), F.col("e")).alias("r")).first()
     assert (round(row.p, 9), row.q, row.r) == (0.65, 1.0, 0.7)
 
 

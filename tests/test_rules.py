@@ -42,3 +42,20 @@ def test_first_differences_and_notes(spark):
     got = {(r.g, r.line, r.more, r.note) for r in W.first_differences(a, b, "g").collect()}
     want = {("three", i, True, None) for i in range(3)} | {("five", i, True, None) for i in range(3)} | {("two", i, False, None) for i in (1, 2)}
     assert got == want | {("uneven", None, False, "uneven"), ("gone", None, False, "no_actual"), ("new", None, False, "no_expected")}
+
+
+def test_likeness_of_callables(spark):
+    from tallyloom.functions import compare as C
+
+    rows = [(["x", "..."], ["x", "args", "kwargs"], 1.0, None), (["x", "args"], ["x"], 0.65, "infra"), (["x"], ["x", "..."], 0.65, "infra"), (["a", "b", "c"], ["x"], 0.3, "value"), ([], ["x"], 0.3, "value"), (["..."], [], 1.0, None)]
+    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, a array<string>, b array<string>")
+    none = F.create_map().cast("map<string,string>")
+    like = F.round(C.formals_score(F.col("a"), F.col("b"), none, none), 9)
+    got = df.select(C.callable_score(like).alias("s"), C.callable_tag(like).alias("t")).orderBy("i").collect()
+    assert [(r.s, r.t) for r in got] == [r[2:] for r in rows]
+
+
+def test_notes_of_conflicts(spark):
+    rows = [("a", "p", "s", "Use  A", "confirmed"), ("b", "p", "s", "use b", "confirmed"), ("c", "p", "s", "use a", "confirmed"), ("d", "p", "t", "use d", "confirmed"), ("e", "p", "s", "use e", "tentative")]
+    got = E.conflict_notes(spark.createDataFrame(rows, "id string, package string, shape string, guidance string, confidence string")).collect()
+    assert [(r.id, r.package, r.confidence, r.seed) for r in got] == [("conflict_a_vs_b", "", "tentative", False)] and "`a` and `b`" in got[0].guidance
