@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .ratio import most, text_ratio
+
 RTOL, ATOL = 1e-6, 1e-9
 
 
@@ -147,14 +149,20 @@ def sorted_tokens(x: Column) -> Column:
 def text_similarity(pairs, a: str, b: str, out: str = "similarity"):
     """``pairs`` with the best Ratcliff-Obershelp ratio of two text columns: raw, normalised, or of sorted tokens.
 
-    Equal texts never reach Python: they are 1 and the rest are dealt to Arrow batches.
+    Equal texts never reach Python: they are 1 and the rest are dealt to Arrow batches. A form whose characters allow no better ratio is left out.
     """
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series, sx: pd.Series, sy: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        one = lambda p, q: 1.0 if p == q else SequenceMatcher(None, p, q).ratio()
-        return pd.Series([1.0 if p == q else 0.0 if not p or not q else max(one(p, q), one(np_, nq), one(sp, sq)) for p, q, np_, nq, sp, sq in zip(x, y, nx, ny, sx, sy, strict=True)], dtype="float64")
+        def best(p, q, *forms):
+            if not p or not q:
+                return 0.0
+            found = text_ratio(p, q)
+            for u, v in dict.fromkeys(forms):
+                if (u, v) != (p, q) and most(u, v) > found:
+                    found = max(found, text_ratio(u, v))
+            return found
+
+        return pd.Series([best(p, q, (np_, nq), (sp, sq)) for p, q, np_, nq, sp, sq in zip(x, y, nx, ny, sx, sy, strict=True)], dtype="float64")
 
     x, y = F.coalesce(F.col(a), F.lit("")), F.coalesce(F.col(b), F.lit(""))
     nx, ny = normalise_printed(x), normalise_printed(y)
