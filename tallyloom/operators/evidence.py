@@ -75,24 +75,48 @@ def retrieve(queries: DataFrame, patterns: DataFrame, k: int, no_seeds: bool = F
 
     Candidates are the patterns of the query's package, or all if it has none or no pattern at all, admitted or not, is of it.
     Admitted: not contradicted, and a seed, confirmed, or with two real pieces of evidence. Order: patterns of just the query's
-    package first (tier 0), then the token overlap of kind and id, then that of text and guidance, then id. Queries
+    package first (tier 0), then the token overlap of kind and id, then that of text and guidance, then id.
+
+    Only tokens that both sides have, and how many there are, bear on a score. Queries that are alike in these are asked as one, and of
+    patterns that are alike the k first by id are candidates, so what meets is classes, which don't grow with copies. Classes
     for all patterns meet them in ``blocks`` by id, each of which hands on its k best.
     """
     good = patterns.where((F.col("confidence") != "contradicted") & (F.col("seed") | (F.col("confidence") == "confirmed") | (F.col("real_evidence") >= 2)))
     good = good.where(~F.col("seed")) if no_seeds else good
     good = good.select("id", F.coalesce("package", F.lit("")).alias("p"), tokens(F.col("id").cast("string")).alias("i"), tokens(F.col("guidance")).alias("g"))
-    asked = queries.select("query", F.coalesce("package", F.lit("")).alias("package"), tokens(F.col("kind")).alias("k"), tokens(F.col("text")).alias("t"))
-    known = patterns.select(F.coalesce("package", F.lit("")).alias("package")).distinct().where("package <> ''")
-    own = asked.join(known, "package", "left_semi").join(good, F.col("package") == F.col("p"))
+    known = patterns.select(F.coalesce("package", F.lit("")).alias("package"), F.lit(True).alias("known")).distinct().where("package <> ''")
+    asked = queries.select("query", F.coalesce("package", F.lit("")).alias("package"), tokens(F.col("kind")).alias("k"), tokens(F.col("text")).alias("t")).join(known, "package", "left")
+    reach = F.when(F.col("known"), "own").when(F.col("package") == "", "bare").otherwise("all")
+    asked = asked.withColumns({"reach": reach, "package": F.when(F.col("known"), F.col("package")).otherwise("")}).drop("known")
+    classed = _shared(_shared(asked, "k", good, "i"), "t", good, "g").drop("k", "t")
+    alike = ["p", "i_shared", "i_size", "g_shared", "g_size"]
+    good = _shared(_shared(good, "i", asked, "k"), "g", asked, "t").withColumn("_n", F.row_number().over(Window.partitionBy(*alike).orderBy("id"))).where(F.col("_n") <= k).drop("_n", "i", "g")
+    by = [c for c in classed.columns if c != "query"]
+    classes = classed.select(*by).distinct()
+    own = classes.where("reach = 'own'").join(good, F.col("package") == F.col("p"))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    wide = asked.join(known, "package", "left_anti").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    wide = classes.where("reach <> 'own'").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     other = wide.join(good.withColumn("block", block), "block")
-    scored = lambda df: df.withColumns({"tier": F.when(F.col("p") == F.col("package"), 0).otherwise(1), "shape": jaccard(F.col("k"), F.col("i")), "overlap": jaccard(F.col("t"), F.col("g"))})
+
+    def overlap(x: str, y: str) -> Column:
+        both = F.size(F.array_intersect(f"{x}_shared", f"{y}_shared"))
+        return F.when(both > 0, both / (F.col(f"{x}_size") + F.col(f"{y}_size") - both)).otherwise(0.0)
+
+    tier = F.when((F.col("reach") != "all") & (F.col("p") == F.col("package")), 0).otherwise(1)
+    scored = lambda df: df.withColumns({"tier": tier, "shape": overlap("k", "i"), "overlap": overlap("t", "g")})
     order = ["tier", F.col("shape").desc(), F.col("overlap").desc(), "id"]
     ranked = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
-    kept = ["query", "id", "tier", "shape", "overlap"]
-    best = scored(own).select(*kept).unionByName(ranked(scored(other), "query", "block").select(*kept))
-    return ranked(best, "query").select("query", "rank", "id", "tier", "shape", "overlap")
+    kept = [*by, "id", "tier", "shape", "overlap"]
+    best = ranked(scored(own).select(*kept).unionByName(ranked(scored(other), *by, "block").select(*kept)), *by)
+    return classed.join(best, by).select("query", "rank", "id", "tier", "shape", "overlap")
+
+
+def _shared(rows: DataFrame, own: str, others: DataFrame, other: str) -> DataFrame:
+    """``rows`` with the tokens of a column that any of the other side's rows has (sorted), and how many tokens the column has; 0 if it shares none."""
+    known = others.select(F.explode(other).alias("token")).distinct()
+    found = rows.select(own).distinct().select(own, F.explode(own).alias("token")).join(known, "token").groupBy(own).agg(F.array_sort(F.collect_set("token")).alias(f"{own}_shared"))
+    joined = rows.join(found, own, "left")
+    return joined.withColumns({f"{own}_size": F.when(F.col(f"{own}_shared").isNotNull(), F.size(own)).otherwise(0), f"{own}_shared": F.coalesce(f"{own}_shared", F.array().cast("array<string>"))})
 
 
 def features(pairs: DataFrame, today: str) -> DataFrame:
