@@ -16,9 +16,15 @@ t AS (SELECT *, low + (c - 1) / 2.0::DOUBLE AS rank FROM r),
 z AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (delta = 0) AS n_zero, SUM(rank * CASE WHEN delta > 0 THEN 1.0::DOUBLE WHEN delta = 0 THEN 0.5 ELSE 0 END) AS r_plus, SUM(rank * CASE WHEN delta < 0 THEN 1.0::DOUBLE WHEN delta = 0 THEN 0.5 ELSE 0 END) AS r_minus, SUM(c::DOUBLE * c - 1) AS ties FROM t)
 SELECT n, n_zero, r_plus, r_minus, ties, LEAST(r_plus, r_minus) AS statistic, ROUND((LEAST(r_plus, r_minus) - n * (n + 1) / 4.0::DOUBLE) / SQRT((n::DOUBLE * (n + 1) * (2 * n + 1) - ties / 2) / 24), 6) AS z FROM z""")
 def signed_rank_test(spark, d):
-    """Even events of a user and type against odd ones, means as whole numbers so that many are tied."""
+    """Even events of a user and type against odd ones, means as whole numbers so that many are tied.
+
+    Values are added in the order of events: means that lie on a half round as their sum of doubles does, which depends on its order.
+    """
+    from pyspark.sql import Window
+
+    so_far = F.avg("value").over(Window.partitionBy("k").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
     ev = _t(spark, d, "events").withColumn("k", F.concat_ws("-", "user_id", "event_type"))
-    side = lambda r: ev.where(F.col("event_id") % 2 == r).groupBy("k").agg(F.round(F.avg("value"), 0).alias("s"))
+    side = lambda r: ev.where(F.col("event_id") % 2 == r).select("k", "event_id", so_far.alias("mean")).groupBy("k").agg(F.round(F.max_by("mean", "event_id"), 0).alias("s"))
     return X.signed_ranks(paired_deltas(side(0), side(1), "k", "s")).withColumn("z", _r(F.col("z"))).withColumn("n_zero", F.col("n_zero").cast("long"))
 
 

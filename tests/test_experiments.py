@@ -70,3 +70,39 @@ def test_weighted_samples(spark):
     assert half.groupBy("g").agg(F.count("k")).orderBy("g").collect() == [(None, 1), ("a", 3), ("b", 3)]
     with pytest.raises(ValueError, match="either"):
         X.weighted_sample(df, ["g"], "k", "w")
+
+
+def test_means_on_a_half_are_summed_in_order(spark, tmp_path):
+    """The values' mean is a half, which their sum of doubles misses in some orders: partial sums of shuffled rows must not decide."""
+    import random
+
+    from tallyloom.plans import catalog
+
+    r, rows, misses = random.Random(2), [], 0
+    for user in range(300):
+        cents = [r.randrange(1, 10000) for _ in range(7)]
+        cents.append(-sum(cents) % 800 + 400)  # eight values: the mean is n + 0.5
+        values = [c / 100 for c in cents]
+        total = 0.0
+        for v in values:
+            total += v
+        misses += total != sum(cents) / 100
+        rows += [(user * 16 + 2 * i, user, "t", v) for i, v in enumerate(values)] + [(user * 16 + 1, user, "t", float(user))]
+    assert misses > 20
+    r.shuffle(rows)
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").repartition(9).write.parquet(str(tmp_path / "events.parquet"))
+    even: dict = {}
+    for k, user, _, v in sorted(rows):
+        if k % 2 == 0:
+            even.setdefault(user, []).append(v)
+    deltas = []
+    for user, values in even.items():
+        total = 0.0
+        for v in values:
+            total += v
+        deltas.append(user - float(int(total / 8 + 0.5)))
+    got = catalog.QUERIES["signed_rank_test"](spark, str(tmp_path)).first()
+    from tallyloom.operators.experiments import signed_ranks
+
+    want = signed_ranks(spark.createDataFrame([(d,) for d in deltas], "delta double")).first()
+    assert (got.n, got.n_zero, got.r_plus, got.r_minus, got.ties) == (want.n, want.n_zero, want.r_plus, want.r_minus, want.ties)
