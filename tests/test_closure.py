@@ -46,3 +46,13 @@ def test_closures_against_a_queue(spark):
         want = [row for q in queries for row in walk(q, reach, definitions, calls, dispatch, None if own is None else set(own), budget, 80)]
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert callee_closure(tables[0].limit(0), *tables[1:4]).count() == 0
+
+
+def test_lists_of_calls_end_at_the_budget(spark):
+    """A caller of 1,000 symbols of 50 lines takes four of them at most, so the others never reach the rounds."""
+    from tallyloom.operators.closure import _within_budget
+
+    definitions = spark.range(1001).selectExpr("'p' as package", "id as symbol", "50 as lines")
+    calls = spark.range(1, 1001).selectExpr("'p' as package", "0L as symbol", "id as callee", "id as ord")
+    got = _within_budget(calls, definitions, 200, 80).collect()
+    assert sorted(r.callee for r in got) == [1, 2, 3, 4]
