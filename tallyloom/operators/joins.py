@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def presence_join(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -144,21 +145,35 @@ def attribute(failures: DataFrame, entities: DataFrame, group: str) -> DataFrame
 def greedy_match(scores: DataFrame, group: str) -> DataFrame:
     """Greedy assignment of a similarity matrix (group, row, col, score): rows by their best score, each takes the best free column.
 
-    A row that no column is left for scores 0, with a null column.
+    A row that no column is left for scores 0, with a null column. Scores that are null or NaN come last. A group is folded as one array of its rows.
     """
-    import pandas as pd
-
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        best = g.groupby("row")["score"].max()
-        taken, out = set(), []
-        for r in sorted(best.index, key=lambda r: (-best[r], r)):
-            free = g[(g["row"] == r) & ~g["col"].isin(taken)].sort_values(["score", "col"], ascending=[False, True])
-            col, score = (free.iloc[0]["col"], free.iloc[0]["score"]) if len(free) else (None, 0.0)
-            taken.add(col)
-            out.append((g[group].iloc[0], r, col, score))
-        return pd.DataFrame(out, columns=[group, "row", "col", "score"]).astype({"col": object})
-
-    return scores.groupBy(group).applyInPandas(solve, scores.select(group, "row", "col", "score").schema)
+    kind = scores.schema["col"].dataType
+    worth = F.when(F.isnan("score"), None).otherwise(F.col("score"))
+    cell = F.struct((-worth).isNull().alias("none"), (-worth).alias("worst_first"), "col", "score")
+    rows = scores.groupBy(group, "row").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    best = F.col("cells")[0]
+    line = F.struct(best["none"].alias("none"), best["worst_first"].alias("worst_first"), "row", F.transform("cells", lambda c: F.struct(c["col"].alias("col"), c["score"].alias("score"))).alias("cells"))
+    groups = rows.groupBy(group).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    taken = F.array().cast(T.ArrayType(kind))
+    none = F.struct(F.lit(None).cast(kind).alias("col"), F.lit(0.0).cast(scores.schema["score"].dataType).alias("score"))
+
+    def take(state: Column, x: Column) -> Column:
+        # the first free column of the row, which is in the order of its scores
+        found = F.coalesce(F.try_element_at(F.filter(x["cells"], lambda c: ~F.array_contains(state["taken"], c["col"])), F.lit(1)), none)
+        return F.struct(
+            F.when(found["col"].isNull(), state["taken"]).otherwise(F.array_append(state["taken"], found["col"])).alias("taken"),
+            F.array_append(state["out"], F.struct(x["row"].alias("row"), found["col"].alias("col"), found["score"].alias("score"))).alias("out"))
+
+    made = T.ArrayType(T.StructType([T.StructField("row", scores.schema["row"].dataType), T.StructField("col", kind), T.StructField("score", scores.schema["score"].dataType)]))
+    start = F.struct(taken.alias("taken"), F.array().cast(made).alias("out"))
+    return groups.select(group, F.explode(F.aggregate("lines", start, take, lambda s: s["out"])).alias("x")).select(group, "x.row", "x.col", "x.score")
+
+
+def requests_scores(rows: DataFrame, group: str, key: str, expected: Column, actual: Column) -> DataFrame:
+    """Jaccard similarity of the expected and the actual keys of each group as sets; 1 if both are empty. Keys are counted, so a group may have any number of them."""
+    once = rows.groupBy(group, key).agg(F.max(F.coalesce(expected, F.lit(False))).alias("a"), F.max(F.coalesce(actual, F.lit(False))).alias("b"))
+    either, both = F.count_if(F.col("a") | F.col("b")), F.count_if(F.col("a") & F.col("b"))
+    return once.groupBy(group).agg(F.when(either == 0, 1.0).otherwise(both / either).alias("score"))
 
 
 def covered_score(matched: DataFrame, group: str) -> DataFrame:

@@ -117,8 +117,7 @@ SELECT g, ROUND(LEN(LIST_INTERSECT(COALESCE(a, []), COALESCE(b, [])))::DOUBLE /
 def request_jaccard(spark, d):
     verb = F.when(F.col("page_id") % 3 == 0, "POST").otherwise("GET")
     k = _t(spark, d, "pages").select((F.col("page_id") % 10).alias("g"), (F.col("page_id") % 2).alias("side"), C.request_key(verb, F.col("url")).alias("k"))
-    sides = k.groupBy("g").agg(F.collect_set(F.when(F.col("side") == 0, F.col("k"))).alias("a"), F.collect_set(F.when(F.col("side") == 1, F.col("k"))).alias("b"))
-    return sides.select("g", _r(C.requests_score(F.col("a"), F.col("b"))).alias("score"))
+    return J.requests_scores(k, "g", "k", F.col("side") == 0, F.col("side") == 1).select("g", _r(F.col("score")).alias("score"))
 
 
 @query("""WITH t AS (SELECT p_partkey, LIST_DISTINCT(LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(LOWER(p_name), '[\\s._\\-]+'), LAMBDA x: x <> '')) AS a, LIST_DISTINCT(LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(LOWER(p_type || ' ' || p_name), '[\\s._\\-]+'), LAMBDA x: x <> '')) AS b FROM part)
