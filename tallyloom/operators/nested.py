@@ -89,14 +89,15 @@ def nested_compare(pairs: DataFrame, keys: list[str], rtol: float = RTOL, atol:
     failed = None
     while True:
         level = written(_judged(front, rtol, atol, sentinel).select(*keys, "order", "at", "tag", "reason", "score", "inner"), "nested")
-        here = level.where("tag is not null").select(*keys, F.struct("order", "at", "tag", "reason", "score").alias("f"))
-        failed = here if failed is None else failed.unionByName(here)
+        # the first level has every pair, so pairs without a failure keep a row
+        here = level.select(*keys, F.when(F.col("tag").isNotNull(), F.struct("order", "at", "tag", "reason", "score")).alias("f"))
+        failed = here if failed is None else failed.unionByName(here.where("f is not null"))
         deeper = level.where("size(inner) > 0")
         if deeper.isEmpty():
             break
         front = deeper.select(*keys, "order", F.col("at").alias("upper"), F.explode("inner").alias("x")).select(*keys, F.concat("order", F.array("x.i")).alias("order"), F.concat("upper", "x.at").alias("at"), "x.e", "x.a")
-    first = failed.groupBy(*keys).agg(F.min("f").alias("f"))
-    out = pairs.select(*keys).join(first, keys, "left")
+    # No join: its side would look small beside what its files hold, and be broadcast through the driver.
+    out = failed.groupBy(*keys).agg(F.min("f").alias("f"))
     fails = F.col("f").isNotNull()
     return out.select(
         *keys, F.when(~fails, 1.0).when(F.size("f.order") == 0, F.col("f.score")).otherwise(0.0).alias("score"), F.when(fails, "fail").otherwise("pass").alias("verdict"),
@@ -127,8 +128,9 @@ def data_scores(expected: DataFrame, actual: DataFrame, uncapturable: DataFrame
         kept = None
     else:
         found = written(nested_compare(there, key, rtol, atol), "data-found")
-        rescue = found.where("tag = 'infra'") if mode == "auto" else found.where("false")
-        kept = found.join(rescue.select(*key), key, "left_anti").select(*key, "score", "tag", "reason", F.lit(False).alias("fallback"))
+        infra = F.coalesce(F.col("tag") == "infra", F.lit(False)) if mode == "auto" else F.lit(False)
+        rescue = found.where(infra).hint("merge")
+        kept = found.where(~infra).select(*key, "score", "tag", "reason", F.lit(False).alias("fallback"))
         likened = there.join(rescue.select(*key, "tag", "reason"), key).select(*key, text("e").alias("x"), text("a").alias("y"), "tag", "reason")
     if mode != "exact":
         likened = text_similarity(likened, "x", "y", "score").select(*key, "score", "tag", "reason", (F.col("score") > 0 if mode == "auto" else F.lit(True)).alias("fallback"))

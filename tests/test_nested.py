@@ -119,3 +119,11 @@ def test_infinities_and_nan_at_any_depth(spark):
     assert json.loads(got) == {"a": [1.5, None, "Inf"], "m": {"k": "-Inf"}, "s": "NaN", "n": None, "r": [{"f": "Inf"}]}
     nan = spark.sql("select 1 as i, cast(double('nan') as variant) as e, cast(null as variant) as a")
     assert N.nested_compare(nan, ["i"]).first().verdict == "pass"
+
+
+def test_failures_are_not_joined_to_their_pairs(spark):
+    """A join took the failures for small by their files, and broadcast them through the driver."""
+    df = spark.range(50).selectExpr("id", "parse_json(format_string('{\"a\": [%d, 1]}', id % 3)) as e", "parse_json('{\"a\": [0, 1]}') as a")
+    got = N.nested_compare(df, ["id"])
+    assert "Join" not in got._jdf.queryExecution().toString()
+    assert {r.id: (r.verdict, r.at) for r in got.collect()} == {k: ("pass", None) if k % 3 == 0 else ("fail", ".a[0]") for k in range(50)}
