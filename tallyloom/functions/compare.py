@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .ratio import most, text_ratio
+from .ratio import text_ratios
 
 RTOL, ATOL = 1e-6, 1e-9
 
@@ -134,37 +134,35 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalise_printed(x: Column) -> Column:
     """Printed values without line numbers, quotes, brackets and layout; TRUE and FALSE as True and False, hex colours in lower case."""
-    x = F.regexp_replace(x, r"(?m)^\s*\[\d+\]\s*", "")
+    found = F.contains(x, F.lit("[")) | F.contains(x, F.lit("#")) | F.contains(x, F.lit("TRUE")) | F.contains(x, F.lit("FALSE"))
+    marked = F.regexp_replace(x, r"(?m)^\s*\[\d+\]\s*", "")
     colour = r"#[0-9A-Fa-f]{3,8}\b"
     lowered = lambda p: F.concat(F.lower(F.regexp_extract(p, f"^{colour}", 0)), F.regexp_replace(p, f"^{colour}", ""))
-    x = F.array_join(F.transform(F.split(x, f"(?={colour})"), lowered), "")
-    x = F.regexp_replace(F.regexp_replace(x, r"\bTRUE\b", "True"), r"\bFALSE\b", "False")
-    return F.trim(F.regexp_replace(F.translate(x, "\"'[](),{}:", ""), r"\s+", " "))
+    marked = F.array_join(F.transform(F.split(marked, f"(?={colour})"), lowered), "")
+    marked = F.regexp_replace(F.regexp_replace(marked, r"\bTRUE\b", "True"), r"\bFALSE\b", "False")
+    return F.trim(F.regexp_replace(F.translate(F.when(found, marked).otherwise(x), "\"'[](),{}:", ""), r"\s+", " "))
 
 
 def sorted_tokens(x: Column) -> Column:
-    return F.array_join(F.array_sort(F.filter(F.split(x, r"\s+"), lambda w: w != "")), " ")
+    return F.array_join(F.sort_array(F.array_remove(F.split(x, r"\s+"), "")), " ")
 
 
 def text_similarity(pairs, a: str, b: str, out: str = "similarity"):
     """``pairs`` with the best Ratcliff-Obershelp ratio of two text columns: raw, normalised, or of sorted tokens.
 
-    Equal texts never reach Python: they are 1 and the rest are dealt to Arrow batches. A form whose characters allow no better ratio is left out.
+    Equal texts never reach Python: they are 1, and null there; the rest are matched by Arrow batches. A form whose characters allow no better ratio is left out.
     """
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series, sx: pd.Series, sy: pd.Series) -> pd.Series:
-        def best(p, q, *forms):
-            if not p or not q:
-                return 0.0
-            found = text_ratio(p, q)
-            for u, v in dict.fromkeys(forms):
-                if (u, v) != (p, q) and most(u, v) > found:
-                    found = max(found, text_ratio(u, v))
-            return found
-
-        return pd.Series([best(p, q, (np_, nq), (sp, sq)) for p, q, np_, nq, sp, sq in zip(x, y, nx, ny, sx, sy, strict=True)], dtype="float64")
+        found = pd.Series(0.0, index=x.index)
+        forms = [(list(p), list(q)) for p, q in ((x, y), (nx, ny), (sx, sy))]
+        both = [n for n, (p, q) in enumerate(zip(*forms[0], strict=True)) if p and q]
+        for f, (p, q) in enumerate(forms):
+            new = [n for n in both if all((p[n], q[n]) != (u[n], v[n]) for u, v in forms[:f])]
+            found.iloc[new] = text_ratios([p[n] for n in new], [q[n] for n in new], found.iloc[new].to_numpy())
+        return found
 
     x, y = F.coalesce(F.col(a), F.lit("")), F.coalesce(F.col(b), F.lit(""))
-    nx, ny = normalise_printed(x), normalise_printed(y)
-    equal = pairs.where(x == y).withColumn(out, F.lit(1.0))
-    return equal.unionByName(pairs.where(x != y).withColumn(out, ratio(x, y, nx, ny, sorted_tokens(nx), sorted_tokens(ny))))
+    differs = lambda t: F.when(x != y, t)
+    nx, ny = normalise_printed(differs(x)), normalise_printed(differs(y))
+    return pairs.withColumn(out, F.when(x == y, 1.0).otherwise(ratio(differs(x), differs(y), nx, ny, sorted_tokens(nx), sorted_tokens(ny))))

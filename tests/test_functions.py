@@ -77,3 +77,10 @@ def test_scalars(spark):
     assert v(S.recency(F.lit("2024-01-01"), "2024-01-01")) == 1 and v(S.recency(F.lit("bad"), "2024-01-01")) == 0
     assert [str(v(S.easter(F.lit(y)))) for y in (2000, 2024, 2025)] == ["2000-04-23", "2024-03-31", "2025-04-20"]
     assert 0.01 < S.binomial_tail(9, 10) < 0.02
+
+
+def test_printed_forms_with_and_without_marks(spark):
+    rows = [("[1] a  b\n [2] TRUE",), ("x #AbC FALSE",), ("b\ta  'c'",), ("TRUEST",), ("",), (None,), ("c\n\nb a é Z",)]
+    got = spark.createDataFrame(rows, "t string").select("t", C.normalise_printed(F.col("t")).alias("n"), C.sorted_tokens(F.col("t")).alias("s")).collect()
+    assert [x.n for x in got] == ["a b True", "x #abc False", "b a c", "TRUEST", "", None, "c b a é Z"]
+    assert [x.s for x in got] == ["TRUE [1] [2] a b", "#AbC FALSE x", "'c' a b", "TRUEST", "", None, "Z a b c é"]

@@ -1,11 +1,13 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import compare as C
 from tallyloom.functions import ratio as R
+from tallyloom.plans import effects
 
 
 def texts(seed, n):
@@ -47,3 +49,32 @@ def test_best_of_three_forms(spark):
     assert len(got) == len(rows)
     for x in got:
         assert x.similarity == max(SequenceMatcher(None, p, q).ratio() for p, q in [(x.a, x.b), (x.na, x.nb), (x.sa, x.sb)])
+
+
+@pytest.mark.parametrize("grams", [(3, 1), (1,)])
+@pytest.mark.parametrize("limits", [(1 << 17, 1 << 20, 32), (400, 3000, 2)])
+def test_many_pairs_at_once_equal_difflib(monkeypatch, grams, limits):
+    for name, value in zip(["GRAMS", "CHARACTERS", "AT_ONCE", "STEPS"], [grams, *limits], strict=True):
+        monkeypatch.setattr(R, name, value)
+    start = "the same words of both " * 90
+    odd = [("", ""), ("", "a"), ("a", ""), ("\ud800x", "x\ud800"), ("\0a", "a\0"), ("a" * 199, "a" * 150), ("a" * 300, "a" * 301), (start + "x", start + "y")]
+    rows = odd + list(texts(6, 150))
+    a, b = ([r[n] for r in rows] for n in (0, 1))
+    want = np.array([SequenceMatcher(None, p, q).ratio() for p, q in rows])
+    assert (R.text_ratios(a, b, np.zeros(len(rows))) == want).all()
+    assert (R.text_ratios(a, b, np.full(len(rows), 0.4)) == np.maximum(want, 0.4)).all()
+
+
+def test_ordinary_texts_are_not_matched_one_by_one(monkeypatch):
+    rows = list(texts(7, 80))
+    want = [SequenceMatcher(None, a, b).ratio() for a, b in rows]
+    monkeypatch.setattr(R, "matches", lambda *_: 1 / 0)
+    assert R.text_ratios([a for a, _ in rows], [b for _, b in rows], np.zeros(len(rows))).tolist() == want
+
+
+def test_printed_texts_are_joined_once(spark, tmp_path):
+    rows = [(1, 0, "same"), (1, 1, "same"), (1, 2, "some"), (1, 3, None), (1, 4, None), (2, 0, "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    df = effects.stdout_compare(spark, str(tmp_path))
+    assert {x.turn: (x.similarity, x.verdict) for x in df.collect()} == {0: (1.0, "pass"), 1: (0.75, "fail"), 2: (0.0, "fail"), 3: (1.0, "pass")}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
