@@ -72,6 +72,18 @@ def test_ordinary_texts_are_not_matched_one_by_one(monkeypatch):
     assert R.text_ratios([a for a, _ in rows], [b for _, b in rows], np.zeros(len(rows))).tolist() == want
 
 
+def test_pairs_of_single_characters_are_not_held(monkeypatch):
+    """Ordinary texts share many pairs of characters and few of two in a row; what has more than fit at once would go to ``matches``."""
+    r = random.Random(8)
+    words = ["".join(r.choice("etaoinshrdlu" * 9 + "bcfgkmpqvwxyzABCDEFGHIJKLMNOPQ") for _ in range(r.randint(1, 9))) for _ in range(900)]
+    a, b = (" ".join(r.choice(words) for _ in range(1200)) for _ in range(2))
+    rows = [(a, b), (b, a)]
+    want = [SequenceMatcher(None, p, q).ratio() for p, q in rows]
+    monkeypatch.setattr(R, "AT_ONCE", 2_000)
+    monkeypatch.setattr(R, "matches", lambda *_: 1 / 0)
+    assert R.text_ratios([p for p, _ in rows], [q for _, q in rows], np.zeros(len(rows))).tolist() == want
+
+
 def test_printed_texts_are_joined_once(spark, tmp_path):
     rows = [(1, 0, "same"), (1, 1, "same"), (1, 2, "some"), (1, 3, None), (1, 4, None), (2, 0, "")]
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
