@@ -24,13 +24,13 @@ def cumulated(rows: DataFrame, order: list, weight: str, out: str, parts: int =
     return table.withColumn(out, own).join(F.broadcast(before), "_part").withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before")
 
 
-def signed_ranks(pairs: DataFrame) -> DataFrame:
+def signed_ranks(pairs: DataFrame, nan: bool = False) -> DataFrame:
     """One row of pairs (delta): n, n_zero, r_plus and r_minus (sums of ranks of |delta|), ties (sum of c**3 - c), statistic and z.
 
     Equal values share their mean rank; the ranks of zeros are halved between both sides. Equal values are counted before they are
-    ranked, so a value that very many pairs have is one row. z is null where there is no spread.
+    ranked, so a value that very many pairs have is one row. z is null where there is no spread. NaN is left out, or with ``nan`` the largest of all.
     """
-    sized = pairs.where(F.col("delta").isNotNull() & ~F.isnan("delta")).groupBy(F.abs("delta").alias("size"))
+    sized = pairs.where(F.col("delta").isNotNull() & (F.lit(nan) | ~F.isnan("delta"))).groupBy(F.abs("delta").alias("size"))
     counted = sized.agg(F.count(F.lit(1)).alias("c"), F.count(F.when(F.col("delta") > 0, 1)).alias("up"), F.count(F.when(F.col("delta") < 0, 1)).alias("down"))
     ranked = cumulated(counted, ["size"], "c", "before").withColumn("rank", F.col("before") + (F.col("c") + 1) / 2)
     zero, c = F.when(F.col("size") == 0, F.col("c")).otherwise(0), F.col("c").cast("double")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import experiments as X
-from ..operators.scoring import paired_deltas
 from .catalog import _r, _t, query
 
 
@@ -22,10 +21,12 @@ def signed_rank_test(spark, d):
     """
     from pyspark.sql import Window
 
-    so_far = F.avg("value").over(Window.partitionBy("k").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
-    ev = _t(spark, d, "events").withColumn("k", F.concat_ws("-", "user_id", "event_type"))
-    side = lambda r: ev.where(F.col("event_id") % 2 == r).select("k", "event_id", so_far.alias("mean")).groupBy("k").agg(F.round(F.max_by("mean", "event_id"), 0).alias("s"))
-    return X.signed_ranks(paired_deltas(side(0), side(1), "k", "s")).withColumn("z", _r(F.col("z"))).withColumn("n_zero", F.col("n_zero").cast("long"))
+    in_order = F.avg("value").over(Window.partitionBy("k").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ev = _t(spark, d, "events").withColumn("k", F.struct("user_id", "event_type"))  # null is a user and a type, as in the SQL
+    side = lambda r, out: ev.where(F.col("event_id") % 2 == r).select("k", in_order.alias("mean")).groupBy("k").agg(F.round(F.first("mean"), 0).alias(out))
+    found = X.signed_ranks(side(0, "a").join(side(1, "b"), "k").select((F.col("b") - F.col("a")).alias("delta")), nan=True)
+    some = lambda c: F.when(F.col("n") > 0, F.col(c))
+    return found.withColumns({c: some(c) for c in ("r_plus", "r_minus", "ties", "statistic")} | {"z": _r(F.col("z")), "n_zero": F.col("n_zero").cast("long")})
 
 
 @query("""SELECT o_orderpriority, o_orderkey, place FROM (SELECT o_orderpriority, o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY -LN((('0x' || SUBSTR(MD5('7:' || o_orderkey), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE) / o_totalprice, o_orderkey)::INTEGER AS place
